@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quietroom.functions.hashing import hash_score
 from quietroom.operators.reshape import label_values, scored_long
-from quietroom.sources.comments import labelled_comments
+from quietroom.session import spread
 from quietroom.settings import threshold_grid
+from quietroom.sources.comments import labelled_comments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +35,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
     """``id, comment_text, toxic, quality`` of the labelled documents."""
-    return labelled_comments(table(spark, sf, "documents"), table(spark, sf, "labels"), LABELS)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return labelled_comments(docs, table(spark, sf, "labels"), LABELS)
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +48,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over all cores for work on their texts."""
+    return spread(documents(spark, sf), "id")
+
+
 def probabilities(*salt: str, key: str = "id") -> Column:
     return F.array(*[hash_score(*salt, name, F.col(key)) for name in LABELS])
 

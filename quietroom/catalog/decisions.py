@@ -19,6 +19,7 @@ from quietroom.catalog.base import (
     sql_score,
     sql_sweep,
     sql_words,
+    texts,
 )
 from quietroom.functions.scores import any_over_half, flag_list, map_get, scores_map, verdict
 from quietroom.functions.text import flags_text
@@ -161,8 +162,8 @@ def decided(spark, sf):
 def aligned(spark, sf):
     """Predictions next to a property of their text, by key instead of by position."""
     preds = scored(spark, sf).select("id", "y", "prob")
-    texts = with_length(documents(spark, sf)).select("id", "n_words")
-    long = scored_long(preds.join(texts, "id"), LABELS, ["id", "n_words"])
+    lengths = with_length(texts(spark, sf)).select("id", "n_words")
+    long = scored_long(preds.join(lengths, "id"), LABELS, ["id", "n_words"])
     return long.select(
         "id", "label", "y", (F.col("prob") >= 0.5).cast("int").alias("pred"), "n_words"
     )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quietroom.catalog.base import (
     LABELS,
-    documents,
     query,
     r,
     sql_clean,
@@ -14,6 +13,7 @@ from quietroom.catalog.base import (
     sql_number,
     sql_tokens,
     table,
+    texts,
 )
 from quietroom.functions.hashing import digest, digest_number
 from quietroom.operators.encode import MAX_WORDS, encode_sequences, word_ids
@@ -49,19 +49,19 @@ _TFIDF = (
 
 @query("term_doc_freq", _COUNTS)
 def term_doc_freq(spark, sf):
-    return term_frequencies(with_terms(documents(spark, sf)), F.col("terms"))
+    return term_frequencies(with_terms(texts(spark, sf)), F.col("terms"))
 
 
 @query("top_vocab", _VOCAB)
 def top_vocab(spark, sf):
-    return vocabulary(with_terms(documents(spark, sf)), F.col("terms"))
+    return vocabulary(with_terms(texts(spark, sf)), F.col("terms"))
 
 
 @query(
     "tfidf_l2", f"SELECT doc_id AS id, term, round(tfidf, 9) AS tfidf FROM ({_TFIDF})"
 )
 def tfidf_l2(spark, sf):
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     vocab = FittedVocabulary.fit(with_terms(docs))
     return tfidf_long(docs, vocab).withColumn("tfidf", r("tfidf"))
 
@@ -85,7 +85,7 @@ _CONTRIBUTIONS = " UNION ALL ".join(
 )
 def contributions(spark, sf):
     """Top terms under coefficients drawn from each vocabulary term's digest."""
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     vocab = FittedVocabulary.fit(with_terms(docs))
     drawn = [
         ((digest_number(digest("coef", c, F.col("term"))) % 201 - 100) / F.lit(100.0)).alias(c)
@@ -119,7 +119,7 @@ _PIECES = (
     """,
 )
 def encoded(spark, sf):
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     rows = encode_sequences(docs, word_ids(docs))
 
     def total(name: str):

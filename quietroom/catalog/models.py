@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from quietroom.catalog.base import (
     LABELS,
     comments,
-    documents,
     query,
     r,
     sql_clean,
     table,
+    texts,
 )
 from quietroom.operators.explain import explain
 from quietroom.operators.reshape import label_values, scored_long
@@ -20,7 +20,7 @@ from quietroom.operators.split import in_split, stratified_split
 from quietroom.plans.evaluate import evaluate_model
 from quietroom.plans.scorers import BatchScorer, Scorer, fit, lexical_predictor, load
 from quietroom.plans.train import predict_over_half, train
-from quietroom.session import materialize, work_path
+from quietroom.session import materialize, spread, work_path
 
 # Fixed word lists of the stand-in lexical model.
 LEXICONS = {
@@ -51,12 +51,12 @@ def _probabilities_of(scorer: Scorer, docs):
 
 @query("tier1_scores")
 def tier1_scores(spark, sf):
-    return _probabilities_of(fitted(spark, sf), documents(spark, sf))
+    return _probabilities_of(fitted(spark, sf), texts(spark, sf))
 
 
 @query("tier2_scores")
 def tier2_scores(spark, sf):
-    return _probabilities_of(fitted(spark, sf, "tier2"), documents(spark, sf))
+    return _probabilities_of(fitted(spark, sf, "tier2"), texts(spark, sf))
 
 
 _BOUNDS = (
@@ -68,7 +68,7 @@ _BOUNDS = (
 @query("tier1_prob_bounds", _BOUNDS)
 def tier1_prob_bounds(spark, sf):
     """Every probability lies in [0, 1] and the decision agrees with one half."""
-    wide = predict_over_half(fitted(spark, sf).scored(documents(spark, sf)))
+    wide = predict_over_half(fitted(spark, sf).scored(texts(spark, sf)))
     rows = scored_long(wide, LABELS, ["id"])
     return rows.groupBy("label").agg(
         F.count("*").alias("n_rows"),
@@ -86,7 +86,7 @@ def model_roundtrip(spark, sf):
     scorer = fitted(spark, sf)
     path = work_path(spark, "tier1")
     scorer.save(spark, path)
-    before = scorer.score(documents(spark, sf)).withColumnRenamed("prob", "before")
+    before = scorer.score(texts(spark, sf)).withColumnRenamed("prob", "before")
     both = load(spark, path).score(before)
     return both.agg(
         F.count("*").alias("n_rows"),
@@ -101,7 +101,7 @@ def model_roundtrip(spark, sf):
 )
 def tier_dispatch(spark, sf):
     """All tiers answer through one interface with one probability per label."""
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     parts = []
     for tier in ("tier1", "tier2", "tier3"):
         rows = fitted(spark, sf, tier).scored(docs)
@@ -129,7 +129,7 @@ def _sql_hits(label: str) -> str:
 )
 def lexical_scores(spark, sf):
     scorer = BatchScorer(LABELS, lexical_predictor(LEXICONS))
-    rows = scorer.scored(documents(spark, sf))
+    rows = scorer.scored(texts(spark, sf))
     return rows.select("id", *[r(F.col("prob")[i]).alias(c) for i, c in enumerate(LABELS)])
 
 
@@ -176,8 +176,11 @@ _WORDS = r"list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))"
 )
 def explain_top10(spark, sf):
     """Explanations of all user requests: counts, own words only, strongest first."""
-    requests = table(spark, sf, "conversations").where("role = 'user'").select(
-        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("comment_text")
+    requests = spread(
+        table(spark, sf, "conversations").where("role = 'user'").select(
+            F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("comment_text")
+        ),
+        "id",
     )
     # Stored once: the counts below read the explanations a single time, but the
     # scorer and the solver run in Python and should not be repeated on a retry.

@@ -8,13 +8,13 @@ from quietroom.catalog.base import (
     LABELS,
     SQL_COMMENTS,
     comments,
-    documents,
     query,
     r,
     sql_clean,
     sql_confusion,
     sql_score,
     sql_swap,
+    texts,
 )
 from quietroom.functions.noise import adjacent_swap, fixed_swap
 from quietroom.operators.decide import flips, predict_labels
@@ -30,7 +30,7 @@ from quietroom.plans.scorers import DigestScorer
 )
 def swapped(spark, sf):
     noisy = adjacent_swap(F.col("comment_text"), F.col("id"))
-    return documents(spark, sf).select("id", noisy.alias("noisy"))
+    return texts(spark, sf).select("id", noisy.alias("noisy"))
 
 
 @query(
@@ -39,7 +39,7 @@ def swapped(spark, sf):
     "|| substr(text, 3, 1) || substr(text, 5) ELSE text END AS noisy FROM documents",
 )
 def swapped_fixed(spark, sf):
-    return documents(spark, sf).select("id", fixed_swap(F.col("comment_text")).alias("noisy"))
+    return texts(spark, sf).select("id", fixed_swap(F.col("comment_text")).alias("noisy"))
 
 
 @query(
@@ -49,7 +49,7 @@ def swapped_fixed(spark, sf):
 )
 def noise_invariants(spark, sf):
     """Noise keeps length and characters, repeats exactly, and moves at most 20 percent."""
-    docs = documents(spark, sf)
+    docs = texts(spark, sf)
     once = with_noise(docs)
     twice = with_noise(once.withColumnRenamed("noisy", "first").repartition(3))
     text, noisy = F.col("comment_text"), F.col("noisy")

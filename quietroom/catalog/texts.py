@@ -14,6 +14,7 @@ from quietroom.catalog.base import (
     sql_tokens,
     sql_words,
     table,
+    texts,
 )
 from quietroom.functions import text as T
 from quietroom.functions.hashing import hash_score
@@ -27,7 +28,7 @@ from quietroom.settings import threshold_grid
     "clean_text", f"SELECT doc_id AS id, {sql_clean('text')} AS clean FROM documents"
 )
 def clean(spark, sf):
-    return documents(spark, sf).select("id", T.clean_text(F.col("comment_text")).alias("clean"))
+    return texts(spark, sf).select("id", T.clean_text(F.col("comment_text")).alias("clean"))
 
 
 @query(
@@ -35,7 +36,7 @@ def clean(spark, sf):
     f"SELECT doc_id AS id, CAST({sql_words('text')} AS INTEGER) AS n_words FROM documents",
 )
 def words(spark, sf):
-    return with_length(documents(spark, sf)).select("id", "n_words")
+    return with_length(texts(spark, sf)).select("id", "n_words")
 
 
 @query(
@@ -43,7 +44,7 @@ def words(spark, sf):
     f"SELECT doc_id AS id, {sql_bucket(sql_words('text'))} AS bucket FROM documents",
 )
 def bucket(spark, sf):
-    return with_length(documents(spark, sf)).select("id", "bucket")
+    return with_length(texts(spark, sf)).select("id", "bucket")
 
 
 @query(
@@ -51,7 +52,7 @@ def bucket(spark, sf):
     f"SELECT doc_id AS id, text AS comment_text FROM documents WHERE {sql_words('text')} < 20",
 )
 def short_texts(spark, sf):
-    rows = with_length(documents(spark, sf)).where("bucket = 'short'")
+    rows = with_length(texts(spark, sf)).where("bucket = 'short'")
     return rows.select("id", "comment_text")
 
 
@@ -63,7 +64,7 @@ def short_texts(spark, sf):
 )
 def tokens(spark, sf):
     found = T.word_tokens(T.clean_text(F.col("comment_text")))
-    return documents(spark, sf).select("id", found.alias("t")).select(
+    return texts(spark, sf).select("id", found.alias("t")).select(
         "id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens")
     )
 
@@ -77,7 +78,7 @@ def tokens(spark, sf):
 )
 def ngrams(spark, sf):
     found = T.word_tokens(T.clean_text(F.col("comment_text")))
-    rows = documents(spark, sf).select("id", found.alias("t"))
+    rows = texts(spark, sf).select("id", found.alias("t"))
     return rows.select("id", T.ngrams(F.col("t")).alias("t")).select(
         "id", F.size("t").alias("n_terms"), F.md5(F.array_join("t", "|")).alias("terms")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,7 +51,12 @@ def most_frequent(counts: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
     rare terms is dropped by that filter before the top-k sort.
     """
     magnitude = F.length(F.bin("tf"))
-    sizes = counts.groupBy(magnitude.alias("_m")).agg(F.count("*").alias("_n"))
+    # Every count is positive; naming them all keeps both readers of ``counts``
+    # on the same columns, so that its shuffle is done once and read twice.
+    present = [F.col(c) > 0 for c in counts.columns if c in ("tf", "df")]
+    sizes = counts.groupBy(magnitude.alias("_m")).agg(
+        F.count(F.when(reduce(and_, present), 1)).alias("_n")
+    )
     larger = W.orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, -1)
     needed = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
     lowest = needed.where(F.col("_above") < limit).agg(F.min("_m"))

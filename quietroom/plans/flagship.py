@@ -10,6 +10,7 @@ from quietroom.operators.reshape import scored_long
 from quietroom.operators.split import in_split, stratified_split
 from quietroom.operators.thresholds import optimize_thresholds
 from quietroom.plans.scorers import fit
+from quietroom.session import spread
 from quietroom.sources.comments import labelled_comments
 
 
@@ -22,7 +23,8 @@ def moderated_documents(
     narrow pass over all documents.
     """
     names = list(labels)
-    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    stored = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    documents = spread(stored, "doc_id")
     parts = stratified_split(
         labelled_comments(documents, spark.read.parquet(f"{folder}/labels.parquet"), names)
     )

@@ -61,6 +61,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    A small table often is one file with one row group, which leaves text work to
+    a single task. Hashing a unique key spreads it, repeatably under retries. A
+    large table already has more splits than cores and is returned unchanged, so
+    this never shuffles big data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+
+
 def join_bounded(
     big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str, max_rows: int | None
 ) -> DataFrame:
