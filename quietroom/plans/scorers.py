@@ -240,7 +240,7 @@ class PooledScorer(Scorer):
 
     def save(self, spark: SparkSession, path: str) -> None:
         PipelineModel([self.counts, *self.models]).write().overwrite().save(f"{path}/model")
-        rows = pd.DataFrame({"idx": range(len(self.matrix)), "vector": list(self.matrix)})
+        rows = list(enumerate(self.matrix.tolist()))
         table = spark.createDataFrame(rows, "idx int, vector array<float>")
         table.write.mode("overwrite").parquet(f"{path}/vectors")
         _write_meta(spark, f"{path}/meta", {"tier": "tier2", "labels": self.labels})
