@@ -11,7 +11,7 @@ from quietroom.functions.hashing import hash_score
 from quietroom.operators.reshape import label_values, scored_long
 from quietroom.session import spread
 from quietroom.settings import threshold_grid
-from quietroom.sources.comments import labelled_comments
+from quietroom.sources.comments import labelled_comments, split_comments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
     return labelled_comments(docs, table(spark, sf, "labels"), LABELS)
 
 
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled documents with their split."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return split_comments(docs, table(spark, sf, "labels"), LABELS)
+
+
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
 

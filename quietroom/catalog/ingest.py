@@ -11,6 +11,7 @@ from quietroom.catalog.base import (
     comments,
     documents,
     labels,
+    parts,
     query,
     r,
     sql_digest,
@@ -153,8 +154,8 @@ def split_stratified(spark, sf):
     "split_sizes", f"SELECT split, count(*) AS n_rows FROM ({SQL_SPLIT}) GROUP BY split"
 )
 def split_sizes(spark, sf):
-    parts = stratified_split(labels(spark, sf).select("id", "toxic"))
-    return parts.groupBy("split").agg(F.count("*").alias("n_rows"))
+    rows = stratified_split(labels(spark, sf).select("id", "toxic"))
+    return rows.groupBy("split").agg(F.count("*").alias("n_rows"))
 
 
 @query(
@@ -163,7 +164,7 @@ def split_sizes(spark, sf):
     f"FROM ({SQL_SPLIT}) s JOIN documents d USING (doc_id) WHERE split = 'test'",
 )
 def split_filter(spark, sf):
-    return in_split(stratified_split(comments(spark, sf)), "test").drop("split")
+    return in_split(parts(spark, sf), "test").drop("split")
 
 
 @query(
@@ -174,8 +175,8 @@ def split_filter(spark, sf):
 def split_disjoint(spark, sf):
     """Parts share no id and together are the table, by set operations."""
     base = labels(spark, sf).select("id", "toxic")
-    parts = stratified_split(base)
-    train, val, test = (in_split(parts, s).select("id") for s in ("train", "val", "test"))
+    split = stratified_split(base)
+    train, val, test = (in_split(split, s).select("id") for s in ("train", "val", "test"))
     union = train.union(val).union(test)
     shared = (
         train.intersect(val).union(train.intersect(test)).union(val.intersect(test))

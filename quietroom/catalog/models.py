@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quietroom.catalog.base import (
     LABELS,
     comments,
+    parts,
     query,
     r,
     sql_clean,
@@ -16,7 +17,7 @@ from quietroom.catalog.base import (
 from quietroom.operators.explain import explain
 from quietroom.operators.reshape import label_values, scored_long
 from quietroom.operators.robustness import variants, with_noise
-from quietroom.operators.split import in_split, stratified_split
+from quietroom.operators.split import in_split
 from quietroom.plans.evaluate import evaluate_model
 from quietroom.plans.scorers import BatchScorer, Scorer, fit, lexical_predictor, load
 from quietroom.plans.train import predict_over_half, train
@@ -36,7 +37,7 @@ def fitted(spark, sf, tier: str = "tier1") -> Scorer:
     key = (spark.sparkContext.applicationId, sf, tier)
     if key not in _fitted:
         options = {"make_predict": lexical_predictor(LEXICONS)} if tier == "tier3" else {}
-        rows = in_split(stratified_split(comments(spark, sf)), "train")
+        rows = in_split(parts(spark, sf), "train")
         _fitted[key] = fit(rows, LABELS, tier, **options)
     return _fitted[key]
 
@@ -142,7 +143,7 @@ def tier1_report(spark, sf):
 @query("tier1_evaluation")
 def tier1_evaluation(spark, sf):
     """Full evaluation of the fitted tier 1 with random character noise."""
-    report = evaluate_model(comments(spark, sf), fitted(spark, sf))
+    report = evaluate_model(parts(spark, sf), fitted(spark, sf))
     return report.select(
         F.map_entries("thresholds").alias("thresholds"), "metrics.*", "robustness.*"
     )

@@ -17,7 +17,7 @@ from quietroom.catalog.base import (
     texts,
 )
 from quietroom.functions.noise import adjacent_swap, fixed_swap
-from quietroom.operators.decide import flips, predict_labels
+from quietroom.operators.decide import flips, flips_wide, predict_labels
 from quietroom.operators.metrics import macro_metrics
 from quietroom.operators.reshape import label_values, scored_long
 from quietroom.operators.robustness import noise_drop, variants, with_noise
@@ -103,13 +103,31 @@ def _scored_variants(spark, sf):
     return scored_long(predict_labels(rows, LABELS), LABELS, ["id", "variant"])
 
 
-@query(
-    "flip_count",
+_FLIPS = (
     f"WITH v AS ({_sql_variants()}) SELECT c.label, count(*) AS n_rows, "
     "count(*) FILTER (c.pred <> n.pred) AS n_flips FROM v c JOIN v n USING (doc_id, label) "
-    "WHERE c.variant = 'clean' AND n.variant = 'noisy' GROUP BY c.label",
+    "WHERE c.variant = 'clean' AND n.variant = 'noisy' GROUP BY c.label"
 )
+
+
+@query("flip_count", _FLIPS)
 def flip_count(spark, sf):
+    """Both decisions on one row, so nothing is joined."""
+    scorer = DigestScorer(LABELS)
+    clean = predict_labels(scorer.score(comments(spark, sf)), LABELS)
+    noisy = adjacent_swap(F.col("comment_text"), F.col("id"))
+    again = scorer.score(
+        clean.withColumnRenamed("pred", "_clean").withColumn("comment_text", noisy)
+    )
+    both = predict_labels(again, LABELS).select(
+        F.col("_clean").alias("pred"), F.col("pred").alias("pred_noisy")
+    )
+    return flips_wide(both, LABELS)
+
+
+@query("flip_count_joined", _FLIPS)
+def flip_count_joined(spark, sf):
+    """The same from two separate prediction tables, by key."""
     long = _scored_variants(spark, sf)
     clean, noisy = (long.where(F.col("variant") == v) for v in ("clean", "noisy"))
     return flips(clean, noisy, ["id", "label"])

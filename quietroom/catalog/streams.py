@@ -10,6 +10,7 @@ from quietroom.functions.text import pipe_join
 from quietroom.session import work_path
 from quietroom.sources.feedback import append_feedback, read_feedback
 from quietroom.streaming.jobs import (
+    read_requests,
     request_stream,
     respond,
     start_feedback,
@@ -114,7 +115,7 @@ def stream_rejects(spark, sf):
     out, mark = work_path(spark, "requests"), work_path(spark, "requests-checkpoint")
     start_validation(requests, out, mark, strict=True).awaitTermination()
     parts = [
-        spark.read.parquet(f"{out}/{name}").select("conv_id", "turn", F.lit(name).alias("outcome"))
+        read_requests(spark, out, name).select("conv_id", "turn", F.lit(name).alias("outcome"))
         for name in ("accepted", "rejected")
     ]
     return parts[0].unionByName(parts[1])

@@ -58,6 +58,3 @@ def validate_requests(df: DataFrame, text: str = "text", strict: bool = False) -
 def accepted(df: DataFrame) -> DataFrame:
     return df.where(F.col("reason").isNull()).drop("reason")
 
-
-def rejected(df: DataFrame) -> DataFrame:
-    return df.where(F.col("reason").isNotNull())

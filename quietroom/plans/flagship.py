@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quietroom.operators.decide import response
 from quietroom.operators.reshape import scored_long
-from quietroom.operators.split import in_split, stratified_split
+from quietroom.operators.split import in_split
 from quietroom.operators.thresholds import optimize_thresholds
 from quietroom.plans.scorers import fit
 from quietroom.session import spread
-from quietroom.sources.comments import labelled_comments
+from quietroom.sources.comments import split_comments
 
 
 def moderated_documents(
@@ -25,9 +25,7 @@ def moderated_documents(
     names = list(labels)
     stored = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     documents = spread(stored, "doc_id")
-    parts = stratified_split(
-        labelled_comments(documents, spark.read.parquet(f"{folder}/labels.parquet"), names)
-    )
+    parts = split_comments(documents, spark.read.parquet(f"{folder}/labels.parquet"), names)
     scorer = fit(in_split(parts, "train"), names)
     validation = scored_long(scorer.scored(in_split(parts, "val")), names, ["id"])
     # One row per label.

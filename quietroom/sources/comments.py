@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietroom.operators.split import stratified_split
+
 
 class MissingLabels(ValueError):
     """Raised when a required label column is absent."""
@@ -103,6 +105,18 @@ def labelled_comments(
     )
 
 
+def split_comments(
+    documents: DataFrame, labels: DataFrame, label_cols: list[str], key: str = "doc_id"
+) -> DataFrame:
+    """Labelled comments with their ``split``, decided on the label table alone.
+
+    Splitting before the join keeps texts out of it, and a filter on ``split``
+    reaches the label side before the texts are joined.
+    """
+    parts = stratified_split(labels.select(key, *label_cols), key, label_cols[0])
+    return labelled_comments(documents, parts, [*label_cols, "split"], key)
+
+
 def unlabelled_comments(
     documents: DataFrame, labels: DataFrame, key: str = "doc_id"
 ) -> DataFrame:

@@ -7,10 +7,11 @@ table, so throughput grows with the number of input files and executors.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quietroom.operators.decide import response
-from quietroom.operators.reshape import accepted, rejected, validate_requests
+from quietroom.operators.reshape import accepted, validate_requests
 from quietroom.plans.scorers import Scorer
 from quietroom.sources.feedback import CSV_OPTIONS, feedback_rows
 
@@ -74,15 +75,17 @@ def start_validation(
     strict: bool = False,
     **trigger,
 ) -> StreamingQuery:
-    """Write accepted and rejected requests to two tables.
+    """Write accepted and rejected requests apart, reading each micro-batch once.
 
     A repeated micro-batch overwrites its own folder, so a retry adds no row twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = validate_requests(batch, text, strict)
-        for name, part in (("accepted", accepted(checked)), ("rejected", rejected(checked))):
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        outcome = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
+        checked.withColumn("outcome", outcome).write.mode("overwrite").partitionBy(
+            "outcome"
+        ).parquet(f"{out}/batch_id={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(write)
@@ -90,3 +93,8 @@ def start_validation(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_requests(spark: SparkSession, out: str, outcome: str) -> DataFrame:
+    """The accepted or the rejected requests; only that part of the files is read."""
+    return spark.read.parquet(out).where(F.col("outcome") == outcome).drop("outcome")

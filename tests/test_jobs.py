@@ -6,7 +6,13 @@ from quietroom.plans import scorers
 from quietroom.plans.evaluate import evaluate_model, evaluation_report, predictions
 from quietroom.plans.scorers import BatchScorer, DigestScorer, TfidfScorer, fit, lexical_predictor
 from quietroom.plans.train import save_best, train
-from quietroom.streaming.jobs import request_stream, respond, start_scoring, start_validation
+from quietroom.streaming.jobs import (
+    read_requests,
+    request_stream,
+    respond,
+    start_scoring,
+    start_validation,
+)
 
 LABELS = ["toxic", "quality"]
 
@@ -108,5 +114,5 @@ def test_stream_side_output(spark, tmp_path):
     df.write.parquet(source)
     live = request_stream(spark, source, df.schema)
     start_validation(live, out, str(tmp_path / "mark"), strict=True).awaitTermination()
-    ids = lambda name: sorted(r["id"] for r in spark.read.parquet(f"{out}/{name}").collect())
+    ids = lambda name: sorted(r["id"] for r in read_requests(spark, out, name).collect())
     assert ids("accepted") == [1] and ids("rejected") == [2, 3]
