@@ -8,6 +8,7 @@ from quietroom.catalog.base import (
     LABELS,
     SQL_COMMENTS,
     SQL_GRID,
+    SQL_SPLIT,
     comments,
     labels,
     long_scores,
@@ -33,6 +34,7 @@ from quietroom.operators.metrics import classification_report, confusion, macro_
 from quietroom.operators.profile import pos_weights
 from quietroom.operators.reshape import label_values, scored_long, stack
 from quietroom.operators.robustness import bucket_macro, compare_models, with_length
+from quietroom.operators.split import in_split, stratified_split
 from quietroom.operators.thresholds import (
     at_edges,
     optimize_thresholds,
@@ -116,6 +118,28 @@ def batched_loss(spark, sf):
     return _rounded(result, "batch_mean_loss", "mean_loss")
 
 
+_SPLIT_LOSSES = (
+    f"SELECT split, loss, doc_id FROM ({_sql_row_losses(False)}) JOIN ({SQL_SPLIT}) USING (doc_id)"
+)
+
+
+@query(
+    "epoch_losses",
+    "SELECT split, count(*) AS n_batches, round(avg(m), 9) AS batch_mean_loss, "
+    "round(sum(s) / sum(n), 9) AS mean_loss FROM ("
+    "SELECT split, b, avg(loss) AS m, sum(loss) AS s, count(*) AS n FROM (SELECT split, loss, "
+    f"(row_number() OVER (PARTITION BY split ORDER BY {sql_digest('doc_id')}, doc_id) - 1) // 32 AS b "
+    f"FROM ({_SPLIT_LOSSES}) WHERE split IN ('train', 'val')) GROUP BY split, b) GROUP BY split",
+)
+def epoch_losses(spark, sf):
+    """Training and validation loss as means of their batch means."""
+    losses = _row_losses(spark, sf)
+    split = stratified_split(labels(spark, sf).select("id", "toxic")).select("id", "split")
+    joined = losses.join(split, "id")
+    rows = stack({s: batch_mean_loss(in_split(joined, s)) for s in ("train", "val")}, "split")
+    return _rounded(rows, "batch_mean_loss", "mean_loss")
+
+
 _CANDIDATES = [f"epoch{i}" for i in (1, 2, 3)]
 
 
