@@ -34,7 +34,7 @@ from quietroom.operators.metrics import classification_report, confusion, macro_
 from quietroom.operators.profile import pos_weights
 from quietroom.operators.reshape import label_values, scored_long, stack
 from quietroom.operators.robustness import bucket_macro, compare_models, with_length
-from quietroom.operators.split import in_split, stratified_split
+from quietroom.operators.split import stratified_split
 from quietroom.operators.thresholds import (
     at_edges,
     optimize_thresholds,
@@ -135,9 +135,8 @@ def epoch_losses(spark, sf):
     """Training and validation loss as means of their batch means."""
     losses = _row_losses(spark, sf)
     split = stratified_split(labels(spark, sf).select("id", "toxic")).select("id", "split")
-    joined = losses.join(split, "id")
-    rows = stack({s: batch_mean_loss(in_split(joined, s)) for s in ("train", "val")}, "split")
-    return _rounded(rows, "batch_mean_loss", "mean_loss")
+    kept = losses.join(split, "id").where(F.col("split").isin("train", "val"))
+    return _rounded(batch_mean_loss(kept, ["split"]), "batch_mean_loss", "mean_loss")
 
 
 _CANDIDATES = [f"epoch{i}" for i in (1, 2, 3)]

@@ -26,40 +26,46 @@ def mean_loss(df: DataFrame, loss: str = "loss") -> DataFrame:
 
 def batch_mean_loss(
     df: DataFrame,
+    by: list[str] | None = None,
     key: str = "id",
     loss: str = "loss",
     batch_size: int = BATCH_SIZE,
     seed: int = SEED,
 ) -> DataFrame:
-    """Mean of the batch means, a short last batch counting as much as a full one.
+    """Mean of the batch means per group, a short last batch counting as a full one.
 
     Rows of full batches all weigh the same, so only the rows of the last, short
     batch have to be told apart. There are fewer of those than ``batch_size``: a
-    top-k over the digest finds them, and nothing is numbered or sorted as a whole.
+    rank limit, applied before the shuffle, keeps the last few rows of each task
+    and group, and nothing is numbered or sorted as a whole.
     """
-    rows = df.select(digest(F.col(key), seed=seed).alias("_h"), F.col(key).alias("_k"), loss)
-    whole = rows.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(loss), F.lit(0.0)).alias("total")
+    by = by or []
+    rows = df.select(
+        *by, digest(F.col(key), seed=seed).alias("_h"), F.col(key).alias("_k"), loss
     )
-    latest = W.orderBy(F.desc("_h"), F.desc("_k"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(loss).alias("total"))
+    latest = W.partitionBy(*by).orderBy(F.desc("_h"), F.desc("_k"))
     tail = (
-        rows.orderBy(F.desc("_h"), F.desc("_k"))
-        .limit(batch_size - 1)
-        .withColumn("_r", F.row_number().over(latest))
+        rows.withColumn("_r", F.row_number().over(latest))
+        .where(F.col("_r") < batch_size)
+        .groupBy(*by)
+        .agg(F.collect_list(F.struct("_r", F.col(loss).alias("_l"))).alias("last"))
     )
-    short = F.lit(whole.select("n").scalar()) % batch_size
-    last = tail.where(F.col("_r") <= short).agg(
-        F.coalesce(F.sum(loss), F.lit(0.0)).alias("last_total")
+    facts = whole.unionByName(tail, allowMissingColumns=True)
+    merged = facts.groupBy(*by).agg(
+        *[F.any_value(c, F.lit(True)).alias(c) for c in ("n", "total", "last")]
     )
     n, total = F.col("n"), F.col("total")
-    last_total = F.lit(last.scalar())
-    rest = n % batch_size
-    full_batches = F.floor(n / batch_size)
-    full = (total - last_total) / F.lit(float(batch_size))
-    tail_mean = F.when(rest > 0, last_total / rest).otherwise(F.lit(0.0))
-    batches = full_batches + F.when(rest > 0, 1).otherwise(0)
-    return whole.select(
+    short = n % batch_size
+    # Summed in row order, so that the result does not depend on arrival.
+    ordered = F.array_sort(F.filter("last", lambda e: e["_r"] <= short))
+    last = F.aggregate(ordered, F.lit(0.0), lambda acc, e: acc + e["_l"])
+    full = (total - last) / F.lit(float(batch_size))
+    partial = F.when(short > 0, last / short).otherwise(F.lit(0.0))
+    batches = F.floor(n / batch_size) + F.when(short > 0, 1).otherwise(0)
+    return merged.where(n > 0).select(
+        *by,
         batches.cast("bigint").alias("n_batches"),
-        F.try_divide(full + tail_mean, batches).alias("batch_mean_loss"),
-        F.try_divide(total, n).alias("mean_loss"),
+        ((full + partial) / batches).alias("batch_mean_loss"),
+        (total / n).alias("mean_loss"),
     )
