@@ -32,6 +32,9 @@ from quietroom.operators.vocabulary import corpus_counts, most_frequent
 from quietroom.settings import MAX_FEATURES, SEED
 
 
+ROWS_PER_FIT_TASK = 2_000
+
+
 class Scorer:
     """Texts in, one probability per label out."""
 
@@ -93,7 +96,10 @@ def fit_label_models(
             rows = featured.select(
                 "features", F.col(name).cast("double").alias("_y"), weight.alias("_w")
             )
-            return lr.fit(rows)
+            # Every iteration is a job; tasks of few rows cost more to start than to
+            # run. On a large table this asks for more partitions than there are and
+            # changes nothing.
+            return lr.fit(rows.coalesce(max(1, n // ROWS_PER_FIT_TASK)))
 
         with ThreadPoolExecutor(max_workers=min(parallelism, len(labels))) as pool:
             spark = featured.sparkSession
