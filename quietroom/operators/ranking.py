@@ -57,7 +57,12 @@ def shuffled(df: DataFrame, key: str = "id", seed: int = SEED) -> DataFrame:
 
 
 def rank_cuts(
-    keyed: DataFrame, key: str, stratum: str, tenths: tuple[int, ...], digits: int = 4
+    keyed: DataFrame,
+    key: str,
+    stratum: str,
+    tenths: tuple[int, ...],
+    digits: int = 4,
+    max_strata: int | None = None,
 ) -> DataFrame:
     """The digest and key of the last row within each cut, per stratum.
 
@@ -89,9 +94,12 @@ def rank_cuts(
         "_s", "_b", "_cut", (target - F.col("_before")).alias("_need")
     )
     # One bucket per stratum and cut: the join keeps 1/16**digits of the rows.
-    edge = bucketed.withColumnRenamed("_b", "_eb").join(
-        F.broadcast(hit),
+    edge = join_bounded(
+        bucketed.withColumnRenamed("_b", "_eb"),
+        hit,
         F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_eb") == F.col("_b")),
+        "inner",
+        max_strata and max_strata * len(tenths),
     )
     place = F.row_number().over(W.partitionBy("_s", "_cut").orderBy("_h", key))
     last = edge.withColumn("_p", place).where(F.col("_p") == F.col("_need"))

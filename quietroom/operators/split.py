@@ -39,7 +39,9 @@ def stratified_split(
     if not few_strata(df, stratum):
         raise ValueError(f"{stratum} has more than {STRATA_LIMIT} classes")
     keyed = df.withColumn("_h", digest(F.col(key), seed=seed))
-    cuts = rank_cuts(keyed.select(key, stratum, "_h"), key, stratum, (8, 9), digits)
+    cuts = rank_cuts(
+        keyed.select(key, stratum, "_h"), key, stratum, (8, 9), digits, STRATA_LIMIT
+    )
     placed = join_bounded(
         keyed, cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left", STRATA_LIMIT
     )

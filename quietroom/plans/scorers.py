@@ -29,6 +29,7 @@ from quietroom.operators.profile import balanced_weights
 from quietroom.operators.reshape import label_values
 from quietroom.operators.tfidf import FittedVocabulary, tfidf_stages, with_terms
 from quietroom.operators.vocabulary import corpus_counts, most_frequent
+from quietroom.session import join_bounded
 from quietroom.settings import MAX_FEATURES, SEED
 
 
@@ -222,7 +223,7 @@ class PooledScorer(Scorer):
             seed=seed,
         ).fit(tokens.select("terms"))
         names = spark.createDataFrame(list(enumerate(terms)), "idx int, word string")
-        known = w2v.getVectors().join(F.broadcast(names), "word")
+        known = join_bounded(w2v.getVectors(), names, "word", "inner", len(terms))
         matrix = np.zeros((len(terms), vector_size), dtype=np.float32)
         for row in known.select("idx", "vector").collect():
             matrix[row["idx"]] = row["vector"].toArray()

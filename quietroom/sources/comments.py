@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietroom.operators.split import stratified_split
+from quietroom.session import materialize
 
 
 class MissingLabels(ValueError):
@@ -55,8 +56,9 @@ def read_comments_csv(
     """Comments as ``id, comment_text, <labels>``; without labels when none are asked for.
 
     ``multi_line`` is needed for texts with line breaks and makes each file one
-    task, so large inputs should come as many files (or parquet). A file without
-    an id column gets a digest of text and labels as its key.
+    task, so large inputs should come as many files (or parquet). Rows of a file
+    without an id column are numbered and stored once in the shared folder: copies
+    of a text stay different rows, and the numbers stay the same for every later job.
     """
     schema = csv_schema(spark, path, label_cols)
     reader = (
@@ -68,7 +70,13 @@ def read_comments_csv(
     )
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
-    return project_comments(reader.csv(path), label_cols, text_col, id_col)
+    rows = reader.csv(path)
+    if id_col in rows.columns:
+        return project_comments(rows, label_cols, text_col, id_col)
+    numbered = rows.withColumn(id_col, F.monotonically_increasing_id())
+    return materialize(
+        project_comments(numbered, label_cols, text_col, id_col), "numbered-comments"
+    )
 
 
 def project_comments(
@@ -81,13 +89,8 @@ def project_comments(
     absent = missing_labels(df, label_cols or [])
     if absent:
         raise MissingLabels(f"label columns not found: {', '.join(absent)}")
-    if id_col in df.columns:
-        key = F.col(id_col)
-    else:
-        parts = [F.coalesce(F.col(text_col), F.lit("")), *map(F.col, label_cols or [])]
-        key = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
     return df.select(
-        key.alias("id"), F.col(text_col).alias("comment_text"), *(label_cols or [])
+        F.col(id_col).alias("id"), F.col(text_col).alias("comment_text"), *(label_cols or [])
     )
 
 

@@ -36,6 +36,14 @@ def test_csv_without_labels_or_id(spark, csv_file):
     assert keyed.select("id").distinct().count() == 3
 
 
+def test_csv_copies_without_id_stay_apart(spark, tmp_path):
+    path = tmp_path / "copies.csv"
+    path.write_text("comment_text,toxic\n" + "same text,1\n" * 50 + "other,0\n" * 10)
+    rows = read_comments_csv(spark, str(path), ["toxic"])
+    assert rows.select("id").distinct().count() == 60
+    assert stratified_split(rows).groupBy("split").count().count() == 3
+
+
 def test_missing_labels(spark, csv_file):
     df = read_comments_csv(spark, csv_file, ["toxic"])
     assert missing_labels(df, ["toxic", "threat"]) == ["threat"]
