@@ -47,34 +47,47 @@ def _mix(x, c):
     return (((c[0] * x + c[1]) % PRIME * x + c[2]) % PRIME * x + c[0]) % PRIME
 
 
-def step(number: Column, a: int, keys: list[tuple[int, int, int]]) -> Column:
-    """One pass of the network; each round's lambda binds both halves, so nothing is repeated."""
-    halves = F.array(number % a, F.floor(number / a).cast("long"))
-    state = F.array(halves)
+def one_pass(rows: DataFrame, n: int, keys: list[tuple[int, int, int]]) -> DataFrame:
+    """``__p``: one pass of the network over ``__p``, a projection for each round."""
+    a = side(n)
+    rows = rows.withColumns({"__l": F.col("__p") % a, "__r": F.floor(F.col("__p") / a)})
     for c in keys:
-        state = F.transform(state, _swap(a, c))
-    return F.get(F.transform(state, lambda s: F.get(s, 0) + F.get(s, 1) * a), 0)
+        turned = (F.col("__l") + _mix(F.col("__r"), c)) % a
+        rows = rows.withColumns({"__l": F.col("__r"), "__r": turned})
+    return rows.withColumn("__p", F.col("__l") + F.col("__r") * a).drop("__l", "__r")
 
 
-def _swap(a: int, c: tuple[int, int, int]):
-    return lambda s: F.array(F.get(s, 1), (F.get(s, 0) + _mix(F.get(s, 1), c)) % a)
+def walked(p: Column, n: int, keys: list[tuple[int, int, int]]) -> Column:
+    """``p`` moved along its cycle into 0..n-1; the fold runs for values outside only."""
+    a = side(n)
+    rounds = [
+        F.struct(
+            *[F.lit(x).cast("long").alias(f"c{i}") for i, x in enumerate(c)],
+            F.lit(k == len(keys) - 1).alias("last"),
+        )
+        for k, c in enumerate(keys)
+    ]
+    start = F.struct((p % a).alias("l"), F.floor(p / a).alias("r"), F.lit(False).alias("done"))
 
+    def turn(s: Column, c: Column) -> Column:
+        left, right = s["r"], (s["l"] + _mix(s["r"], [c["c0"], c["c1"], c["c2"]])) % a
+        inside = c["last"] & (left + right * a < n)
+        moved = F.struct(left.alias("l"), right.alias("r"), inside.alias("done"))
+        return F.when(s["done"], s).otherwise(moved)
 
-def permuted(number: Column, n: int, key: int) -> Column:
-    """The place of row ``number`` among ``n``: a permutation of 0..n-1 that ``key`` selects."""
-    a, keys = side(n), round_keys(key)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)),
-        step(number, a, keys),
-        lambda p, _: F.when(p < n, p).otherwise(step(p, a, keys)),
-    )
-    inside = F.transform(
-        F.array(walk),
-        lambda p: F.when(p < n, p).otherwise(
-            F.raise_error(F.lit("cycle longer than the walk; choose another key")).cast("long")
-        ),
-    )
-    return F.get(inside, 0)
+    def number(s: Column) -> Column:
+        lost = F.raise_error(F.lit("cycle longer than the walk; choose another key"))
+        return F.when(s["done"], s["l"] + s["r"] * a).otherwise(lost.cast("long"))
+
+    steps = F.flatten(F.array_repeat(F.array(*rounds), WALK))
+    return F.when(p < n, p).otherwise(F.aggregate(steps, start, turn, number))
+
+
+def permuted(rows: DataFrame, number: str, n: int, key: int, into: str) -> DataFrame:
+    """``into``: the place of row ``number`` among ``n``, a permutation that ``key`` selects."""
+    keys = round_keys(key)
+    first = one_pass(rows.withColumn("__p", F.col(number).cast("long")), n, keys)
+    return first.withColumn(into, walked(F.col("__p"), n, keys)).drop("__p")
 
 
 def place_of(number: int, n: int, key: int) -> int:
@@ -143,13 +156,13 @@ def shard_rows(docs: DataFrame, shards: int, key: int = 42) -> DataFrame:
     )
     n = docs.select("doc_id").count()
     rows = numbered(narrow, ["doc_id", "text_crc32", "size"], n, "row_number")
-    return rows.withColumn("__p", permuted(F.col("row_number"), n, key)).select(
+    return permuted(rows, "row_number", n, key, "__place").select(
         "doc_id",
         "size",
         "text_crc32",
         "row_number",
-        (F.col("__p") % shards).cast("int").alias("shard"),
-        F.floor(F.col("__p") / shards).cast("long").alias("slot"),
+        (F.col("__place") % shards).cast("int").alias("shard"),
+        F.floor(F.col("__place") / shards).cast("long").alias("slot"),
     )
 
 
