@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +59,19 @@ def held_out(doc_id: str = "doc_id"):
     """True for rows that no fit may read; a null id is not held out."""
     digest = F.crc32(F.col(doc_id).cast("string").cast("binary"))
     return F.coalesce(digest % 3 == HELD_OUT, F.lit(False))
+
+
+def with_arrow_columns(df: DataFrame, compute, fields: list[str]) -> DataFrame:
+    """``df`` with columns that ``compute(batch)`` gives as Arrow arrays, one for each field.
+
+    ``fields`` are DDL such as ``"score double"``; columns of ``df`` with these names are replaced.
+    """
+    new = T.StructType.fromDDL(", ".join(fields))
+    rest = df.drop(*new.names)
+
+    def run(batches):
+        for batch in batches:
+            arrays = [*batch.columns, *compute(batch)]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *new.names])
+
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *new.fields]))
