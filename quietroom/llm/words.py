@@ -25,6 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[SPACES] = True
+# Everything in ASCII but letters and digits.
+NOT_ALPHANUMERIC = np.zeros(256, bool)
+NOT_ALPHANUMERIC[[c for c in range(128) if not chr(c).isalnum()]] = True
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _CODES = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))[_FOLD]
@@ -51,9 +54,11 @@ def _make_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _hash_piece(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_piece(
+    data: np.ndarray, starts_at: np.ndarray, between: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Start positions and hashes of the words of ``data``; a text starts at each ``starts_at``."""
-    solid = ~_IS_SPACE[data]
+    solid = ~between[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     ends = solid.copy()
@@ -82,12 +87,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _cuts(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Cut one long text after white space into pieces of about CHUNK bytes."""
+def _cuts(
+    data: np.ndarray, start: int, end: int, between: np.ndarray
+) -> Iterator[tuple[int, int]]:
+    """Cut one long text between words into pieces of about CHUNK bytes."""
     while end - start > CHUNK:
         at = start + CHUNK
         while at < end:
-            found = np.flatnonzero(_IS_SPACE[data[at : at + CHUNK]])
+            found = np.flatnonzero(between[data[at : at + CHUNK]])
             if len(found):
                 at += int(found[0]) + 1
                 break
@@ -98,11 +105,14 @@ def _cuts(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    column: pa.Array, between: np.ndarray = _IS_SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text, with A-Z lower-cased.
 
-    Returns all hashes and the n + 1 offsets of the texts in them. Works through about CHUNK bytes
-    at a time, so memory beyond the hashes does not grow with the batch or with a text.
+    ``between`` marks the bytes that separate words, if others than white space. Returns all
+    hashes and the n + 1 offsets of the texts in them. Works through about CHUNK bytes at a time, so
+    memory beyond the hashes does not grow with the batch or with a text.
     """
     data, offsets = utf8(column)
     n = len(offsets) - 1
@@ -114,14 +124,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if stop > row:
             lo, hi = offsets[row], offsets[stop]
             starts = offsets[row:stop] - lo
-            first, hashes = _hash_piece(data[lo:hi], starts)
+            first, hashes = _hash_piece(data[lo:hi], starts, between)
             owner = np.searchsorted(starts, first, "right") - 1
             counts[row:stop] = np.bincount(owner, minlength=stop - row)
             parts.append(hashes)
             row = stop
         else:
-            for lo, hi in _cuts(data, int(offsets[row]), int(offsets[row + 1])):
-                _, hashes = _hash_piece(data[lo:hi], np.zeros(1, np.int64))
+            for lo, hi in _cuts(data, int(offsets[row]), int(offsets[row + 1]), between):
+                _, hashes = _hash_piece(data[lo:hi], np.zeros(1, np.int64), between)
                 counts[row] += len(hashes)
                 parts.append(hashes)
             row += 1
