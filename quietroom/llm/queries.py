@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quietroom.llm import decontamination, language_id, line_dedup, ngram_join, packing, sharding, warc  # noqa: F401
+from quietroom.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, warc  # noqa: F401
 from quietroom.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
