@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,9 +16,14 @@ from quietroom.settings import BROADCAST_ROWS
 _local_root: str | None = None
 
 
-def local_session(cores: int | str = 8, app: str = "quietroom") -> SparkSession:
+def local_session(
+    cores: int | str = 8, app: str = "quietroom", checkpoint_dir: str | None = None
+) -> SparkSession:
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,17 +39,18 @@ def local_session(cores: int | str = 8, app: str = "quietroom") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster the setting is required.
+    On a cluster the setting is required. A session without it whose executors run inside the
+    driver gets one folder of its own, removed when the process ends.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="quietroom-")
+        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
     return _local_root
 
 
