@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quietroom.session import shared_root
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,10 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor reaches."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
