@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    path, before = None, None
+    path = None
     current = pairs.distinct()
     while True:
         following = shared_path(spark, "edges")
@@ -29,12 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
             drop_path(spark, path)
         path = following
         stored = spark.read.schema(schema).parquet(path)
-        mark = stored.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if mark == before or mark[0] == 0:
+        if _is_star_forest(stored):
             break
-        before = mark
         both = stored.unionByName(stored.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
@@ -55,3 +51,15 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(
         stored.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one edge only and no ``v`` is a ``u``."""
+    above = F.struct(F.lit(1).alias("up"), F.lit(0).alias("down"))
+    below = F.struct(F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), above.alias("is")),
+        F.struct(F.col("v").alias("node"), below.alias("is")),
+    )).alias("e"))
+    seen = ends.groupBy("e.node").agg(F.sum("e.is.up").alias("up"), F.sum("e.is.down").alias("down"))
+    return seen.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()

@@ -7,9 +7,9 @@ with ``exact + 2 * deletion = H + 1`` segments, at least one of them must agree,
 a signature. How many segments are of either kind is chosen for each band by its cost: signatures
 written plus expected partners by chance, from the number of sets in the band.
 
-Equal sets are one node. In every bucket of equal signatures the nodes are verified against a
-pivot; buckets that still hold several components are tried with other pivots, and what is left
-is verified pair by pair across components. All tests are exact intersections of whole sets.
+Equal sets are one node. Nodes that signatures connect form clusters, small next to the corpus;
+clusters are cut into blocks, and each pair of blocks is verified in one task by exact
+intersections of whole sets, which returns a spanning forest of the links and never the pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ _U = np.uint64
 BAND_RATIO = 1.5
 # In the cost model: chance that a shingle of one set is in another set of the same band.
 SHARED_CHANCE = 0.2
-PIVOT_ROUNDS = 3
 ROWS_OUT = 200_000
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -124,23 +124,22 @@ def set_sizes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) -> DataFrame:
-    """``sig, node, n``: the signatures of every set in its own band and in those of its partners."""
+    """``sig, node``: the signatures of every set in its own band and in those of its partners."""
     lows = [b.low for b in bands]
 
-    def block(sigs, nodes, sizes):
+    def block(sigs, nodes):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(sigs).view(np.int64)),
                 pa.array(np.repeat(nodes, [len(s) for s in sigs])),
-                pa.array(np.repeat(sizes, [len(s) for s in sigs]).astype(np.int32)),
             ],
-            ["sig", "node", "n"],
+            ["sig", "node"],
         )
 
     def run(batches):
         for batch in batches:
             words, ends = word_hashes(batch.column(0))
-            sigs, nodes, sizes, waiting, seen = [], [], [], 0, set()
+            sigs, nodes, waiting, seen = [], [], 0, set()
             for i in range(len(ends) - 1):
                 found = shingle_set(words[ends[i] : ends[i + 1]], k)
                 node = set_hash(found)
@@ -153,16 +152,15 @@ def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) ->
                 while at >= 0 and bands[at].high >= least:
                     sigs.append(signatures(found, bands[at]))
                     nodes.append(node)
-                    sizes.append(len(found))
                     waiting += len(sigs[-1])
                     at -= 1
                 if waiting >= ROWS_OUT:
-                    yield block(sigs, nodes, sizes)
-                    sigs, nodes, sizes, waiting = [], [], [], 0
+                    yield block(sigs, nodes)
+                    sigs, nodes, waiting = [], [], 0
             if sigs:
-                yield block(sigs, nodes, sizes)
+                yield block(sigs, nodes)
 
-    return texts.mapInArrow(run, "sig bigint, node bigint, n int")
+    return texts.mapInArrow(run, "sig bigint, node bigint")
 
 
 def set_table(texts: DataFrame, k: int) -> DataFrame:
@@ -183,32 +181,82 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``u, v`` pairs whose sets meet the threshold, by exact intersection."""
-    left = sets.select(F.col("node").alias("u"), F.col("items").alias("__a"))
-    right = sets.select(F.col("node").alias("v"), F.col("items").alias("__b"))
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    counts = np.zeros((len(a), len(b)), np.int32)
+    owners = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b)]
+    items = [np.concatenate(s) for s in (a, b)]
+    orders = [np.argsort(x, kind="stable") for x in items]
+    items = [x[o] for x, o in zip(items, orders, strict=True)]
+    owners = [x[o] for x, o in zip(owners, orders, strict=True)]
+    shared = np.intersect1d(*map(np.unique, items), assume_unique=True)
+    (al, ar), (bl, br) = (
+        (np.searchsorted(x, shared, "left"), np.searchsorted(x, shared, "right")) for x in items
+    )
+    for i, j, k, m in zip(al, ar, bl, br, strict=True):
+        counts[owners[0][i:j, None], owners[1][None, k:m]] += 1
+    return counts
 
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a = np.frombuffer(a.as_buffer(), "<u8")
-                b = np.frombuffer(b.as_buffer(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
-
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "__a", "__b")
-    return joined.mapInArrow(run, "u bigint, v bigint")
-
-
-def _pairs(found: DataFrame, percent: int) -> DataFrame:
-    """Distinct ordered pairs of ``node, n, other, m`` rows that can meet the threshold by size."""
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    return (
-        found.where((F.col("node") != F.col("other")) & fits)
-        .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-        .distinct()
+
+def least_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of ``n`` positions that each can reach over the edges ``u, v``."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, u, root[v])
+        np.minimum.at(least, v, root[u])
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            return root
+        root = least
+
+
+def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: a spanning forest of the links in each pair of blocks of a cluster.
+
+    ``blocks`` has ``cluster, i, j, left, node, items``; with i = j all rows are ``left``.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = group["node"].to_numpy()
+        left = group["left"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group["items"]]
+        same = group["i"][0].as_py() == group["j"][0].as_py()
+        one = np.flatnonzero(left)
+        two = one if same else np.flatnonzero(~left)
+        edges = pa.array([], pa.int64())
+        if not len(one) or not len(two):
+            return pa.table({"u": edges, "v": edges})
+        both = shared_counts([sets[x] for x in one], [sets[x] for x in two])
+        sizes = np.array([len(x) for x in sets], np.int64)
+        whole = sizes[one][:, None] + sizes[two][None, :] - both
+        u, v = np.nonzero(100 * both.astype(np.int64) >= percent * whole)
+        root = least_reachable(one[u], two[v], len(nodes))
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"u": nodes[linked], "v": nodes[root[linked]]})
+
+    return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
+
+
+def paired_blocks(placed: DataFrame, block: int) -> DataFrame:
+    """Rows of ``cluster, node, n, items`` once for each pair of blocks that needs them.
+
+    A cluster is cut into blocks of about ``block`` nodes by a hash, so that every pair of its
+    nodes meets in one task; most clusters are a single block.
+    """
+    sizes = placed.groupBy("cluster").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    seen = placed.join(sizes, "cluster").withColumn("own", own)
+    seen = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return seen.select(
+        "cluster",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        (F.col("own") <= F.col("other")).alias("left"),
+        "node",
+        "items",
     )
 
 
@@ -232,61 +280,22 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     ]
 
     rows = signature_rows(texts, k, percent, bands)
-    shared = (
-        rows.groupBy("sig")
-        .agg(F.min("node").alias("a"), F.max("node").alias("b"))
-        .where("a <> b")
-        .select("sig")
+    shared = rows.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    candidates = rows.join(shared.where("a <> b"), "sig").where("node <> a")
+    clusters = stored(
+        components(candidates.select(F.col("node").alias("u"), F.col("a").alias("v"))), "clusters"
     )
-    buckets = stored(rows.join(shared, "sig").distinct(), "buckets")
 
     first = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = buckets.select("node").distinct().join(first, "node").select("doc_id")
-    sets = stored(
-        set_table(named.join(wanted, "doc_id", "left_semi").select("text"), k)
-        .groupBy("node")
+    wanted = clusters.join(first, "node").select("doc_id")
+    sets = set_table(named.join(wanted, "doc_id", "left_semi").select("text"), k)
+    placed = stored(
+        sets.join(clusters, "node")
+        .groupBy(F.col("root").alias("cluster"), "node")
         .agg(F.first("items").alias("items")),
         "sets",
     )
-
-    tested, linked, active = nothing, nothing, buckets
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            first_of = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn)))
-            other = active.groupBy("sig").agg(first_of.alias("p"))
-            other = other.select("sig", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
-            if turn:
-                other = other.join(
-                    active.select("sig", F.col("node").alias("other"), F.col("root").alias("r")),
-                    ["sig", "other"],
-                )
-        else:
-            other = active.select(
-                "sig", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("r")
-            )
-        found = active.join(other, "sig")
-        if turn:
-            found = found.where("root <> r")
-        fresh = stored(_pairs(found, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
-        passed = stored(verified(fresh, sets, percent), "links")
-        tested, linked = tested.unionByName(fresh), linked.unionByName(passed)
-        if turn == PIVOT_ROUNDS:
-            break
-        roots = components(linked)
-        rooted = (
-            buckets.join(roots, "node", "left")
-            .withColumn("root", F.coalesce("root", "node"))
-            .select("sig", "node", "n", "root")
-        )
-        # Two nodes have been tested against each other in the first round.
-        open_ones = rooted.groupBy("sig").agg(
-            F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c")
-        )
-        open_ones = open_ones.where("a <> b AND c > 2").select("sig")
-        active = stored(rooted.join(open_ones, "sig"), "open")
-        if active.isEmpty():
-            break
-    return linked
+    return stored(block_links(paired_blocks(placed, BLOCK), percent), "links")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
