@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quietroom.functions.hashing import hash_score
 from quietroom.operators.reshape import label_values, scored_long
-from quietroom.session import spread
+from quietroom.session import dealt
 from quietroom.settings import threshold_grid
 from quietroom.sources.comments import labelled_comments, split_comments
 
@@ -35,13 +35,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
     """``id, comment_text, toxic, quality`` of the labelled documents."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return labelled_comments(docs, table(spark, sf, "labels"), LABELS)
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled documents with their split."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return split_comments(docs, table(spark, sf, "labels"), LABELS)
 
 
@@ -55,8 +55,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents, spread over all cores for work on their texts."""
-    return spread(documents(spark, sf), "id")
+    """The documents for work on their texts."""
+    return dealt(documents(spark, sf), "id")
 
 
 def probabilities(*salt: str, key: str = "id") -> Column:

@@ -16,7 +16,7 @@ from quietroom.catalog.base import (
     texts,
 )
 from quietroom.functions.hashing import digest, digest_number
-from quietroom.operators.encode import MAX_WORDS, encode_sequences, word_ids
+from quietroom.operators.encode import encode_sequences, word_ids
 from quietroom.operators.pooling import pool_groups
 from quietroom.operators.tfidf import (
     FittedVocabulary,
@@ -96,6 +96,9 @@ def contributions(spark, sf):
     return linear_contributions(docs, vocab, coefficients).withColumn("weight", r("weight", 6))
 
 
+# Words of the vocabulary that the query encodes with.
+MAX_WORDS = 30_000
+
 _PIECES = (
     r"regexp_extract_all("
     + sql_clean("text")
@@ -120,7 +123,7 @@ _PIECES = (
 )
 def encoded(spark, sf):
     docs = texts(spark, sf)
-    rows = encode_sequences(docs, word_ids(docs))
+    rows = encode_sequences(docs, word_ids(docs, MAX_WORDS))
 
     def total(name: str):
         return F.aggregate(name, F.lit(0), lambda a, x: a + x)

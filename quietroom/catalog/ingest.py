@@ -27,6 +27,7 @@ from quietroom.sources.comments import (
     missing_labels,
     path_exists,
     read_comments_csv,
+    read_csv_rows,
     unlabelled_comments,
 )
 
@@ -115,6 +116,41 @@ def label_distribution(spark, sf):
     return profile.label_distribution(labels(spark, sf), LABELS).withColumn("share", r("share"))
 
 
+@query(
+    "label_report",
+    f"SELECT n_rows, label, true AS found, positives FROM ({_DISTRIBUTION}) UNION ALL "
+    "SELECT count(*), 'threat', false, NULL::BIGINT FROM labels",
+)
+def label_report(spark, sf):
+    """The labels that exist, counted, and those that do not, named."""
+    return profile.label_report(labels(spark, sf), [*LABELS, "threat"])
+
+
+_ODD = "CASE WHEN doc_id % 7 = 0 THEN 'yes' WHEN doc_id % 3 = 0 THEN toxic || '.0' ELSE toxic || '' END"
+
+
+@query(
+    "csv_rejects",
+    "SELECT CASE WHEN doc_id % 7 = 0 THEN 'label:toxic' END AS reason, count(*) AS n_rows, "
+    "count(*) FILTER (doc_id % 7 <> 0 AND toxic = 1) AS n_toxic, sum(length(text))::BIGINT AS n_chars "
+    "FROM documents JOIN labels USING (doc_id) GROUP BY 1",
+)
+def csv_rejects(spark, sf):
+    """Labels written in three ways, one of them wrong: what the CSV reader takes and refuses."""
+    path = work_path(spark, "odd-csv")
+    odd = F.expr(_ODD.replace("doc_id", "id"))
+    # White space inside quotes is kept; line breaks and quotes are part of the texts.
+    comments(spark, sf).withColumn("toxic", odd).write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    rows = read_csv_rows(spark, path, LABELS)
+    return rows.groupBy("reason").agg(
+        F.count("*").alias("n_rows"),
+        F.count(F.when(F.col("toxic") == 1, 1)).alias("n_toxic"),
+        F.sum(F.char_length("comment_text")).alias("n_chars"),
+    )
+
+
 @query(
     "pos_weight",
     "SELECT label, round((n_rows - positives) / (positives + 0.000001::DOUBLE), 9) AS pos_weight "
@@ -173,25 +209,19 @@ def split_filter(spark, sf):
     "FROM labels",
 )
 def split_disjoint(spark, sf):
-    """Parts share no id and together are the table, by set operations."""
+    """Parts share no id and together are the table: one count of parts per id."""
     base = labels(spark, sf).select("id", "toxic")
-    split = stratified_split(base)
-    train, val, test = (in_split(split, s).select("id") for s in ("train", "val", "test"))
-    union = train.union(val).union(test)
-    shared = (
-        train.intersect(val).union(train.intersect(test)).union(val.intersect(test))
+    given = base.select("id", F.lit(1).alias("row"), F.lit(None).cast("string").alias("split"))
+    placed = stratified_split(base).select("id", F.lit(0).alias("row"), "split")
+    per_id = given.unionByName(placed).groupBy("id").agg(
+        F.sum("row").alias("rows"), F.collect_set("split").alias("parts")
     )
-    lost = base.select("id").exceptAll(union)
-    counts = [
-        (base, "n_rows"),
-        (union.distinct(), "n_union"),
-        (shared, "n_shared"),
-        (lost, "n_lost"),
-    ]
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("k"), "n") for df, name in counts]
-    stacked = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
-    return stacked.agg(
-        *[F.max(F.when(F.col("k") == name, F.col("n"))).alias(name) for _, name in counts]
+    parts = F.size("parts")
+    return per_id.agg(
+        F.sum("rows").alias("n_rows"),
+        F.count(F.when(parts > 0, 1)).alias("n_union"),
+        F.count(F.when(parts > 1, 1)).alias("n_shared"),
+        F.count(F.when(parts == 0, 1)).alias("n_lost"),
     )
 
 

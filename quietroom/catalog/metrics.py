@@ -238,7 +238,7 @@ def roc_auc(spark, sf):
 )
 def average_precision(spark, sf):
     """Cut into score buckets whatever the size, as for large tables."""
-    curves = ranking_curves(long_scores(spark, sf), limit=0)
+    curves = ranking_curves(long_scores(spark, sf))
     return _rounded(curves.select("label", "average_precision"), "average_precision")
 
 

@@ -14,6 +14,8 @@ from quietroom.catalog.base import (
     table,
     texts,
 )
+from quietroom.functions.scores import label_array, sigmoid
+from quietroom.operators.curves import ranking_curves
 from quietroom.operators.explain import explain
 from quietroom.operators.reshape import label_values, scored_long
 from quietroom.operators.robustness import variants, with_noise
@@ -21,7 +23,7 @@ from quietroom.operators.split import in_split
 from quietroom.plans.evaluate import evaluate_model
 from quietroom.plans.scorers import BatchScorer, Scorer, fit, lexical_predictor, load
 from quietroom.plans.train import predict_over_half, train
-from quietroom.session import materialize, spread, work_path
+from quietroom.session import dealt, materialize, work_path
 
 # Fixed word lists of the stand-in lexical model.
 LEXICONS = {
@@ -68,13 +70,67 @@ _BOUNDS = (
 
 @query("tier1_prob_bounds", _BOUNDS)
 def tier1_prob_bounds(spark, sf):
-    """Every probability lies in [0, 1] and the decision agrees with one half."""
-    wide = predict_over_half(fitted(spark, sf).scored(texts(spark, sf)))
-    rows = scored_long(wide, LABELS, ["id"])
+    """Every probability lies in [0, 1]; one half decides as the library's own predictions do."""
+    scorer = fitted(spark, sf)
+    decided = predict_over_half(scorer.score(texts(spark, sf), predictions="library"))
+    fields = [label_array(LABELS).alias("label"), F.col("prob"), F.col("pred"), F.col("library")]
+    rows = decided.select("id", F.inline(F.arrays_zip(*fields)))
     return rows.groupBy("label").agg(
         F.count("*").alias("n_rows"),
         F.count(F.when(F.col("prob").between(0.0, 1.0), 1)).alias("n_in_bounds"),
-        F.count(F.when((F.col("prob") > 0.5) == (F.col("pred") == 1), 1)).alias("n_consistent"),
+        F.count(F.when(F.col("library") == F.col("pred"), 1)).alias("n_consistent"),
+    )
+
+
+@query(
+    "tier1_recomputed",
+    "SELECT label, count(*) AS n_rows, count(*) AS n_equal "
+    "FROM documents, (VALUES ('toxic'), ('quality')) l(label) GROUP BY label",
+)
+def tier1_recomputed(spark, sf):
+    """Scores of tier 1 against the sigmoid of intercept + sum of coefficient * tfidf, by joins."""
+    scorer, docs = fitted(spark, sf), texts(spark, sf)
+    weights = spark.createDataFrame(
+        [
+            (term, *values)
+            for term, *values in zip(scorer.vocabulary, *scorer.coefficients().values(), strict=True)
+        ],
+        "term string, " + ", ".join(f"{c} double" for c in LABELS),
+    )
+    products = scorer.tfidf(docs).join(weights, "term")
+    sums = products.groupBy("id").agg(*[F.sum(F.col(c) * F.col("tfidf")).alias(c) for c in LABELS])
+    joined = scorer.scored(docs).join(sums, "id", "left")
+    again = [
+        sigmoid(F.coalesce(F.col(c), F.lit(0.0)) + F.lit(b))
+        for c, b in zip(LABELS, scorer.intercepts(), strict=True)
+    ]
+    both = joined.select("id", "prob", F.array(*again).alias("again"))
+    rows = both.select(
+        "id", F.inline(F.arrays_zip(label_array(LABELS).alias("label"), "prob", "again"))
+    )
+    close = F.abs(F.col("prob") - F.col("again")) < 1e-9
+    return rows.groupBy("label").agg(
+        F.count("*").alias("n_rows"), F.count(F.when(close, 1)).alias("n_equal")
+    )
+
+
+@query(
+    "tier_skill",
+    "SELECT tier, true AS ranks_toxic, true AS varies "
+    "FROM (VALUES ('tier1'), ('tier2'), ('tier3')) t(tier)",
+)
+def tier_skill(spark, sf):
+    """On the labelled texts, every tier ranks toxic ones first (AUC of 0.55 at least) and varies."""
+    rows = comments(spark, sf)
+    tiers = [
+        fitted(spark, sf, tier).scored(rows).select("y", "prob", F.lit(tier).alias("tier"))
+        for tier in ("tier1", "tier2", "tier3")
+    ]
+    long = scored_long(tiers[0].union(tiers[1]).union(tiers[2]), LABELS, ["tier"])
+    long = materialize(long.where("label = 'toxic'"), "tier-scores")
+    spread = long.groupBy("tier").agg((F.max("prob") > F.min("prob")).alias("varies"))
+    return ranking_curves(long, ["tier"]).join(spread, "tier").select(
+        "tier", (F.col("roc_auc") >= 0.55).alias("ranks_toxic"), "varies"
     )
 
 
@@ -115,10 +171,10 @@ def tier_dispatch(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def _sql_hits(label: str) -> str:
+def sql_hits(label: str, text: str = "text") -> str:
     words = "|".join(LEXICONS[label])
     return (
-        rf"len(list_filter(regexp_extract_all({sql_clean('text')}, '[\p{{L}}\p{{N}}_]+'), "
+        rf"len(list_filter(regexp_extract_all({sql_clean(text)}, '[\p{{L}}\p{{N}}_]+'), "
         f"lambda w: regexp_full_match(w, '{words}')))"
     )
 
@@ -126,7 +182,7 @@ def _sql_hits(label: str) -> str:
 @query(
     "lexical_scorer",
     "SELECT doc_id AS id, round(t / (t + 1.0::DOUBLE), 9) AS toxic, round(q / (q + 1.0::DOUBLE), 9) AS quality "
-    f"FROM (SELECT doc_id, {_sql_hits('toxic')} AS t, {_sql_hits('quality')} AS q FROM documents)",
+    f"FROM (SELECT doc_id, {sql_hits('toxic')} AS t, {sql_hits('quality')} AS q FROM documents)",
 )
 def lexical_scores(spark, sf):
     scorer = BatchScorer(LABELS, lexical_predictor(LEXICONS))
@@ -177,7 +233,7 @@ _WORDS = r"list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))"
 )
 def explain_top10(spark, sf):
     """Explanations of all user requests: counts, own words only, strongest first."""
-    requests = spread(
+    requests = dealt(
         table(spark, sf, "conversations").where("role = 'user'").select(
             F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("comment_text")
         ),

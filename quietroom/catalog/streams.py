@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quietroom.catalog.base import LABELS, query, table
 from quietroom.catalog.models import fitted
+from quietroom.catalog.texts import SQL_LINES, request_lines
 from quietroom.functions.text import pipe_join
 from quietroom.session import work_path
 from quietroom.sources.feedback import append_feedback, read_feedback
@@ -105,17 +106,19 @@ def stream_feedback(spark, sf):
 
 @query(
     "stream_rejects",
-    "SELECT conv_id, turn, CASE WHEN length(trim(t)) = 0 THEN 'rejected' ELSE 'accepted' END AS outcome "
-    "FROM (SELECT conv_id, turn, coalesce(string_split(text, chr(10))[2], '') AS t FROM conversations)",
+    "SELECT conv_id, turn, line, "
+    "CASE WHEN length(trim(t)) = 0 THEN 'rejected' ELSE 'accepted' END AS outcome "
+    f"FROM ({SQL_LINES})",
 )
 def stream_rejects(spark, sf):
-    """The second line of each message as request; empty ones go to the side output."""
-    second = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(""))
-    requests = _stream(spark, sf, "conversations").select("conv_id", "turn", second.alias("text"))
+    """Every line of every message as a request; empty ones go to the side output."""
+    requests = request_lines(_stream(spark, sf, "conversations"))
     out, mark = work_path(spark, "requests"), work_path(spark, "requests-checkpoint")
     start_validation(requests, out, mark, strict=True).awaitTermination()
     parts = [
-        read_requests(spark, out, name).select("conv_id", "turn", F.lit(name).alias("outcome"))
+        read_requests(spark, out, name).select(
+            "conv_id", "turn", "line", F.lit(name).alias("outcome")
+        )
         for name in ("accepted", "rejected")
     ]
     return parts[0].unionByName(parts[1])

@@ -84,23 +84,34 @@ def ngrams(spark, sf):
     )
 
 
-_SECOND_LINE = r"coalesce(string_split(text, chr(10))[2], '')"
+SQL_LINES = (
+    "SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, "
+    "unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line FROM conversations"
+)
+
+
+def request_lines(conversations):
+    """Every line of every message as a request text of its own."""
+    lines = F.posexplode(F.split("text", "\n", -1)).alias("line", "text")
+    return conversations.select("conv_id", "turn", lines)
 
 
 @query(
     "reject_empty",
-    "SELECT conv_id, turn, CASE WHEN length(t) = 0 THEN 'Text cannot be empty.' END AS reason, "
-    "CASE WHEN length(trim(t)) = 0 THEN 'Text cannot be empty.' END AS strict_reason "
-    f"FROM (SELECT conv_id, turn, {_SECOND_LINE} AS t FROM conversations)",
+    "SELECT conv_id, turn, line, CASE WHEN length(t) = 0 THEN 'empty_text' END AS reason, "
+    f"CASE WHEN length(trim(t)) = 0 THEN 'empty_text' END AS strict_reason FROM ({SQL_LINES})",
 )
 def reject_empty(spark, sf):
-    """The second line of each message as request text; many messages have none."""
-    second = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(""))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", second.alias("text"))
+    """Which lines of the messages, each taken as a request, are rejected."""
+    rows = request_lines(table(spark, sf, "conversations"))
     plain = validate_requests(rows)
     strict = validate_requests(plain.withColumnRenamed("reason", "plain"), strict=True)
     return strict.select(
-        "conv_id", "turn", F.col("plain").alias("reason"), F.col("reason").alias("strict_reason")
+        "conv_id",
+        "turn",
+        "line",
+        F.col("plain").alias("reason"),
+        F.col("reason").alias("strict_reason"),
     )
 
 

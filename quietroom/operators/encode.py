@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 from quietroom.functions.text import clean_text, sequence_pieces
 from quietroom.operators.vocabulary import corpus_counts, most_frequent
-from quietroom.session import join_bounded
 from quietroom.settings import MAX_LEN
 
 # Fixed ids of the special tokens; vocabulary words follow by frequency.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 SPECIAL_TOKENS = 4
-MAX_WORDS = 30_000
 
 
-def word_ids(
-    df: DataFrame, text: str = "comment_text", max_words: int = MAX_WORDS
-) -> DataFrame:
-    """``term, token_id`` of the most frequent words."""
+def word_ids(df: DataFrame, max_words: int, text: str = "comment_text") -> DataFrame:
+    """``term, token_id`` of the ``max_words`` most frequent words."""
     counts = corpus_counts(df, sequence_pieces(clean_text(F.col(text))))
     return most_frequent(counts, max_words).select(
         "term", (F.col("idx") + SPECIAL_TOKENS).cast("int").alias("token_id")
@@ -32,16 +28,16 @@ def encode_sequences(
     key: str = "id",
     text: str = "comment_text",
     max_len: int = MAX_LEN,
-    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """``ids``, ``mask`` and ``token_type_ids`` of length ``max_len`` per comment.
 
-    At most ``max_len - 2`` words of a comment are looked up, against a vocabulary
-    of known size, and regrouped by key as small integers.
+    At most ``max_len - 2`` words of a comment are looked up in ``words`` and regrouped by key
+    as small integers. The lookup carries no hint: small vocabularies are sent along, and where
+    one is shuffled, frequent words are split over tasks.
     """
     pieces = F.slice(sequence_pieces(clean_text(F.col(text))), 1, max_len - 2)
     placed = df.select(key, F.posexplode_outer(pieces).alias("pos", "term"))
-    found = join_bounded(placed, words, "term", "left", max_words)
+    found = placed.join(words, "term", "left")
     token = F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK)))
     listed = found.groupBy(key).agg(
         F.sort_array(

@@ -37,6 +37,22 @@ def label_distribution(df: DataFrame, label_cols: list[str]) -> DataFrame:
     )
 
 
+def label_report(df: DataFrame, label_cols: list[str]) -> DataFrame:
+    """``label, found, n_rows, positives`` of every label asked for; absent ones have no positives."""
+    present = [c for c in label_cols if c in df.columns]
+    sums = [F.sum(F.col(c)).cast("bigint").alias(c) for c in present]
+    entries = [
+        F.struct(
+            F.lit(c).alias("label"),
+            F.lit(c in present).alias("found"),
+            (F.col(c) if c in present else F.lit(None).cast("bigint")).alias("positives"),
+        )
+        for c in label_cols
+    ]
+    total = df.agg(F.count("*").alias("n_rows"), *sums)
+    return total.select("n_rows", F.inline(F.array(*entries)))
+
+
 def pos_weights(df: DataFrame, label_cols: list[str]) -> DataFrame:
     """Negatives over positives per label, over the whole table."""
     pos = F.col("positives").cast("double")

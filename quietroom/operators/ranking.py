@@ -1,9 +1,8 @@
 """Exact positions in hash order without sorting a table in one task.
 
-A row's place in a random order is decided by its md5 digest. The leading hex
-digits of the digest spread rows evenly over buckets whatever the keys or
-classes look like, so the count per bucket (a small table of fixed size) gives
-the offset of every bucket and only rows of one bucket are ever sorted together.
+A row's place in a random order is decided by its md5 digest. Digests are dealt to
+ranges, as many as the session has shuffle partitions; the row counts of the ranges
+give the offset of each, and only rows of one range are sorted together.
 """
 
 from __future__ import annotations
@@ -13,32 +12,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietroom.functions.hashing import digest
-from quietroom.session import join_bounded
+from quietroom.session import materialize
 from quietroom.settings import BATCH_SIZE, SEED
 
 
+def range_parts(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` stored in ranges of ``order``, with the number of the range as ``_part``.
+
+    Stored once, so that every later pass, and every retry, sees the same ranges.
+    """
+    ranged = df.repartitionByRange(*order)
+    return materialize(ranged.withColumn("_part", F.spark_partition_id()), name)
+
+
 def hash_position(
-    df: DataFrame, key: str = "id", seed: int = SEED, digits: int = 3, name: str = "position"
+    df: DataFrame, key: str = "id", seed: int = SEED, name: str = "position"
 ) -> DataFrame:
     """Add the 1-based position of each row in the shuffled order of ``seed``.
 
-    ``digits`` sets the number of buckets (16**digits); take one more digit for
-    each factor of 16 in table size.
+    Only the key and its digest are sorted; other columns of ``df`` are joined back by the key,
+    which is to be unique.
     """
-    keyed = df.withColumn("_h", digest(F.col(key), seed=seed)).withColumn(
-        "_b", F.substring("_h", 1, digits)
-    )
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    keyed = df.select(key, digest(F.col(key), seed=seed).alias("_h"))
+    parts = range_parts(keyed, ["_h", key], "digests")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = F.row_number().over(W.partitionBy("_b").orderBy("_h", key))
-    return (
-        join_bounded(keyed, offsets, "_b", "inner", 16**digits)
-        .withColumn(name, F.col("_offset") + inside)
-        .drop("_h", "_b", "_offset")
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
+    inside = F.row_number().over(W.partitionBy("_part").orderBy("_h", key))
+    placed = parts.join(offsets, "_part").select(key, (F.col("_offset") + inside).alias(name))
+    return placed if df.columns == [key] else df.join(placed, key)
 
 
 def batch_numbers(
@@ -62,7 +66,6 @@ def rank_cuts(
     stratum: str,
     tenths: tuple[int, ...],
     digits: int = 4,
-    max_strata: int | None = None,
 ) -> DataFrame:
     """The digest and key of the last row within each cut, per stratum.
 
@@ -94,12 +97,8 @@ def rank_cuts(
         "_s", "_b", "_cut", (target - F.col("_before")).alias("_need")
     )
     # One bucket per stratum and cut: the join keeps 1/16**digits of the rows.
-    edge = join_bounded(
-        bucketed.withColumnRenamed("_b", "_eb"),
-        hit,
-        F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_eb") == F.col("_b")),
-        "inner",
-        max_strata and max_strata * len(tenths),
+    edge = bucketed.withColumnRenamed("_b", "_eb").join(
+        hit, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_eb") == F.col("_b"))
     )
     place = F.row_number().over(W.partitionBy("_s", "_cut").orderBy("_h", key))
     last = edge.withColumn("_p", place).where(F.col("_p") == F.col("_need"))

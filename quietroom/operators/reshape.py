@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quietroom.functions.scores import label_array
 
+EMPTY_TEXT = "empty_text"
+
 
 def labels_long(
     df: DataFrame, label_cols: list[str], keep: list[str], value: str = "y"
@@ -52,7 +54,7 @@ def validate_requests(df: DataFrame, text: str = "text", strict: bool = False) -
     empty = body.isNull() | (F.length(body) == 0)
     if strict:
         empty = empty | (F.regexp_count(body, F.lit(r"(?U)[^\s\x1c-\x1f]")) == 0)
-    return df.withColumn("reason", F.when(empty, "Text cannot be empty."))
+    return df.withColumn("reason", F.when(empty, EMPTY_TEXT))
 
 
 def accepted(df: DataFrame) -> DataFrame:

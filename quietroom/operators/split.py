@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from quietroom.functions.hashing import digest, digest_number
 from quietroom.operators.ranking import rank_cuts
-from quietroom.session import join_bounded
 from quietroom.settings import SEED
 
-STRATA_LIMIT = 1024
-
 
 def hash_split(key: Column, train_percent: int = 80, seed: int = SEED) -> Column:
     """``train`` or ``test`` from the key alone; narrow and stateless."""
@@ -19,10 +16,6 @@ def hash_split(key: Column, train_percent: int = 80, seed: int = SEED) -> Column
     return F.when(draw < train_percent, "train").otherwise("test")
 
 
-def few_strata(df: DataFrame, stratum: str, limit: int = STRATA_LIMIT) -> bool:
-    return df.select(stratum).distinct().limit(limit + 1).count() <= limit
-
-
 def stratified_split(
     df: DataFrame,
     key: str = "id",
@@ -34,17 +27,12 @@ def stratified_split(
 
     Each class is ordered by key digest. The two cut points per class are found
     first; a row then only compares its digest with them, so the table itself is
-    neither sorted nor shuffled however unbalanced the classes are.
+    not sorted however unbalanced the classes are. There is one row of cut points per
+    class; whether they are sent along or shuffled is decided when their size is known.
     """
-    if not few_strata(df, stratum):
-        raise ValueError(f"{stratum} has more than {STRATA_LIMIT} classes")
     keyed = df.withColumn("_h", digest(F.col(key), seed=seed))
-    cuts = rank_cuts(
-        keyed.select(key, stratum, "_h"), key, stratum, (8, 9), digits, STRATA_LIMIT
-    )
-    placed = join_bounded(
-        keyed, cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left", STRATA_LIMIT
-    )
+    cuts = rank_cuts(keyed.select(key, stratum, "_h"), key, stratum, (8, 9), digits)
+    placed = keyed.join(cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left")
     me = F.struct(F.col("_h"), F.col(key))
     split = (
         F.when(F.coalesce(me <= F.col("_c8"), F.lit(False)), "train")

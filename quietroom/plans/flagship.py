@@ -10,7 +10,7 @@ from quietroom.operators.reshape import scored_long
 from quietroom.operators.split import in_split
 from quietroom.operators.thresholds import optimize_thresholds
 from quietroom.plans.scorers import fit
-from quietroom.session import spread
+from quietroom.session import dealt
 from quietroom.sources.comments import split_comments
 
 
@@ -24,7 +24,7 @@ def moderated_documents(
     """
     names = list(labels)
     stored = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    documents = spread(stored, "doc_id")
+    documents = dealt(stored, "doc_id")
     parts = split_comments(documents, spark.read.parquet(f"{folder}/labels.parquet"), names)
     scorer = fit(in_split(parts, "train"), names)
     validation = scored_long(scorer.scored(in_split(parts, "val")), names, ["id"])

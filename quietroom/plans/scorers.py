@@ -9,12 +9,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import Broadcast, StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, Word2Vec
@@ -27,13 +27,20 @@ from quietroom.functions.text import clean_text, word_tokens
 from quietroom.operators.pooling import pool_counts
 from quietroom.operators.profile import balanced_weights
 from quietroom.operators.reshape import label_values
-from quietroom.operators.tfidf import FittedVocabulary, tfidf_stages, with_terms
+from quietroom.operators.tfidf import (
+    FittedVocabulary,
+    tfidf_stages,
+    vector_entries,
+    with_terms,
+)
 from quietroom.operators.vocabulary import corpus_counts, most_frequent
-from quietroom.session import join_bounded
+from quietroom.session import materialize
 from quietroom.settings import MAX_FEATURES, SEED
 
 
-ROWS_PER_FIT_TASK = 2_000
+VECTOR_SIZE = 300
+# Word2Vec averages the vectors of so many partitions; the fitted model depends on the number.
+W2V_PARTITIONS = 8
 
 
 class Scorer:
@@ -53,23 +60,36 @@ class Scorer:
         return out.select(*cols)
 
 
-def _probabilities(models: list[LogisticRegressionModel], df: DataFrame) -> DataFrame:
+def _probabilities(
+    models: list[LogisticRegressionModel], df: DataFrame, predictions: str | None = None
+) -> DataFrame:
+    """Add ``prob``, and the library's own 0/1 predictions under the name asked for."""
     for i, model in enumerate(models):
         df = model.transform(df)
+    if predictions:
+        own = [F.col(f"_d{i}").cast("int") for i in range(len(models))]
+        df = df.withColumn(predictions, F.array(*own))
     probs = [vector_to_array(f"_p{i}")[1] for i in range(len(models))]
     extra = [f"_{kind}{i}" for kind in ("p", "r", "d") for i in range(len(models))]
     return df.withColumn("prob", F.array(*probs)).drop(*extra)
 
 
 def fit_label_models(
-    featured: DataFrame, labels: list[str], max_iter: int = 100, parallelism: int = 4
+    featured: DataFrame,
+    labels: list[str],
+    max_iter: int = 100,
+    parallelism: int = 4,
+    partitions: int | None = None,
 ) -> list[LogisticRegressionModel]:
     """One balanced binary logistic regression per label over shared features.
 
     The per-row weights sum to the row count, so the penalty equals C = 1 of the
-    usual summed loss.
+    usual summed loss. ``partitions`` merges those of the input for the iterations.
     """
-    featured = featured.select("features", *labels).persist(StorageLevel.MEMORY_AND_DISK)
+    featured = featured.select("features", *labels)
+    if partitions:
+        featured = featured.coalesce(partitions)
+    featured = featured.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         weights: dict[str, dict[int, float]] = {name: {} for name in labels}
         # Two rows per label column.
@@ -97,10 +117,7 @@ def fit_label_models(
             rows = featured.select(
                 "features", F.col(name).cast("double").alias("_y"), weight.alias("_w")
             )
-            # Every iteration is a job; tasks of few rows cost more to start than to
-            # run. On a large table this asks for more partitions than there are and
-            # changes nothing.
-            return lr.fit(rows.coalesce(max(1, n // ROWS_PER_FIT_TASK)))
+            return lr.fit(rows)
 
         with ThreadPoolExecutor(max_workers=min(parallelism, len(labels))) as pool:
             spark = featured.sparkSession
@@ -109,19 +126,27 @@ def fit_label_models(
         featured.unpersist()
 
 
-def _frequent_words(tokens: DataFrame, limit: int) -> tuple[list[str], int]:
-    """The kept words by rank, and the lowest corpus count above which all words are kept.
-
-    When the limit cuts a run of equally frequent words, the bound moves one up so
-    that only kept words are at or above it.
-    """
-    counts = corpus_counts(tokens, F.col("terms"))
-    rows = most_frequent(counts, limit).orderBy("idx").collect()
+def _frequent_words(tokens: DataFrame, limit: int) -> list[str]:
+    """The ``limit`` most frequent words by rank; of equally frequent ones the smaller."""
+    rows = most_frequent(corpus_counts(tokens, F.col("terms")), limit).orderBy("idx").collect()
     if not rows:
         raise ValueError("no words in the fitted texts")
-    lowest = rows[-1]["tf"]
-    tied = counts.where(F.col("tf") >= lowest).count() > len(rows)
-    return [r["term"] for r in rows], lowest + 1 if tied and lowest < rows[0]["tf"] else lowest
+    return [r["term"] for r in rows]
+
+
+def _only(words: Broadcast, terms: Column) -> Column:
+    """The terms that are among ``words``, in order."""
+
+    @F.pandas_udf("array<string>")
+    def kept(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: [t for t in row if t in words.value])
+
+    return kept(terms)
+
+
+def _tokens(df: DataFrame, text: str, clean: bool) -> DataFrame:
+    body = clean_text(F.col(text)) if clean else F.lower(F.coalesce(text, F.lit("")))
+    return df.withColumn("terms", word_tokens(body))
 
 
 def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
@@ -151,10 +176,16 @@ class TfidfScorer(Scorer):
         text: str = "comment_text",
         max_features: int = MAX_FEATURES,
         max_iter: int = 100,
+        clean: bool = True,
+        partitions: int | None = None,
     ) -> TfidfScorer:
-        terms = with_terms(train.select(text, *labels), text)
+        """Fit on ``text`` and ``labels``; the input is stored once and read by every pass."""
+        terms = materialize(with_terms(train.select(text, *labels), text, clean).drop(text), "terms")
         stages = tfidf_stages(FittedVocabulary.fit(terms, limit=max_features))
-        return cls(labels, stages, fit_label_models(stages.transform(terms), labels, max_iter))
+        models = fit_label_models(
+            stages.transform(terms), labels, max_iter, partitions=partitions
+        )
+        return cls(labels, stages, models, clean)
 
     @property
     def vocabulary(self) -> list[str]:
@@ -166,9 +197,23 @@ class TfidfScorer(Scorer):
             for name, model in zip(self.labels, self.models)
         }
 
-    def score(self, df: DataFrame, text: str = "comment_text") -> DataFrame:
+    def intercepts(self) -> list[float]:
+        return [float(model.intercept) for model in self.models]
+
+    def tfidf(self, df: DataFrame, key: str = "id", text: str = "comment_text") -> DataFrame:
+        """``key, term, tfidf`` of the terms that the models see."""
+        featured = self.features.transform(with_terms(df.select(key, text), text, self.clean))
+        entries = featured.select(key, F.inline(vector_entries("features")))
+        names = df.sparkSession.createDataFrame(
+            list(enumerate(self.vocabulary)), "idx int, term string"
+        )
+        return entries.join(names, "idx").select(key, "term", F.col("value").alias("tfidf"))
+
+    def score(
+        self, df: DataFrame, text: str = "comment_text", predictions: str | None = None
+    ) -> DataFrame:
         featured = self.features.transform(with_terms(df, text, self.clean))
-        return _probabilities(self.models, featured).drop(
+        return _probabilities(self.models, featured, predictions).drop(
             "terms", "counts", "weighted", "features"
         )
 
@@ -193,7 +238,7 @@ class PooledScorer(Scorer):
     counts: CountVectorizerModel
     matrix: np.ndarray
     models: list[LogisticRegressionModel]
-    _shared: object = field(default=None, repr=False)
+    clean: bool = True
 
     @classmethod
     def fit(
@@ -201,48 +246,60 @@ class PooledScorer(Scorer):
         train: DataFrame,
         labels: list[str],
         text: str = "comment_text",
-        vector_size: int = 64,
+        vector_size: int = VECTOR_SIZE,
         max_words: int = MAX_FEATURES,
         max_iter: int = 100,
+        w2v_partitions: int = W2V_PARTITIONS,
+        w2v_passes: int = 1,
+        clean: bool = True,
         partitions: int | None = None,
         seed: int = SEED,
     ) -> PooledScorer:
+        """Fit on ``text`` and ``labels``.
+
+        Texts are cut down to the ``max_words`` kept words before training, so exactly those get
+        vectors; the trained table has ``max_words`` rows of ``vector_size`` numbers.
+        """
         spark = train.sparkSession
-        tokens = train.select(word_tokens(clean_text(F.col(text))).alias("terms"), *labels)
-        terms, frequency = _frequent_words(tokens, max_words)
+        tokens = materialize(_tokens(train.select(text, *labels), text, clean).drop(text), "tokens")
+        terms = _frequent_words(tokens, max_words)
         counts = CountVectorizerModel.from_vocabulary(
             terms, inputCol="terms", outputCol="counts"
         )
-        # Only words of the vocabulary get a vector, which bounds the trained table.
+        words = spark.sparkContext.broadcast(frozenset(terms))
         w2v = Word2Vec(
             inputCol="terms",
             outputCol="_w2v",
             vectorSize=vector_size,
-            minCount=frequency,
-            numPartitions=partitions or max(1, spark.sparkContext.defaultParallelism),
+            minCount=1,
+            numPartitions=w2v_partitions,
+            maxIter=w2v_passes,
             seed=seed,
-        ).fit(tokens.select("terms"))
-        names = spark.createDataFrame(list(enumerate(terms)), "idx int, word string")
-        known = join_bounded(w2v.getVectors(), names, "word", "inner", len(terms))
+        ).fit(tokens.select(_only(words, F.col("terms")).alias("terms")))
+        place = {term: i for i, term in enumerate(terms)}
         matrix = np.zeros((len(terms), vector_size), dtype=np.float32)
-        for row in known.select("idx", "vector").collect():
-            matrix[row["idx"]] = row["vector"].toArray()
-        scorer = cls(labels, counts, matrix, [])
-        scorer.models = fit_label_models(scorer._featured(tokens), labels, max_iter)
+        trained = w2v.getVectors().collect()  # one row for each kept word
+        if len(trained) != len(terms):
+            raise RuntimeError(f"{len(terms) - len(trained)} kept words have no vector")
+        for row in trained:
+            matrix[place[row["word"]]] = row["vector"].toArray()
+        scorer = cls(labels, counts, matrix, [], clean)
+        scorer.models = fit_label_models(
+            scorer._featured(tokens), labels, max_iter, partitions=partitions
+        )
         return scorer
 
     def _featured(self, tokens: DataFrame) -> DataFrame:
-        if self._shared is None:
-            self._shared = tokens.sparkSession.sparkContext.broadcast(self.matrix)
+        shared = tokens.sparkSession.sparkContext.broadcast(self.matrix)
         counted = self.counts.transform(tokens)
         raw = F.unwrap_udt(F.col("counts"))
-        pooled = pool_counts(self._shared, raw["indices"], raw["values"])
+        pooled = pool_counts(shared, raw["indices"], raw["values"])
         return counted.withColumn(
             "features", array_to_vector(pooled.cast("array<double>"))
         ).drop("counts", "terms")
 
     def score(self, df: DataFrame, text: str = "comment_text") -> DataFrame:
-        tokens = df.withColumn("terms", word_tokens(clean_text(F.col(text))))
+        tokens = _tokens(df, text, self.clean)
         return _probabilities(self.models, self._featured(tokens)).drop("features")
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -250,7 +307,8 @@ class PooledScorer(Scorer):
         rows = list(enumerate(self.matrix.tolist()))
         table = spark.createDataFrame(rows, "idx int, vector array<float>")
         table.write.mode("overwrite").parquet(f"{path}/vectors")
-        _write_meta(spark, f"{path}/meta", {"tier": "tier2", "labels": self.labels})
+        meta = {"tier": "tier2", "labels": self.labels, "clean": self.clean}
+        _write_meta(spark, f"{path}/meta", meta)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> PooledScorer:
@@ -258,7 +316,7 @@ class PooledScorer(Scorer):
         stages = PipelineModel.load(f"{path}/model").stages
         rows = spark.read.parquet(f"{path}/vectors").orderBy("idx").collect()
         matrix = np.array([r["vector"] for r in rows], dtype=np.float32)
-        return cls(meta["labels"], stages[0], matrix, stages[1:])
+        return cls(meta["labels"], stages[0], matrix, stages[1:], meta["clean"])
 
 
 @dataclass
@@ -306,7 +364,8 @@ def lexical_predictor(lexicons: dict[str, list[str]]) -> Callable[[], Callable]:
         ]
 
         def predict(texts: list[str]) -> np.ndarray:
-            hits = np.array([[len(p.findall(t)) for p in patterns] for t in texts], dtype=float)
+            series = pd.Series(texts, dtype=object)
+            hits = np.stack([series.str.count(p).to_numpy(float) for p in patterns], axis=1)
             return hits / (hits + 1.0)
 
         return predict

@@ -70,16 +70,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in as many partitions as the setting ``quietroom.textPartitions`` names, by ``key``.
 
-    A small table often is one file with one row group, which leaves text work to
-    a single task. Hashing a unique key spreads it, repeatably under retries. A
-    large table already has more splits than cores and is returned unchanged, so
-    this never shuffles big data.
+    Without the setting, the scan stays as it is. The setting is for small tables in a single
+    file, whose scan is one task whatever its splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+    partitions = df.sparkSession.conf.get("quietroom.textPartitions", None)
+    return df.repartition(int(partitions), key) if partitions else df
 
 
 def join_bounded(

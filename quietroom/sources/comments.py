@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,50 +19,45 @@ def missing_labels(df: DataFrame, label_cols: list[str]) -> list[str]:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).schema
-        return True
-    except AnalysisException:
-        return False
+    """Whether the file system of ``path`` has it; any other trouble is an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def csv_schema(
-    spark: SparkSession, path: str, label_cols: list[str] | None
-) -> T.StructType:
-    """Explicit schema in file order: labels INT, everything else STRING.
+DAMAGED = "_damaged"
+
+
+def csv_schema(spark: SparkSession, path: str) -> T.StructType:
+    """All columns as STRING in file order, and one for lines that do not fit them.
 
     Only the header line is read.
     """
     header = spark.read.option("header", True).csv(path).columns
-    labels = set(label_cols or [])
-    return T.StructType(
-        [
-            T.StructField(name, T.IntegerType() if name in labels else T.StringType())
-            for name in header
-        ]
-    )
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*header, DAMAGED]])
 
 
-def read_comments_csv(
+def label_value(text: Column) -> Column:
+    """0 or 1 of ``0``, ``1``, ``0.0`` or ``1.0``, else NULL."""
+    body = F.trim(text)
+    return F.when(body.isin("0", "0.0"), 0).when(body.isin("1", "1.0"), 1)
+
+
+def read_csv_rows(
     spark: SparkSession,
     path: str,
     label_cols: list[str] | None = None,
-    text_col: str = "comment_text",
-    id_col: str = "id",
     multi_line: bool = True,
     null_value: str | None = None,
 ) -> DataFrame:
-    """Comments as ``id, comment_text, <labels>``; without labels when none are asked for.
+    """The rows of the files with ``reason``: NULL, ``malformed`` or ``label:<name>``.
 
-    ``multi_line`` is needed for texts with line breaks and makes each file one
-    task, so large inputs should come as many files (or parquet). Rows of a file
-    without an id column are numbered and stored once in the shared folder: copies
-    of a text stay different rows, and the numbers stay the same for every later job.
+    Labels become INT. Files whose header has other columns, or another order, are an error.
     """
-    schema = csv_schema(spark, path, label_cols)
     reader = (
-        spark.read.schema(schema)
+        spark.read.schema(csv_schema(spark, path))
         .option("header", True)
+        .option("enforceSchema", False)
+        .option("columnNameOfCorruptRecord", DAMAGED)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
@@ -71,6 +65,34 @@ def read_comments_csv(
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
     rows = reader.csv(path)
+    names = [c for c in label_cols or [] if c in rows.columns]
+    wrong = [
+        F.when(F.col(c).isNotNull() & label_value(F.col(c)).isNull(), f"label:{c}") for c in names
+    ]
+    reason = F.coalesce(F.when(F.col(DAMAGED).isNotNull(), "malformed"), *wrong)
+    checked = rows.withColumn("reason", reason).drop(DAMAGED)
+    return checked.withColumns({c: label_value(F.col(c)) for c in names})
+
+
+def read_comments_csv(
+    spark: SparkSession,
+    path: str,
+    label_cols: list[str] | None = None,
+    text_col: str = "comment_text",
+    id_col: str = "id",
+    multi_line: bool = True,
+    null_value: str | None = None,
+) -> DataFrame:
+    """Comments as ``id, comment_text, <labels>``; without labels when none are asked for.
+
+    ``multi_line`` is needed for texts with line breaks and makes each file one
+    task, so large inputs should come as many files (or parquet). Rows of a file
+    without an id column are numbered and stored once in the shared folder: copies
+    of a text stay different rows, and the numbers stay the same for every later job.
+    Rows that ``read_csv_rows`` gives a reason are left out.
+    """
+    rows = read_csv_rows(spark, path, label_cols, multi_line, null_value)
+    rows = rows.where(F.col("reason").isNull()).drop("reason")
     if id_col in rows.columns:
         return project_comments(rows, label_cols, text_col, id_col)
     numbered = rows.withColumn(id_col, F.monotonically_increasing_id())

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietroom.session import join_bounded
 from quietroom.settings import DEFAULT_THRESHOLD
+from quietroom.sources.comments import path_exists
 
 # Fixed layout of a report.
 REPORT_SCHEMA = (
@@ -35,7 +35,8 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
+    reader = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
+    return reader.json(path)
 
 
 def label_table(spark: SparkSession, labels: list[str]) -> DataFrame:
@@ -57,10 +58,12 @@ def with_default_thresholds(
 
 
 def load_thresholds(spark: SparkSession, path: str, labels: list[str]) -> dict[str, float]:
-    """Thresholds of a written report; 0.5 for absent labels or an absent report."""
-    try:
+    """Thresholds of a written report; 0.5 for absent labels or an absent report.
+
+    A report that is there but cannot be read is an error.
+    """
+    row = None
+    if path_exists(spark, path):
         row = read_report(spark, path).select("thresholds").first()
-        known = (row and row["thresholds"]) or {}
-    except AnalysisException:
-        known = {}
+    known = (row and row["thresholds"]) or {}
     return {name: known.get(name, DEFAULT_THRESHOLD) for name in labels}

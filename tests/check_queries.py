@@ -30,6 +30,8 @@ def connect(folder: str):
 def normal(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf[sorted(pdf.columns)].copy()
     for c in pdf.columns:
+        if str(pdf[c].dtype) == "Int64":  # whole numbers with nulls; Spark's come as floats
+            pdf[c] = pdf[c].astype("float64")
         if pdf[c].dtype == object or str(pdf[c].dtype) in ("string", "str"):
             pdf[c] = pdf[c].map(lambda v: None if v is None or v is pd.NA else str(v))
     return pdf.sort_values(list(pdf.columns), ignore_index=True)

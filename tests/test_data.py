@@ -115,6 +115,6 @@ def test_hash_split_share(spark):
 
 def test_positions(spark):
     df = spark.range(500)
-    got = hash_position(df, digits=1).orderBy("position").collect()
+    got = hash_position(df).orderBy("position").collect()
     assert [r["position"] for r in got] == list(range(1, 501))
     assert [r["id"] for r in got] == [r["id"] for r in shuffled(df).collect()]

@@ -81,9 +81,9 @@ def test_linear_contributions(docs):
 
 
 def test_encode(docs):
-    ids = {r["term"]: r["token_id"] for r in word_ids(docs, max_words=6).collect()}
+    ids = {r["term"]: r["token_id"] for r in word_ids(docs, 6).collect()}
     assert len(ids) == 6 and min(ids.values()) == 4
-    rows = {r["id"]: r for r in encode_sequences(docs, word_ids(docs, max_words=6), max_len=6).collect()}
+    rows = {r["id"]: r for r in encode_sequences(docs, word_ids(docs, 6), max_len=6).collect()}
     assert len(rows) == len(TEXTS)
     for r in rows.values():
         assert len(r["ids"]) == len(r["mask"]) == len(r["token_type_ids"]) == 6

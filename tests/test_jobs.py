@@ -49,7 +49,7 @@ def test_tier1_constant_label(spark):
 
 
 def test_tier2_fits_and_reloads(spark, comments, tmp_path):
-    scorer = fit(comments, LABELS, "tier2", vector_size=8, max_iter=5, partitions=1)
+    scorer = fit(comments, LABELS, "tier2", vector_size=8, max_iter=5, w2v_partitions=1)
     path = str(tmp_path / "tier2")
     scorer.save(spark, path)
     first, second = probs(scorer, comments), probs(scorers.load(spark, path), comments)
