@@ -54,11 +54,26 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold no white space; many are encoded as one text and cut apart."""
+        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+            ends = 4 * (np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1)
+            if len(ends) == len(group):
+                out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            else:  # another kind of vocabulary
+                out += self.whole(group)
+        return out
+
     def packed(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
@@ -70,7 +85,7 @@ class TokenIds:
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
         new = [*set().union(*(s for s in split if s is not None)).difference(self.known)]
-        self.known.update(zip(new, self.whole(new), strict=True))
+        self.known.update(zip(new, self.words(new), strict=True))
         ids = self.known.__getitem__
         return [
             self.whole([t])[0] if s is None else b"".join(map(ids, s))
