@@ -49,7 +49,11 @@ def perturb(
     samples: int = EXPLAIN_SAMPLES,
     seed: int = SEED,
 ) -> DataFrame:
-    """``key, sample, text`` with ``samples`` variants per comment."""
+    """``key, sample, text, words, mask`` with ``samples`` variants per comment.
+
+    ``mask`` has a 0 or 1 for each distinct word of the comment, whether the variant keeps it;
+    ``words`` has those words in sample 0 and is NULL in the others.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     split = df.select(
         F.col(key),
@@ -66,7 +70,16 @@ def perturb(
     pieces = F.zip_with(
         "_gaps", left, lambda g, w: F.concat(F.coalesce(g, F.lit("")), F.coalesce(w, F.lit("")))
     )
-    return sampled.select(key, "sample", F.array_join(pieces, "").alias(text))
+    flags = F.transform(
+        "words", lambda w: F.when(_kept(w, k, s, F.col("limit"), seed), "1").otherwise("0")
+    )
+    return sampled.select(
+        key,
+        "sample",
+        F.array_join(pieces, "").alias(text),
+        F.when(s == 0, F.col("words")).alias("words"),
+        F.array_join(flags, "").alias("mask"),
+    )
 
 
 def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
@@ -101,35 +114,17 @@ def explain(
 ) -> DataFrame:
     """``key, label, token, weight, rank``: the strongest words per comment and label.
 
-    Making and scoring the variants is narrow. Only the scores travel, to the
-    comment's words; the masks are recomputed there from the key, and each
-    comment's ``samples`` rows are solved together.
+    Making and scoring the variants is narrow. Scores and masks travel once, and each
+    comment's ``samples`` rows are solved together. A comment without words has no rows.
     """
     labels = list(scorer.labels)
-    scored = scorer.score(perturb(df, key, text, samples, seed), text=text)
-    scores = scored.select(key, "sample", "prob")
-    body = F.coalesce(F.col(text), F.lit(""))
-    words = df.select(
-        key, F.array_distinct(F.regexp_extract_all(body, F.lit(WORD), F.lit(0))).alias("words")
-    ).where(F.size("words") > 0)
-    k, s = F.col(key), F.col("sample")
-    joined = (
-        scores.join(words, key)
-        .withColumn("_limit", _limit(F.col("words"), k, s, seed))
-        .select(
-            key,
-            "sample",
-            "prob",
-            F.when(s == 0, F.col("words")).alias("words"),
-            F.transform(
-                "words", lambda w: _kept(w, k, s, F.col("_limit"), seed).cast("tinyint")
-            ).alias("mask"),
-        )
-    )
+    variants = perturb(df, key, text, samples, seed).where("mask <> ''")
+    scored = scorer.score(variants, text=text).select(key, "sample", "prob", "words", "mask")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
-        mask = np.stack(pdf["mask"].to_numpy()).astype(np.float64)
+        flags = np.frombuffer("".join(pdf["mask"]).encode(), np.uint8) == ord("1")
+        mask = flags.reshape(len(pdf), -1).astype(np.float64)
         probs = np.stack(pdf["prob"].to_numpy()).astype(np.float64)
         names = pdf["words"].iloc[0]
         out = []
@@ -139,6 +134,6 @@ def explain(
         return pd.DataFrame(out, columns=[key, "label", "token", "weight", "rank"])
 
     kind = df.schema[key].dataType.simpleString()
-    return joined.groupBy(key).applyInPandas(
+    return scored.groupBy(key).applyInPandas(
         solve, f"{key} {kind}, label string, token string, weight double, rank int"
     )
