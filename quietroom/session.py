@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quietroom.settings import BROADCAST_ROWS
 
 _local_root: str | None = None
+_folders: list[str] = []
 
 
 def local_session(
@@ -55,8 +56,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/quietroom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, there until ``release_work``."""
+    _folders.append(f"{shared_root(spark)}/quietroom/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def release_work(spark: SparkSession) -> None:
+    """Remove every folder that ``work_path`` has named in this process.
+
+    To be called when results that were read from them have been written elsewhere.
+    """
+    while _folders:
+        drop_folder(spark, _folders.pop())
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whatever file system it lies; nothing happens if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

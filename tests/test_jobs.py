@@ -116,3 +116,17 @@ def test_stream_side_output(spark, tmp_path):
     start_validation(live, out, str(tmp_path / "mark"), strict=True).awaitTermination()
     ids = lambda name: sorted(r["id"] for r in read_requests(spark, out, name).collect())
     assert ids("accepted") == [1] and ids("rejected") == [2, 3]
+
+
+def test_work_folders_are_released(spark):
+    from quietroom.session import materialize, release_work
+    from quietroom.sources.comments import path_exists
+
+    stored = materialize(spark.range(5), "numbers")
+    path = stored.inputFiles()[0].rsplit("/", 1)[0]
+    assert stored.count() == 5 and path_exists(spark, path)
+    release_work(spark)
+    assert not path_exists(spark, path)
+    from quietroom.catalog.models import forget_fitted
+
+    forget_fitted()
