@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietroom.session import shared_root
+from quietroom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +35,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor reaches."""
-    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, there until ``session.release_work``."""
+    return work_path(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -47,13 +46,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that ``shared_path`` gave, on whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def held_out(doc_id: str = "doc_id"):
     """True for rows that no fit may read; a null id is not held out."""
     digest = F.crc32(F.col(doc_id).cast("string").cast("binary"))

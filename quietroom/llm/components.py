@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import drop_path, shared_path
+from quietroom.llm.base import shared_path
+from quietroom.session import drop_folder
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         following = shared_path(spark, "edges")
         current.write.parquet(following)
         if path:
-            drop_path(spark, path)
+            drop_folder(spark, path)
         path = following
         stored = spark.read.schema(schema).parquet(path)
         if _is_star_forest(stored):

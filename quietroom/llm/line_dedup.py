@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import drop_path, query, shared_path, table
+from quietroom.llm.base import query, shared_path, table
+from quietroom.session import drop_folder
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -85,7 +86,7 @@ class LineRuns:
                 self.levels[level + 1].append(self._write(merged, level + 1))
                 self.levels[level] = []
                 for path in old:
-                    drop_path(self.spark, path)
+                    drop_folder(self.spark, path)
             level += 1
 
 

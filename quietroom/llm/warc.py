@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import query, shared_path, table
+from quietroom.llm.base import query, shared_path, stored, table
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -278,7 +278,8 @@ ORACLE = f"""
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(table(spark, folder, "pages"), path)
-    captures = assemble(read_records(spark, path, payload=False))
+    records = stored(read_records(spark, path, payload=False), "warc-records")
+    captures = assemble(records)
 
     def page(info: str) -> Column:
         return F.get_json_object(info, "$.page_id").cast("long")

@@ -270,6 +270,11 @@ def plain_leaks(texts, items, similarity=0.8):
         own = norm(text)
         for item, want in items:
             target = norm(want)
+            if not target or not grams(own) or not grams(target):
+                continue
+            k = min(5, len(target))
+            if not {tuple(own[i : i + k]) for i in range(len(own))} & set(grams(target)):
+                continue  # similarity 0 everywhere
             for at in range(len(own) - len(target) + 1 if target else 0):
                 a, b = grams(own[at : at + len(target)]), grams(target)
                 both = sum((a & b).values())

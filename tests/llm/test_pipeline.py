@@ -1,7 +1,7 @@
 """The stages one by one against plain versions, and the pipeline as a whole."""
 
 import pytest
-from test_operators import TEXTS, plain_join, plain_leaks, plain_lines
+from test_operators import TEXTS, encoded, plain_join, plain_leaks, plain_lines
 
 import corpus_pipeline
 
@@ -55,5 +55,18 @@ def test_decontamination_stage(spark, docs, sf):
 
 
 def test_run(spark, sf):
+    """The whole pipeline against the plain versions one after the other."""
     pieces = corpus_pipeline.run(spark, sf).collect()
-    assert pieces and len({p["sequence_id"] for p in pieces}) > 1
+    left = rows(spark.read.parquet(f"{sf}/documents.parquet"))
+    left = [(d, t) for d, t in left if t and any(map(str.isalpha, t))]
+    left = [(d, t) for (d, t, _, _), n in plain_lines(left).items() for _ in range(n)]
+    alone = {d for d, _, least in plain_join(left, 5, 80) if d == least}
+    left = [(d, t) for d, t in left if d in alone]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    dirty = {d for d, _ in plain_leaks(left, items)}
+    want = {d: len(encoded(t)) for d, t in left if d not in dirty}
+    found = {}
+    for p in pieces:
+        found[p["doc_id"]] = found.get(p["doc_id"], 0) + p["length"]
+    assert found == want and dirty
+    assert len({p["sequence_id"] for p in pieces}) > 1
