@@ -4,8 +4,11 @@ Sizes are cut into bands. Two sets that link, the smaller one in band b, differ
 H = floor(hi_b * (100 - t) / t) shingles. Shingles are hashed into the band's segments, some taken
 as they are and some with their one-deletion neighbourhoods (all ways to leave one shingle out);
 with ``exact + 2 * deletion = H + 1`` segments, at least one of them must agree, so every link shares
-a signature. How many segments are of either kind is chosen for each band by its cost: signatures
-written plus expected partners by chance, from the number of sets in the band.
+a signature. Empty segments agree by chance; the other plan takes more segments, so many that every
+set of the corpus fills more than H of them, and leaves empty ones out: of the segments that agree,
+one then is not empty. Each band takes the plan of the least cost: signatures written plus expected
+partners by chance, from the number of sets in the band; a band where some set fills too few segments
+keeps to the first plan.
 
 Equal sets are one node. Nodes that signatures connect form clusters, small next to the corpus;
 clusters are cut into blocks, and each pair of blocks is verified in one task by exact
@@ -14,12 +17,13 @@ intersections of whole sets, which returns a spanning forest of the links and ne
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietroom.llm.base import query, stored, table, with_arrow_columns
@@ -29,7 +33,11 @@ from quietroom.llm.words import mix, shingles, word_hashes
 _U = np.uint64
 BAND_RATIO = 1.5
 # In the cost model: chance that a shingle of one set is in another set of the same band.
-SHARED_CHANCE = 0.2
+SHARED_CHANCE = 0.005
+# What a partner by chance costs, in signatures.
+PARTNER_COST = 50
+# Deviations by which the filled segments of the smallest sets of a band should exceed H.
+SLACK = 6.0
 ROWS_OUT = 200_000
 BLOCK = 512
 
@@ -41,6 +49,7 @@ class Band:
     high: int
     exact: int
     deletion: int
+    filled: bool = False  # only segments that are not empty give signatures
 
     @property
     def segments(self) -> int:
@@ -57,18 +66,46 @@ def band_edges(largest: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int]:
-    """Numbers of exact and one-deletion segments of the least cost for a band of ``sets`` sets."""
-    differ = high * (100 - percent) // percent
+def differing(high: int, percent: int) -> int:
+    """Shingles in which two linked sets differ at most, the smaller one of at most ``high``."""
+    return high * (100 - percent) // percent
+
+
+def filled_segments(low: int, high: int, percent: int) -> int | None:
+    """Segments of which sets of ``low`` shingles and more fill over H, but for rare ones."""
+    differ = differing(high, percent)
+    count = np.arange(differ + 1, 8 * differ + 64)
+    empty = np.exp(-low / count)
+    spread = np.sqrt(np.maximum(count * empty * (1 - (1 + low / count) * empty), 0))
+    enough = np.flatnonzero(count * (1 - empty) - SLACK * spread > differ)
+    return int(count[enough[0]]) if len(enough) else None
+
+
+def plan(number: int, low: int, high: int, sets: int, percent: int, irregular: bool) -> Band:
+    """The cheaper plan for a band; ``irregular`` rules out the one without empty segments."""
+    exact, deletion, cost = allocate(low, high, sets, percent)
+    count = None if irregular else filled_segments(low, high, percent)
+    if count is not None:
+        chance = SHARED_CHANCE ** max(1.0, (low + high) / 2 / count)
+        if count * (1 + PARTNER_COST * sets * chance) < cost:
+            return Band(number, low, high, count, 0, True)
+    return Band(number, low, high, exact, deletion)
+
+
+def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, float]:
+    """Numbers of exact and one-deletion segments of the least cost, and that cost."""
+    differ = differing(high, percent)
     deletion = np.arange((differ + 1) // 2 + 1)
     exact = differ + 1 - 2 * deletion
     tokens = (low + high) / 2 / (exact + deletion)
     signatures = exact + deletion * (1 + tokens)
     by_chance = SHARED_CHANCE**tokens + np.exp(-2 * tokens)
-    near_chance = (1 + tokens) * (SHARED_CHANCE ** (tokens - 1) + np.exp(-2 * tokens))
-    cost = signatures + sets * (exact * by_chance + deletion * near_chance)
+    # two segments of at most one shingle always agree
+    near_chance = (1 + tokens) * SHARED_CHANCE ** (tokens - 1)
+    near_chance = near_chance + (1 + tokens) ** 2 * np.exp(-2 * tokens)
+    cost = signatures + PARTNER_COST * sets * (exact * by_chance + deletion * near_chance)
     best = int(np.argmin(cost))
-    return int(exact[best]), int(deletion[best])
+    return int(exact[best]), int(deletion[best]), float(cost[best])
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -83,9 +120,13 @@ def set_hash(found: np.ndarray) -> int:
     return int(mix(total + np.array([len(found)], _U))[0] >> _U(1))
 
 
+def segment_of(found: np.ndarray, segments: int) -> np.ndarray:
+    return (mix(found ^ _U(0x2545F4914F6CDD1D)) % _U(segments)).astype(np.int64)
+
+
 def signatures(found: np.ndarray, band: Band) -> np.ndarray:
     """The signatures of one set under a band's segments."""
-    place = (mix(found ^ _U(0x2545F4914F6CDD1D)) % _U(band.segments)).astype(np.int64)
+    place = segment_of(found, band.segments)
     order = np.argsort(place, kind="stable")
     place, value = place[order], mix(found[order] + _U(0x3C79AC492BA7B653))
     counts = np.bincount(place, minlength=band.segments)
@@ -98,34 +139,61 @@ def signatures(found: np.ndarray, band: Band) -> np.ndarray:
     size = _U(0x9FB21C651E98DF25)
     whole = mix(sums + seed + counts.astype(_U) * size)
     if not band.deletion:
-        return whole
+        return whole[full] if band.filled else whole
     near = place >= band.exact
     at = place[near]
     less = mix(sums[at] - value[near] + seed[at] + (counts[at] - 1).astype(_U) * size)
     return np.unique(np.concatenate([whole, less]))
 
 
-def set_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, node`` of every row; node is the hash of the whole set."""
+def reached(size: int, lows: list[int], highs: list[int], percent: int) -> list[int]:
+    """The bands in which a set of ``size`` gives signatures: its own and those of its partners."""
+    at = bisect.bisect_right(lows, size) - 1
+    least, out = -(-size * percent // 100), []
+    while at >= 0 and highs[at] >= least:
+        out.append(at)
+        at -= 1
+    return out
+
+
+def set_sizes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, node, irregular`` of every row; node is the hash of the whole set.
+
+    ``irregular`` lists the bands in whose plan without empty segments the set fills too few.
+    """
 
     def compute(batch):
         words, ends = word_hashes(batch.column(batch.schema.get_field_index("text")))
-        sizes, nodes = [], []
+        sizes, nodes, irregular, known = [], [], [], {}
         for i in range(len(ends) - 1):
             found = shingle_set(words[ends[i] : ends[i + 1]], k)
             sizes.append(len(found))
             nodes.append(set_hash(found))
-        return pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())
+            edges = band_edges(len(found), percent)
+            wrong = []
+            for at in reached(len(found), [e[0] for e in edges], [e[1] for e in edges], percent):
+                if at not in known:
+                    known[at] = filled_segments(*edges[at], percent)
+                count = known[at]
+                if count is not None:
+                    filled = np.count_nonzero(np.bincount(segment_of(found, count)))
+                    if filled <= differing(edges[at][1], percent):
+                        wrong.append(at)
+            irregular.append(wrong)
+        return (
+            pa.array(sizes, pa.int64()),
+            pa.array(nodes, pa.int64()),
+            pa.array(irregular, pa.list_(pa.int32())),
+        )
 
-    found = with_arrow_columns(
-        docs.select("doc_id", "text"), compute, ["n_shingles bigint", "node bigint"]
-    )
+    fields = ["n_shingles bigint", "node bigint", "irregular array<int>"]
+    found = with_arrow_columns(docs.select("doc_id", "text"), compute, fields)
     return found.drop("text")
 
 
 def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) -> DataFrame:
     """``sig, node``: the signatures of every set in its own band and in those of its partners."""
-    lows = [b.low for b in bands]
+    lows, highs = [b.low for b in bands], [b.high for b in bands]
 
     def block(sigs, nodes):
         return pa.RecordBatch.from_arrays(
@@ -146,14 +214,10 @@ def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) ->
                 if node in seen:
                     continue
                 seen.add(node)
-                at = int(np.searchsorted(lows, len(found), "right")) - 1
-                # partners are at least this large
-                least = -(-len(found) * percent // 100)
-                while at >= 0 and bands[at].high >= least:
+                for at in reached(len(found), lows, highs, percent):
                     sigs.append(signatures(found, bands[at]))
                     nodes.append(node)
                     waiting += len(sigs[-1])
-                    at -= 1
                 if waiting >= ROWS_OUT:
                     yield block(sigs, nodes)
                     sigs, nodes, waiting = [], [], 0
@@ -274,17 +338,17 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     for low, _ in edges:
         number = number + F.when(F.col("n_shingles") >= low, 1).otherwise(0)
     counts = dict(members.groupBy(number.alias("b")).count().collect())  # one row for each band
+    odd = {r[0] for r in members.select(F.explode("irregular")).distinct().collect()}
     bands = [
-        Band(i, low, high, *allocate(low, high, counts.get(i + 1, 0), percent))
+        plan(i, low, high, counts.get(i + 1, 0), percent, i in odd)
         for i, (low, high) in enumerate(edges)
     ]
 
     rows = signature_rows(texts, k, percent, bands)
-    shared = rows.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    candidates = rows.join(shared.where("a <> b"), "sig").where("node <> a")
-    clusters = stored(
-        components(candidates.select(F.col("node").alias("u"), F.col("a").alias("v"))), "clusters"
-    )
+    # Neighbours in a bucket are enough to connect it, so a bucket of any size is a single scan.
+    before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
+    chained = rows.select(F.col("node").alias("u"), before.alias("v")).where("u <> v")
+    clusters = stored(components(chained), "clusters")
 
     first = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = clusters.join(first, "node").select("doc_id")
@@ -309,7 +373,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     separate rows; each belongs to the component of its own text. Further columns are not used. An
     empty table gives an empty table.
     """
-    members = stored(set_sizes(docs, k), "sets-of-documents")
+    members = stored(set_sizes(docs, k, percent), "sets-of-documents")
     able = members.where("doc_id IS NOT NULL AND n_shingles > 0")
     roots = components(links(docs, able, k, percent))
     classes = (
