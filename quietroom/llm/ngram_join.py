@@ -33,7 +33,7 @@ from quietroom.llm.words import mix, shingles, word_hashes
 _U = np.uint64
 BAND_RATIO = 1.5
 # In the cost model: chance that a shingle of one set is in another set of the same band.
-SHARED_CHANCE = 0.005
+SHARED_CHANCE = 0.0005
 # What a partner by chance costs, in signatures.
 PARTNER_COST = 50
 # Deviations by which the filled segments of the smallest sets of a band should exceed H.

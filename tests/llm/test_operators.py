@@ -603,3 +603,25 @@ def test_word_hashes(monkeypatch):
         for word, value in zip(own, found[ends[i] : ends[i + 1]], strict=True):
             assert known.setdefault(word, value) == value
     assert len(set(known.values())) == len(known)
+
+
+def test_filled_segments_never_miss_a_link():
+    rng = np.random.default_rng(12)
+    percent, low, high = 80, 108, 161
+    count = ngram_join.filled_segments(low, high, percent)
+    band = ngram_join.Band(5, low, high, count, 0, True)
+    assert count > ngram_join.differing(high, percent) + 1
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(low, high + 1), dtype=np.uint64))
+        drop = len(a) // 9
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
+        regular = all(
+            len(np.unique(ngram_join.segment_of(s, count))) > ngram_join.differing(high, percent)
+            for s in (a, b)
+        )
+        both = len(np.intersect1d(a, b))
+        if regular and 100 * both >= percent * (len(a) + len(b) - both):
+            x, y = (ngram_join.signatures(s, band) for s in (a, b))
+            assert len(np.intersect1d(x, y))
+    odd = ngram_join.plan(5, low, high, 10**9, percent, irregular=True)
+    assert not odd.filled and odd.exact + 2 * odd.deletion == ngram_join.differing(high, percent) + 1
