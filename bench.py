@@ -53,6 +53,7 @@ def main() -> None:
     from quietroom.session import local_session
 
     spark = local_session(cpus, "bench")
+    spark.conf.set("quietroom.textPartitions", cpus)  # the tables are single files
     docs = spark.read.parquet(f"{folder}/documents.parquet").count()
     timings: dict[str, float] = {}
     for name in names:

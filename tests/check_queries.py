@@ -61,6 +61,7 @@ def main() -> int:
     args = sys.argv[1:]
     folder = args[0] if args else "/root/testdata/sf0.01"
     spark = local_session(8)
+    spark.conf.set("quietroom.textPartitions", "8")
     con = connect(folder)
     oracles, failed = oracle_sql(), 0
     for name, fn in queries().items():

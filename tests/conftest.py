@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
 
     session = local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("quietroom.textPartitions", "4")
     yield session
     session.stop()
 
