@@ -228,7 +228,7 @@ def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) ->
 
 
 def set_table(texts: DataFrame, k: int) -> DataFrame:
-    """``node, items``: whole sets as packed sorted 64-bit hashes."""
+    """``cluster, blocks, node, items`` of ``text, cluster, blocks`` rows: whole sets, packed."""
 
     def run(batches):
         for batch in batches:
@@ -238,11 +238,13 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
                 found = shingle_set(words[ends[i] : ends[i + 1]], k)
                 nodes.append(set_hash(found))
                 packed.append(found.astype("<u8").tobytes())
+            sets = [pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "items"]
+                [batch.column(1), batch.column(2), *sets], ["cluster", "blocks", "node", "items"]
             )
 
-    return texts.mapInArrow(run, "node bigint, items binary")
+    schema = "cluster bigint, blocks int, node bigint, items binary"
+    return texts.select("text", "cluster", "blocks").mapInArrow(run, schema)
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -302,17 +304,14 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
-def paired_blocks(placed: DataFrame, block: int) -> DataFrame:
-    """Rows of ``cluster, node, n, items`` once for each pair of blocks that needs them.
+def paired_blocks(sets: DataFrame) -> DataFrame:
+    """Rows of ``cluster, blocks, node, items`` once for each pair of blocks that needs them.
 
-    A cluster is cut into blocks of about ``block`` nodes by a hash, so that every pair of its
-    nodes meets in one task; most clusters are a single block.
+    A cluster is cut into its blocks by a hash, so that every pair of its nodes meets in one task;
+    most clusters are a single block.
     """
-    sizes = placed.groupBy("cluster").agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
-    )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    seen = placed.join(sizes, "cluster").withColumn("own", own)
+    seen = sets.withColumn("own", own)
     seen = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return seen.select(
         "cluster",
@@ -351,15 +350,16 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     clusters = stored(components(chained), "clusters")
 
     first = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = clusters.join(first, "node").select("doc_id")
-    sets = set_table(named.join(wanted, "doc_id", "left_semi").select("text"), k)
-    placed = stored(
-        sets.join(clusters, "node")
-        .groupBy(F.col("root").alias("cluster"), "node")
-        .agg(F.first("items").alias("items")),
-        "sets",
+    sizes = clusters.groupBy("root").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    )
+    wanted = (
+        clusters.join(first, "node")
+        .join(sizes, "root")
+        .select("doc_id", F.col("root").alias("cluster"), "blocks")
     )
-    return stored(block_links(paired_blocks(placed, BLOCK), percent), "links")
+    sets = set_table(named.join(wanted, "doc_id"), k)
+    return stored(block_links(paired_blocks(sets), percent), "links")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
