@@ -52,6 +52,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(digest % 3 == HELD_OUT, F.lit(False))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512):
+    """A batch in parts of a few rows, so that what is derived from texts stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def with_arrow_columns(df: DataFrame, compute, fields: list[str]) -> DataFrame:
     """``df`` with columns that ``compute(batch)`` gives as Arrow arrays, one for each field.
 
@@ -62,7 +68,8 @@ def with_arrow_columns(df: DataFrame, compute, fields: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            arrays = [*batch.columns, *compute(batch)]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *new.names])
+            for part in slices(batch):
+                arrays = [*part.columns, *compute(part)]
+                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, *new.names])
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *new.fields]))

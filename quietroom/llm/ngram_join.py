@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import query, stored, table, with_arrow_columns
+from quietroom.llm.base import query, slices, stored, table, with_arrow_columns
 from quietroom.llm.components import components
 from quietroom.llm.words import mix, shingles, word_hashes
 
@@ -40,6 +40,7 @@ PARTNER_COST = 50
 SLACK = 6.0
 ROWS_OUT = 200_000
 BLOCK = 512
+SEEN = 10_000
 
 
 @dataclass(frozen=True)
@@ -205,9 +206,12 @@ def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) ->
         )
 
     def run(batches):
-        for batch in batches:
+        seen = set()  # nodes of the last rows; repeated signatures would do no harm
+        for batch in (part for whole in batches for part in slices(whole)):
             words, ends = word_hashes(batch.column(0))
-            sigs, nodes, waiting, seen = [], [], 0, set()
+            sigs, nodes, waiting = [], [], 0
+            if len(seen) > SEEN:
+                seen.clear()
             for i in range(len(ends) - 1):
                 found = shingle_set(words[ends[i] : ends[i + 1]], k)
                 node = set_hash(found)
@@ -231,7 +235,7 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
     """``cluster, blocks, node, items`` of ``text, cluster, blocks`` rows: whole sets, packed."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words, ends = word_hashes(batch.column(0))
             nodes, packed = [], []
             for i in range(len(ends) - 1):

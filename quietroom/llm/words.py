@@ -12,7 +12,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 SPACES = [0x20, *range(0x09, 0x0E)]
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
