@@ -3,12 +3,20 @@
 Texts become L2-normalised TF-IDF vectors of hashed letter 1- to 3-grams. Each language gets a few
 centroids by spherical k-means over a bounded sample of its labelled rows; document frequencies
 cover all training rows. A text takes the language of the centroid with the largest cosine, which
-is also its score; texts farther than ``max_distance`` from every centroid are rejected.
+is also its score; texts farther from every centroid than texts of its language are rejected.
+
+Short texts are farther away than long ones, so the bar of a language goes by the evidence in a
+text: its number of letters or of different gram buckets, whichever is less. Every training row
+counts whole at its own level, and cut to its first ``e`` letters at each level ``e`` it reaches;
+the bar is the ``LOW`` quantile of their cosines with the nearest centroid, by labelled language.
+Texts of the lowest level, under 64 letters, tell languages of one script badly apart: their bar is
+halved so that clean words pass, which mostly holds back unseen scripts only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import held_out, query, table, with_arrow_columns
+from quietroom.llm.base import held_out, query, slices, table, with_arrow_columns
 from quietroom.llm.words import CHUNK, utf8
 
 DIMENSIONS = 4096
@@ -25,7 +33,17 @@ DIMENSIONS = 4096
 SAMPLE_ROWS = 1000
 CLUSTERS = 4
 ITERATIONS = 10
+# Texts farther away than this are rejected whatever was learned.
 MAX_DISTANCE = 0.97
+# Least evidence of each level, the share of training rows below its bar, and steps of a cosine.
+LEVELS = (1, 64, 256)
+LOW = 0.001
+# Of the bar of the lowest level, as a single word may be unlike all that training rows start with.
+SHORT_SHARE = 0.5
+STEPS = 1000
+HISTOGRAM = pa.schema(
+    [("lang", pa.string()), ("level", pa.int64()), ("step", pa.int64()), ("n", pa.int64())]
+)
 UNKNOWN = "und"
 
 # ASCII letters and all bytes of other characters count as letters, the rest as one space.
@@ -99,24 +117,56 @@ def spherical_kmeans(vectors: np.ndarray, clusters: int, iterations: int) -> np.
     return centroids
 
 
+def letter_starts(data: np.ndarray) -> np.ndarray:
+    """Marks the first byte of each letter."""
+    return _LETTER[data] & ((data & 0xC0) != 0x80)
+
+
+def letter_counts(column: pa.Array) -> np.ndarray:
+    data, offsets = utf8(pc.utf8_lower(column))
+    return np.array(
+        [letter_starts(data[a:b]).sum() for a, b in zip(offsets, offsets[1:])], np.int64
+    )
+
+
+def first_letters(column: pa.Array, letters: int) -> pa.Array:
+    """Each text up to its letter number ``letters``, counted from 1, and what follows that one."""
+    data, offsets = utf8(column)
+    out = []
+    for lo, hi in zip(offsets, offsets[1:]):
+        at = np.flatnonzero(letter_starts(data[lo:hi] | 0x20))
+        end = lo + at[letters] if len(at) > letters else hi
+        out.append(data[lo:end].tobytes().decode())
+    return pa.array(out, pa.string())
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]  # one for each centroid
     centroids: np.ndarray
     idf: np.ndarray
-
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
-        for _, counts in gram_counts(column):
+    bars: np.ndarray | None = None  # least cosine by level (0: below all) and centroid
+
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, cosine, level and least cosine of each text."""
+        names, scores, levels, least = [], [], [], []
+        letters = letter_counts(column)
+        for start, counts in gram_counts(column):
+            evidence = np.minimum(letters[start : start + len(counts)], (counts > 0).sum(axis=1))
+            level = np.searchsorted(LEVELS, evidence, "right")
+            levels.append(level)
             if not len(self.languages):
                 names += [UNKNOWN] * len(counts)
                 scores.append(np.zeros(len(counts)))
+                least.append(np.zeros(len(counts)))
                 continue
             cosines = weigh(counts, self.idf) @ self.centroids.T
             best = np.argmax(cosines, axis=1)
             names += [self.languages[i] for i in best]
             scores.append(np.clip(cosines[np.arange(len(best)), best], 0, 1).astype(float))
-        return names, np.concatenate(scores) if scores else np.empty(0)
+            least.append(np.zeros(len(best)) if self.bars is None else self.bars[level, best])
+        parts = (np.concatenate(x) if x else np.empty(0) for x in (scores, levels, least))
+        return names, *parts
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -140,6 +190,44 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return frequencies, rows
 
 
+def learned_bars(known: DataFrame, model: LanguageModel, low: float) -> np.ndarray:
+    """``model.bars`` from all rows of ``text, lang``; a level no row reaches has the bar below it."""
+    shared = known.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts, langs = part.column(0), part.column(1).to_pylist()
+                _, scores, levels, _ = shared.value.predict(texts)
+                found = Counter(zip(langs, levels.tolist(), (scores * STEPS).astype(int).tolist()))
+                for level, letters in enumerate(LEVELS, 1):
+                    rows = np.flatnonzero(levels >= level)
+                    cut = first_letters(texts.take(pa.array(rows)), letters)
+                    steps = (shared.value.predict(cut)[1] * STEPS).astype(int).tolist()
+                    found.update((langs[i], level, step) for i, step in zip(rows, steps))
+                rows = [(*key, n) for key, n in found.items() if key[1]]
+                names = ("lang", "level", "step", "n")
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], HISTOGRAM)
+
+    counted = known.select("text", "lang").mapInArrow(
+        run, "lang string, level bigint, step bigint, n bigint"
+    )
+    steps: dict[tuple[str, int], np.ndarray] = {}
+    # At most STEPS + 1 rows for each language and level.
+    for r in counted.groupBy("lang", "level", "step").agg(F.sum("n").alias("n")).collect():
+        own = steps.setdefault((r["lang"], r["level"]), np.zeros(STEPS + 1, np.int64))
+        own[r["step"]] += r["n"]
+    bars = np.zeros((len(LEVELS) + 1, len(model.languages)))
+    for i, lang in enumerate(model.languages):
+        for level in range(1, len(LEVELS) + 1):
+            bars[level, i] = bars[level - 1, i]
+            if (lang, level) in steps:
+                total = np.cumsum(steps[lang, level])
+                bars[level, i] = np.searchsorted(total, low * total[-1], "right") / STEPS
+    bars[1] *= SHORT_SHARE
+    return bars
+
+
 def fit(
     docs: DataFrame, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS
 ) -> LanguageModel:
@@ -167,11 +255,12 @@ def fit(
 
     fitted = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>")
     found = sorted(fitted.collect(), key=lambda r: (r["lang"], list(r["centroid"])))
-    return LanguageModel(
+    model = LanguageModel(
         [r["lang"] for r in found],
         np.array([r["centroid"] for r in found], np.float32).reshape(-1, DIMENSIONS),
         idf,
     )
+    return replace(model, bars=learned_bars(known, model, LOW)) if found else model
 
 
 def identify(
@@ -180,19 +269,19 @@ def identify(
     """``docs`` with ``lang_pred, score, rejected``; the ``text`` column alone decides.
 
     A null text or one without a letter is ``und`` with score 0 and rejected. Any other text gets
-    the nearest centroid's language; it is rejected where its distance 1 - cosine exceeds
-    ``max_distance``. Ties go to the first language by name. Other columns pass through, those with
+    the nearest centroid's language; it is rejected where its cosine is below the bar of that
+    language for texts with as much evidence, or its distance 1 - cosine exceeds ``max_distance``. Ties go to the first language by name. Other columns pass through, those with
     the names of the results are replaced; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB, see DIMENSIONS
 
     def compute(batch):
         column = batch.column(batch.schema.get_field_index("text"))
-        names, scores = shared.value.predict(column)
+        names, scores, _, least = shared.value.predict(column)
         letters = [t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()]
         names = [name if ok else UNKNOWN for name, ok in zip(names, letters, strict=True)]
         scores = np.where(letters, scores, 0.0)
-        far = ~np.array(letters, bool) | (1 - scores > max_distance)
+        far = ~np.array(letters, bool) | (1 - scores > max_distance) | (scores < least)
         return pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far)
 
     fields = ["lang_pred string", "score double", "rejected boolean"]

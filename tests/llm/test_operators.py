@@ -187,6 +187,33 @@ def test_language_id_odd_texts(docs, nothing, spark, sf):
     assert language_id.identify(nothing, model).count() == 0
 
 
+UNSEEN = {
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on "
+    "annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
+    "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana "
+    "sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+}
+
+
+def test_unseen_languages_are_rejected_and_clean_short_texts_are_not(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(table)
+    letters = np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz    "), 4000)
+    far = [*UNSEEN.values(), *(f"{t} " * 20 for t in UNSEEN.values()), "".join(letters)]
+    rows = language_id.identify(spark.createDataFrame([*enumerate(far)], SCHEMA), model).collect()
+    assert [r["text"][:20] for r in rows if not r["rejected"]] == []
+    held = table.where(language_id.held_out() & F.col("text").isNotNull())
+    short = held.select("doc_id", F.substring("text", 1, 40).alias("text"), "lang")
+    words = [(1, "word"), (2, "the house"), (3, "guten Tag"), (4, "la casa de los"), (5, "les des")]
+    for clean in (short, spark.createDataFrame(words, SCHEMA)):
+        assert language_id.identify(clean, model).where("rejected").isEmpty()
+
+
 # --- 4 token counts --------------------------------------------------------------
 
 
