@@ -5,7 +5,9 @@ that are as long as an item are fingerprinted the same way and looked up in a mu
 blocks of the fingerprint with all values within RADIUS // 6 flipped bits, so that every
 fingerprint within RADIUS bits is found. Candidates are verified by exact weighted Jaccard
 similarity of the shingles. A window that shares no shingle with any item of its length has
-similarity 0 and is not fingerprinted. Everything happens inside the scan of the documents.
+similarity 0 and is not fingerprinted. A document with fewer words than an item is one window, as
+long as it has enough shingles to reach the similarity. Everything happens inside the scan of the
+documents.
 """
 
 from __future__ import annotations
@@ -148,11 +150,16 @@ class LeakIndex:
         return [(item, *found) for item, found in sorted(best.items())]
 
     def _windows(self, group, grams, hits, width, best) -> None:
-        """Fingerprint and verify all windows of the group's length that hold one of the hits."""
+        """Fingerprint and verify all windows of the group's length that hold one of the hits.
+
+        A shorter text is one window, unless it is too short for the similarity.
+        """
         count = group.words - width + 1
+        if len(grams) < count:  # the whole text is the only window
+            if len(grams) < self.similarity * count:
+                return
+            count = len(grams)
         last = len(grams) - count
-        if last < 0:
-            return
         marks = np.zeros(last + 2, np.int64)
         np.add.at(marks, np.clip(hits - count + 1, 0, last + 1), 1)
         np.add.at(marks, np.clip(hits + 1, 0, last + 1), -1)
@@ -165,7 +172,7 @@ class LeakIndex:
                 found = weighted_jaccard(grams[w : w + count], group.grams[i])
                 name = group.items[i]
                 if found >= self.similarity and found > best.get(name, (0,))[0]:
-                    best[name] = (found, int(w), group.words)
+                    best[name] = (found, int(w), count + width - 1)
 
 
 def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +193,8 @@ def find_leaks(
     """``docs`` with ``leaks``, an array of the benchmark items that each text contains.
 
     ``docs`` has ``text``, ``benchmark`` has ``item_id, text``. An entry has ``item_id, similarity,
-    start, n_words``: the best window as long as the item, counted in words from 0, whose weighted
-    5-word shingles are at least ``similarity`` alike; the first of equal windows. Words are runs
+    start, n_words``: the best window as long as the item (the whole text if that is shorter),
+    counted in words from 0, whose weighted 5-word shingles are at least ``similarity`` alike; the first of equal windows. Words are runs
     of letters and digits in lower case. Null and empty texts, on either side, match nothing, nor
     do items with a null id; repeated items give one entry for each id. Other columns pass through,
     one named ``leaks`` is replaced; an empty table on either side finds nothing. A benchmark of

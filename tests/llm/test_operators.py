@@ -343,6 +343,41 @@ def test_find_leaks(spark, nothing):
     assert decontamination.find_leaks(nothing, bench).count() == 0
 
 
+def plain_short_leaks(texts, items, similarity=0.8):
+    """Leaks of texts that have fewer words than the item, compared as a whole."""
+    norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    out = set()
+    for doc, text in texts:
+        for item, want in items:
+            if len(norm(text)) < len(norm(want)):
+                a, b = grams(norm(text)), grams(norm(want))
+                both = sum((a & b).values())
+                if both >= similarity * (a.total() + b.total() - both):
+                    out.add((doc, item))
+    return out
+
+
+def test_find_leaks_in_texts_shorter_than_the_item(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(n, " ".join(rng.choice(vocabulary, n))) for n in range(16, 60)]
+    items.append((4, "just four words here"))
+    texts = []
+    for n, text in items:
+        own = text.split()
+        gone = [own[:-1], own[1:], own[:-4], own[: n // 2] + own[n // 2 + 1 :], own[: n // 2]]
+        texts += [(100 * n + i, " ".join(words)) for i, words in enumerate(gone)]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.find_leaks(docs, bench).select("doc_id", F.inline("leaks")).collect()
+    want = plain_short_leaks(texts, [x for x in items if x[0] > 4])
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert {(100 * 59, 59), (100 * 59 + 3, 59)} <= want and len(want) > 120
+    words = {d: len(t.split()) for d, t in texts}
+    assert all((r["start"], r["n_words"]) == (0, words[r["doc_id"]]) for r in found)
+
+
 def test_multi_index_finds_all_fingerprints_in_the_radius():
     rng = np.random.default_rng(9)
     group = decontamination.SizeIndex(20)
