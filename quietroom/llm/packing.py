@@ -1,8 +1,10 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
-Documents are tokenised in the scan and dealt to shards of about SHARD_DOCS documents by a hash.
-Each shard builds an inverted index over token ids; seeds are taken from the longest open text
-down, and the unused neighbours of a seed, best score first, fill its window. The last one is cut
+Documents are tokenised once and stored. Document frequencies and the mean length cover all of
+them. They are then ordered by their strongest BM25 terms, so that related documents lie together
+wherever they came from, and runs of SHARD_DOCS documents of this order are shards; a frequent
+first term goes on by the next ones, and at last by a hash. Each shard scores its documents
+against each other over all their terms; seeds are taken from the longest open text down, and the unused neighbours of a seed, best score first, fill its window. The last one is cut
 where the window ends and its rest stays open. What is left at the end of a shard goes into
 sequences whose lengths are powers of two, so nothing needs padding.
 """
@@ -14,20 +16,24 @@ import math
 import re
 import unicodedata
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import query, table
+from quietroom.llm.base import query, slices, stored, table, with_arrow_columns
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 512
-# Terms of a seed, best BM25 weight first, that query the index.
-QUERY_TERMS = 32
+# Strongest terms of a document that place it in the order; scores use all terms.
+KEY_TERMS = 4
+# Terms whose weights are dense at a time.
+SCORE_TERMS = 4096
 K1, B = 1.2, 0.75
 # Words whose ids a Python worker remembers; then it starts anew.
 MEMORY_WORDS = 500_000
@@ -125,43 +131,109 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, n bigint")
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all documents: how many, their mean length and in how many each term occurs."""
+
+    documents: int
+    mean_length: float
+    frequencies: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Statistics:
+        terms = np.concatenate([np.unique(ids) for ids in documents]).astype(np.int64)
+        length = sum(map(len, documents)) / len(documents)
+        return cls(len(documents), length, np.bincount(terms))
+
+    def weights(self, term: np.ndarray, count: np.ndarray, length) -> np.ndarray:
+        """BM25 weights of terms in documents of these lengths."""
+        frequency = self.frequencies[term]
+        idf = np.log(1 + (self.documents - frequency + 0.5) / (frequency + 0.5))
+        norm = K1 * (1 - B + B * length / self.mean_length)
+        return idf * count * (K1 + 1) / (count + norm)
+
+
 class InvertedIndex:
-    """BM25 over the documents of one shard."""
+    """BM25 over the documents of one shard, with the statistics of all documents if given."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], statistics: Statistics | None = None):
         self.n = len(documents)
-        terms, owners, counts = [], [], []
-        for i, ids in enumerate(documents):
-            term, count = np.unique(ids, return_counts=True)
-            terms.append(term)
-            owners.append(np.full(len(term), i))
-            counts.append(count)
-        self.starts = np.cumsum([0, *map(len, terms)])
-        term, owner, count = map(np.concatenate, (terms, owners, counts))
-        vocabulary, place = np.unique(term, return_inverse=True)
-        frequency = np.bincount(place)
+        found = [np.unique(ids, return_counts=True) for ids in documents]
+        owner = np.repeat(np.arange(self.n), [len(term) for term, _ in found])
+        term = np.concatenate([term for term, _ in found]).astype(np.int64)
+        count = np.concatenate([count for _, count in found])
         lengths = np.array([len(ids) for ids in documents], float)
-        idf = np.log(1 + (self.n - frequency + 0.5) / (frequency + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.weight = idf[place] * count * (K1 + 1) / (count + norm[owner])
-        self.term = place  # of each document's terms, document after document
+        statistics = statistics or Statistics.of(documents)
+        weight = statistics.weights(term, count, lengths[owner])
+        vocabulary, place = np.unique(term, return_inverse=True)
         order = np.argsort(place, kind="stable")
-        self.posting_owner, self.posting_weight = owner[order], self.weight[order]
-        self.postings = np.searchsorted(place[order], np.arange(len(vocabulary) + 1))
+        owner, weight, place = owner[order], weight[order], place[order]
+        # Row: the seed whose terms ask; column: the document whose weights answer.
+        self.scores = np.zeros((self.n, self.n), np.float32)
+        for low in range(0, len(vocabulary), SCORE_TERMS):
+            part = slice(*np.searchsorted(place, [low, low + SCORE_TERMS]))
+            width = min(SCORE_TERMS, len(vocabulary) - low)
+            weights = np.zeros((self.n, width), np.float32)
+            weights[owner[part], place[part] - low] = weight[part]
+            self.scores += (weights > 0).astype(np.float32) @ weights.T
 
     def neighbours(self, seed: int) -> np.ndarray:
         """All documents by falling score against the seed, equal scores in order."""
-        own = slice(self.starts[seed], self.starts[seed + 1])
-        best = np.argsort(-self.weight[own], kind="stable")[:QUERY_TERMS]
-        terms = self.term[own][best]
-        low, count = self.postings[terms], self.postings[terms + 1] - self.postings[terms]
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(low, count) + inner
-        scores = np.bincount(self.posting_owner[at], self.posting_weight[at], self.n)
-        return np.argsort(-scores, kind="stable")
+        return np.argsort(-self.scores[seed], kind="stable")
 
 
-def fill(documents: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of the rows of ``tokenised``."""
+    kinds = ["<u2" if n > 0 else "<u4" for n in batch.column("n").to_pylist()]
+    packed = batch.column("ids").to_pylist()
+    return [np.frombuffer(b, k) for b, k in zip(packed, kinds, strict=True)]
+
+
+def statistics_of(ids: DataFrame) -> Statistics:
+    """Over all rows of ``tokenised``; the driver gets one row for each id of the vocabulary."""
+
+    def run(batches):
+        seen, rows, length = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for part in slices(batch):
+                documents = unpacked(part)
+                terms = np.concatenate([np.unique(d) for d in documents]).astype(np.int64)
+                found = np.bincount(terms, minlength=len(seen))
+                found[: len(seen)] += seen
+                seen, rows = found, rows + len(documents)
+                length += sum(map(len, documents))
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict(
+            {"term": [-2, -1, *held.tolist()], "n": [length, rows, *seen[held].tolist()]}
+        )
+
+    counts = ids.select("ids", "n").mapInArrow(run, "term bigint, n bigint")
+    found = dict(counts.groupBy("term").agg(F.sum("n")).collect())
+    length, rows = found.pop(-2, 0), found.pop(-1, 0)
+    frequencies = np.zeros(max(found, default=0) + 1, np.int64)
+    frequencies[list(found)] = list(found.values())
+    return Statistics(rows, length / max(rows, 1), frequencies)
+
+
+def with_keys(ids: DataFrame, shared) -> DataFrame:
+    """``ids`` with ``terms``: the strongest terms that occur in another document too."""
+
+    def compute(batch):
+        keys = []
+        for own in unpacked(batch):
+            term, count = np.unique(own, return_counts=True)
+            often = shared.value.frequencies[term] > 1
+            term, count = term[often].astype(np.int64), count[often]
+            weight = shared.value.weights(term, count, len(own))
+            keys.append(term[np.argsort(-weight, kind="stable")[:KEY_TERMS]].tolist())
+        return [pa.array(keys, pa.list_(pa.int32()))]
+
+    return with_arrow_columns(ids, compute, ["terms array<int>"])
+
+
+def fill(
+    documents: list[np.ndarray], window: int, statistics: Statistics | None = None
+) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) pieces that hold every id exactly once."""
     pieces, sequence = [], 0
     taken = np.zeros(len(documents), np.int64)
@@ -171,7 +243,7 @@ def fill(documents: list[np.ndarray], window: int) -> list[tuple[int, int, int,
             pieces.append((i, int(taken[i]), window, sequence, 0))
             taken[i] += window
             sequence += 1
-    index = InvertedIndex(documents)
+    index = InvertedIndex(documents, statistics)
     left = int((lengths - taken).sum())
     for seed in np.argsort(-(lengths - taken), kind="stable"):
         # A cut neighbour may have lost some of its rest by now, or all.
@@ -228,32 +300,51 @@ def pack(
     the same ``doc_id``; a null id is a value like others. Further columns are not used. An empty
     table gives an empty table. Sequences are full or, at the end of a shard, a power of two long.
     """
-    shards = max(1, math.ceil(docs.select("doc_id").count() / shard_docs))
-    path = tokenizer or default_tokenizer()
-    ids = tokenised(docs, path).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards))
+    spark = docs.sparkSession
+    ids = stored(tokenised(docs, tokenizer or default_tokenizer()), "token-ids")
+    statistics = statistics_of(ids)
+    shared = spark.sparkContext.broadcast(statistics)  # a number for each id of the vocabulary
+    shards = max(1, math.ceil(statistics.documents / shard_docs))
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["terms", "place"]
+    dealt = (
+        with_keys(ids, shared)
+        .withColumn("place", F.xxhash64("doc_id", "n", "ids"))
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "ids", "n")
     )
+    columns = [c.split()[0] for c in PIECE.split(", ")]
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in ("doc_id", "n", "ids")])
-        names, packed = group["doc_id"].to_pylist(), group["ids"].to_pylist()
-        kinds = ["<u2" if n > 0 else "<u4" for n in group["n"].to_pylist()]
-        documents = [np.frombuffer(b, k) for b, k in zip(packed, kinds, strict=True)]
+    def packed(names: list, documents: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
         rows, cut = [], []
-        for i, start, length, sequence, offset in fill(documents, window):
+        for i, start, length, sequence, offset in fill(documents, window, shared.value):
             piece = documents[i][start : start + length].astype("<u4")
-            crc, number = zlib.crc32(piece.tobytes()), (key[0].as_py() << 32) + sequence
+            crc, number = zlib.crc32(piece.tobytes()), first + sequence
             rows.append((names[i], start, length, crc, len(documents[i]), number, offset))
             if keep_ids:
                 cut.append(piece.astype(np.int32))
-        columns = [c.split()[0] for c in PIECE.split(", ")]
         arrays = [pa.array(values, pa.int64()) for values in zip(*rows, strict=True)]
         if keep_ids:
-            columns, arrays = [*columns, "ids"], [*arrays, pa.array(cut, pa.list_(pa.int32()))]
-        return pa.Table.from_arrays(arrays, columns)
+            arrays.append(pa.array(cut, pa.list_(pa.int32())))
+        out = pa.RecordBatch.from_arrays(arrays, [*columns, *["ids"] * keep_ids])
+        return out, max(r[5] for r in rows) + 1
 
-    schema = PIECE + (", ids array<int>" if keep_ids else "")
-    return ids.groupBy("shard").applyInArrow(run, schema)
+    def run(batches):
+        first = TaskContext.get().partitionId() << 40
+        names, documents = [], []
+        for batch in batches:
+            for part in slices(batch):
+                names += part.column("doc_id").to_pylist()
+                documents += unpacked(part)
+                while len(documents) >= shard_docs:
+                    out, first = packed(names[:shard_docs], documents[:shard_docs], first)
+                    names, documents = names[shard_docs:], documents[shard_docs:]
+                    yield out
+        if documents:
+            yield packed(names, documents, first)[0]
+
+    return dealt.mapInArrow(run, PIECE + (", ids array<int>" if keep_ids else ""))
 
 
 @query("op10_packing")

@@ -647,6 +647,35 @@ def test_neighbours_share_words():
     assert list(index.neighbours(1)[:2]) == [1, 3]
 
 
+def test_neighbours_use_all_terms_of_the_seed():
+    documents = [np.arange(100), np.arange(30), np.arange(40, 100), np.arange(200, 260)]
+    assert list(packing.InvertedIndex(documents).neighbours(0)[:3]) == [0, 2, 1]
+
+
+def test_related_documents_meet_wherever_they_are(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda: "".join(rng.choice(list("bcdfghklmnprstvz"), 7))
+    common, topics = [draw() for _ in range(40)], [[draw() for _ in range(6)] for _ in range(40)]
+    topic_of = {int(d): i % 40 for i, d in enumerate(rng.permutation(320))}
+    texts = [
+        (d, " ".join([*rng.choice(common, 10), *rng.choice(topics[t], 20)]))
+        for d, t in topic_of.items()
+    ]
+    docs = spark.createDataFrame(texts, SCHEMA).repartition(5)
+    pieces = packing.pack(docs, 512, shard_docs=16).collect()
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p["sequence_id"]] += [topic_of[p["doc_id"]]] * p["length"]
+    # The share of ids that belong to the most frequent topic of their sequence; 1 in 40 by chance.
+    share = sum(max(Counter(s).values()) for s in sequences.values())
+    assert share / sum(map(len, sequences.values())) > 0.6
+    ids = packing.tokenised(docs, packing.default_tokenizer())
+    found = packing.statistics_of(ids)
+    plain = packing.Statistics.of([np.array(encoded(t)) for _, t in texts])
+    assert (found.documents, found.mean_length) == (plain.documents, plain.mean_length)
+    assert (found.frequencies == plain.frequencies).all()
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack(nothing).count() == 0
 
