@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import query, stored, table
+from quietroom.llm.base import query, slices, stored, table
 
 # Distinct rows of a piece.
 SEGMENT = 65_536
@@ -47,6 +47,7 @@ KEEP = {
 FORCED = (2, 2, 3, 2)
 ROLE = {2: "user", 3: "assistant"}
 ACCEPTED = (0, 3)
+_KIND = {"s": SYSTEM, "u": USER, "a": ASSISTANT}
 GONE = 8  # symbol of a row that must be deleted; others are 2 * class + truncated
 FAR = 1 << 60
 
@@ -516,48 +517,44 @@ def edits(found: DataFrame) -> DataFrame:
     )
     names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def block(batch, row, source, letters, roles):
-        rows = pa.array(source, pa.int64())  # null for an inserted row
-        cells = {name: batch.column(f"rows_{name}")[row].values for name, _ in _LISTS}
-        size = len(letters)
-        same = {c: pa.repeat(batch.column(c)[row], size) for c in (*CONVERSATION, *PIECE)}
-        own = {name: cells[name].take(rows) for name in ("has_turn", "at_turn", "role", "h1", "h2")}
-        return [*same.values(), pa.array(np.arange(size)), *own.values(), pa.array(letters),
-                pa.array(roles, pa.string())]
-
     def run(batches):
-        for batch in batches:
-            parts = []
-            waiting = 0
-            for row in range(batch.num_rows):
-                audit = batch.column("audit")[row].as_py()
-                state = batch.column("entry")[row].as_py()
-                counts = batch.column("rows_n")[row].values.to_numpy()
-                kinds = [r[:1] for r in batch.column("rows_role")[row].values.to_pylist()]
-                # Places of letters that take a row; further copies of a row are deleted.
-                places = np.cumsum(counts) - counts
-                nth = {int(p): i for i, p in enumerate(places)}
-                at, source, letters, roles = 0, [], [], []
+        for batch in (part for whole in batches for part in slices(whole, 2048)):
+            lists = {name: batch.column(f"rows_{name}") for name, _ in _LISTS}
+            cells = {name: column.flatten() for name, column in lists.items()}
+            begins = np.cumsum([0, *lists["n"].value_lengths().to_pylist()]).tolist()
+            counts = cells["n"].to_pylist()
+            kinds = [_KIND.get(role[:1], OTHER) for role in cells["role"].to_pylist()]
+            owner, source, letters, roles, number = [], [], [], [], []
+            audits, states = batch.column("audit").to_pylist(), batch.column("entry").to_pylist()
+            for piece, (audit, state) in enumerate(zip(audits, states, strict=True)):
+                at, copies, i = begins[piece], 0, 0
                 for letter in audit:
-                    if letter == "D":
-                        at += 1
-                        continue
-                    i = None if letter == "I" else nth[at]
                     if letter == "K":
-                        state = KEEP[state, {"s": SYSTEM, "u": USER, "a": ASSISTANT}[kinds[i]]]
-                    else:
+                        state = KEEP[state, kinds[at]]
+                    elif letter != "D":
                         state = FORCED[state]
-                    at += letter != "I"
-                    source.append(i)
-                    letters.append(letter)
-                    roles.append(None if letter == "K" else ROLE[state])
-                if letters:
-                    parts.append(block(batch, row, source, letters, roles))
-                    waiting += len(letters)
-                if waiting >= SEGMENT or parts and row == batch.num_rows - 1:
-                    columns = [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-                    parts, waiting = [], 0
+                    if letter != "D":
+                        owner.append(piece)
+                        source.append(None if letter == "I" else at)
+                        letters.append(letter)
+                        roles.append(None if letter == "K" else ROLE[state])
+                        number.append(i)
+                        i += 1
+                    if letter != "I":  # a row's further copies follow it, and are deleted
+                        copies += 1
+                        if copies == counts[at]:
+                            at, copies = at + 1, 0
+            piece, rows = pa.array(owner, pa.int64()), pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(piece) for c in (*CONVERSATION, *PIECE)],
+                    pa.array(number, pa.int64()),
+                    *[cells[c].take(rows) for c in ("has_turn", "at_turn", "role", "h1", "h2")],
+                    pa.array(letters, pa.string()),
+                    pa.array(roles, pa.string()),
+                ],
+                names,
+            )
 
     lists = [f"rows_{name}" for name, _ in _LISTS]
     return found.select(*CONVERSATION, *PIECE, "entry", "audit", *lists).mapInArrow(run, schema)
