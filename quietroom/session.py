@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,41 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file on whatever file system ``path`` lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(where, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """What the files below a folder take, as its file system counts them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(where).getLength()
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files of a write go when it ends, not when the driver collects garbage.
+
+    Only for writes: each is planned anew, so none reads the shuffles of another.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -83,10 +120,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executors and cuts the lineage.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` what ``make`` returns, then remove the work folders that it has named."""
+    return spark.read.parquet(settled_path(spark, make, name))
+
+
+def settled_path(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> str:
+    """As ``settle``, but the path of the table."""
+    begun = len(_folders)
+    materialize(make(), name)
+    kept = _folders.pop()
+    while len(_folders) > begun:
+        drop_folder(spark, _folders.pop())
+    _folders.append(kept)
+    return kept
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """``df`` in as many partitions as the setting ``quietroom.textPartitions`` names, by ``key``.
 
