@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quietroom.catalog.base import (
     LABELS,
+    ORACLES,
     SQL_COMMENTS,
     SQL_SPLIT,
     comments,
@@ -52,6 +53,15 @@ def load_comments_csv(spark, sf):
     return read_comments_csv(spark, path, LABELS)
 
 
+@query("split_comments_csv", ORACLES["load_comments_csv"])
+def split_comments_csv(spark, sf):
+    """The same CSV, of few files, read in splits of files; line breaks and quotes are in the texts."""
+    path = work_path(spark, "large-comments-csv")
+    rows = comments(spark, sf).coalesce(2)
+    rows.write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    return read_comments_csv(spark, path, LABELS, split_files=True)
+
+
 @query(
     "unlabelled_comments",
     "SELECT doc_id AS id, text AS comment_text FROM documents "

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quietroom.operators.split import stratified_split
 from quietroom.session import materialize
+from quietroom.sources.records import csv_records
 
 
 class MissingLabels(ValueError):
@@ -48,23 +49,23 @@ def read_csv_rows(
     label_cols: list[str] | None = None,
     multi_line: bool = True,
     null_value: str | None = None,
+    split_files: bool = False,
 ) -> DataFrame:
     """The rows of the files with ``reason``: NULL, ``malformed`` or ``label:<name>``.
 
     Labels become INT. Files whose header has other columns, or another order, are an error.
+    ``split_files`` reads files with line breaks in their texts in splits; see ``csv_records`` for
+    what it asks of the quotes.
     """
-    reader = (
-        spark.read.schema(csv_schema(spark, path))
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("columnNameOfCorruptRecord", DAMAGED)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-    )
+    schema = csv_schema(spark, path)
+    options = {"columnNameOfCorruptRecord": DAMAGED, "quote": '"', "escape": '"'}
     if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    rows = reader.csv(path)
+        options["nullValue"] = null_value
+    if split_files:
+        rows = _split_rows(spark, path, schema, options)
+    else:
+        reader = spark.read.schema(schema).options(**options)
+        rows = reader.options(header=True, enforceSchema=False, multiLine=multi_line).csv(path)
     names = [c for c in label_cols or [] if c in rows.columns]
     wrong = [
         F.when(F.col(c).isNotNull() & label_value(F.col(c)).isNull(), f"label:{c}") for c in names
@@ -74,6 +75,21 @@ def read_csv_rows(
     return checked.withColumns({c: label_value(F.col(c)) for c in names})
 
 
+def _split_rows(
+    spark: SparkSession, path: str, schema: T.StructType, options: dict[str, str]
+) -> DataFrame:
+    """The rows of ``csv_records``, parsed; a header that is not that of ``schema`` is an error."""
+    ddl = ", ".join(f"`{field.name}` string" for field in schema)
+    row = F.from_csv("record", F.lit(ddl), {**options, "multiLine": "true"})
+    parsed = csv_records(spark, path).select("header", row.alias("row"))
+    named = F.array(*[F.col("row").getField(name) for name in schema.names[:-1]])
+    wanted = F.array(*[F.lit(name) for name in schema.names[:-1]])
+    damaged = F.col("row").getField(DAMAGED).isNotNull()
+    wrong = F.col("header") & (damaged | ~named.eqNullSafe(wanted))
+    checked = F.when(wrong, F.raise_error(F.lit(f"CSV header does not conform: {path}")).cast("boolean"))
+    return parsed.where(F.coalesce(checked, ~F.col("header"))).select("row.*")
+
+
 def read_comments_csv(
     spark: SparkSession,
     path: str,
@@ -82,16 +98,17 @@ def read_comments_csv(
     id_col: str = "id",
     multi_line: bool = True,
     null_value: str | None = None,
+    split_files: bool = False,
 ) -> DataFrame:
     """Comments as ``id, comment_text, <labels>``; without labels when none are asked for.
 
     ``multi_line`` is needed for texts with line breaks and makes each file one
-    task, so large inputs should come as many files (or parquet). Rows of a file
+    task; ``split_files`` reads such files in splits. Rows of a file
     without an id column are numbered and stored once in the shared folder: copies
     of a text stay different rows, and the numbers stay the same for every later job.
     Rows that ``read_csv_rows`` gives a reason are left out.
     """
-    rows = read_csv_rows(spark, path, label_cols, multi_line, null_value)
+    rows = read_csv_rows(spark, path, label_cols, multi_line, null_value, split_files)
     rows = rows.where(F.col("reason").isNull()).drop("reason")
     if id_col in rows.columns:
         return project_comments(rows, label_cols, text_col, id_col)
