@@ -90,11 +90,16 @@ def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndar
     return xc.T @ np.linalg.solve(xc @ xc.T + alpha * np.eye(len(w)), yc)
 
 
-def _explain_one(mask: np.ndarray, probs: np.ndarray, features: int):
-    """Per label: (word positions, weights), strongest first."""
+def kernel_weights(mask: np.ndarray) -> np.ndarray:
+    """How much each variant counts, by the share of words it keeps."""
     kept = mask.sum(axis=1)
     distance = (1.0 - np.sqrt(kept / mask.shape[1])) * DISTANCE_SCALE
-    weight = np.sqrt(np.exp(-(distance**2) / KERNEL_WIDTH**2))
+    return np.sqrt(np.exp(-(distance**2) / KERNEL_WIDTH**2))
+
+
+def _explain_one(mask: np.ndarray, probs: np.ndarray, features: int):
+    """Per label: (word positions, weights), strongest first."""
+    weight = kernel_weights(mask)
     first = _ridge(mask, probs, weight, SELECT_ALPHA)
     for label in range(probs.shape[1]):
         order = np.argsort(-np.abs(first[:, label]), kind="stable")[:features]
@@ -118,7 +123,9 @@ def explain(
     comment's ``samples`` rows are solved together. A comment without words has no rows.
     """
     labels = list(scorer.labels)
-    variants = perturb(df, key, text, samples, seed).where("mask <> ''")
+    # Before the variants are made: above them the filter would draw every mask a second time.
+    worded = df.where(F.col(text).rlike(WORD))
+    variants = perturb(worded, key, text, samples, seed)
     scored = scorer.score(variants, text=text).select(key, "sample", "prob", "words", "mask")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,3 +144,51 @@ def explain(
     return scored.groupBy(key).applyInPandas(
         solve, f"{key} {kind}, label string, token string, weight double, rank int"
     )
+
+
+def fidelity(
+    explanations: DataFrame,
+    df: DataFrame,
+    scorer,
+    key: str = "id",
+    text: str = "comment_text",
+    samples: int = EXPLAIN_SAMPLES,
+    seed: int = SEED,
+) -> DataFrame:
+    """``key, label, slope, r2`` of each explanation by ``explain`` of the same rows and options.
+
+    The weights are put back into the local model they come from. Of a ridge fit, the
+    kernel-weighted residuals are orthogonal to every word's column but for the ridge term: ``slope``
+    is the largest absolute difference from that, next to nothing for a true fit. ``r2`` is the
+    weighted share of the variants' variance that the words explain; NULL where scores do not vary.
+    """
+    labels = list(scorer.labels)
+    worded = df.where(F.col(text).rlike(WORD))
+    scored = scorer.score(perturb(worded, key, text, samples, seed), text=text)
+    variants = scored.select(key, "sample", "prob", "words", "mask")
+
+    def check(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(one) and len(two):
+            one = one.sort_values("sample")
+            flags = np.frombuffer("".join(one["mask"]).encode(), np.uint8) == ord("1")
+            mask = flags.reshape(len(one), -1).astype(np.float64)
+            probs = np.stack(one["prob"].to_numpy()).astype(np.float64)
+            weight = kernel_weights(mask)
+            place = {word: i for i, word in enumerate(one["words"].iloc[0])}
+            share = weight / weight.sum()
+            for label, found in two.groupby("label"):
+                x = mask[:, [place[t] for t in found["token"]]]
+                y, beta = probs[:, labels.index(label)], found["weight"].to_numpy()
+                centred, level = x - share @ x, y - share @ y
+                rest = level - centred @ beta
+                slope = np.abs(centred.T @ (weight * rest) - FIT_ALPHA * beta).max()
+                spread = share @ level**2
+                r2 = 1 - (share @ rest**2) / spread if spread > 1e-18 else None
+                out.append((one[key].iloc[0], label, float(slope), r2))
+        return pd.DataFrame(out, columns=[key, "label", "slope", "r2"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return variants.groupBy(key).cogroup(explanations.groupBy(key)).applyInPandas(
+        check, f"{key} {kind}, label string, slope double, r2 double"
+    )
