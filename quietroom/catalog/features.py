@@ -16,7 +16,13 @@ from quietroom.catalog.base import (
     texts,
 )
 from quietroom.functions.hashing import digest, digest_number
-from quietroom.operators.encode import encode_sequences, word_ids
+from quietroom.operators.encode import (
+    encode_sequences,
+    length_batches,
+    padded_to,
+    word_ids,
+    word_lengths,
+)
 from quietroom.operators.pooling import pool_groups
 from quietroom.operators.tfidf import (
     FittedVocabulary,
@@ -24,7 +30,12 @@ from quietroom.operators.tfidf import (
     tfidf_long,
     with_terms,
 )
-from quietroom.operators.vocabulary import term_frequencies, vocabulary
+from quietroom.operators.vocabulary import (
+    prefiltered_vocabulary,
+    term_frequencies,
+    vocabulary,
+)
+from quietroom.session import materialize
 from quietroom.settings import MAX_FEATURES
 
 _TERMS = (
@@ -52,17 +63,32 @@ def term_doc_freq(spark, sf):
     return term_frequencies(with_terms(texts(spark, sf)), F.col("terms"))
 
 
+def _terms(spark, sf):
+    """``id, terms`` of the documents: cut into n-grams once, for the vocabulary and the vectors."""
+    return materialize(with_terms(texts(spark, sf)).select("id", "terms"), "document-terms")
+
+
 @query("top_vocab", _VOCAB)
 def top_vocab(spark, sf):
     return vocabulary(with_terms(texts(spark, sf)), F.col("terms"))
 
 
+# Few enough that the sketches of a few megabytes of text overflow.
+COUNTERS = 50_000
+
+
+@query("top_vocab_sketched", _VOCAB)
+def top_vocab_sketched(spark, sf):
+    """The same vocabulary, counting only the terms that sketches of the partitions leave possible."""
+    return prefiltered_vocabulary(_terms(spark, sf), F.col("terms"), counters=COUNTERS)
+
+
 @query(
     "tfidf_l2", f"SELECT doc_id AS id, term, round(tfidf, 9) AS tfidf FROM ({_TFIDF})"
 )
 def tfidf_l2(spark, sf):
-    docs = texts(spark, sf)
-    vocab = FittedVocabulary.fit(with_terms(docs))
+    docs = _terms(spark, sf)
+    vocab = FittedVocabulary.fit(docs)
     return tfidf_long(docs, vocab).withColumn("tfidf", r("tfidf"))
 
 
@@ -85,8 +111,8 @@ _CONTRIBUTIONS = " UNION ALL ".join(
 )
 def contributions(spark, sf):
     """Top terms under coefficients drawn from each vocabulary term's digest."""
-    docs = texts(spark, sf)
-    vocab = FittedVocabulary.fit(with_terms(docs))
+    docs = _terms(spark, sf)
+    vocab = FittedVocabulary.fit(docs)
     drawn = [
         ((digest_number(digest("coef", c, F.col("term"))) % 201 - 100) / F.lit(100.0)).alias(c)
         for c in LABELS
@@ -137,6 +163,48 @@ def encoded(spark, sf):
     )
 
 
+@query(
+    "dynamic_padding",
+    f"""
+    WITH used AS (SELECT doc_id, least(len({_PIECES}) + 2, 128) AS n_used FROM documents),
+    numbered AS (SELECT doc_id, n_used, (row_number() OVER (
+        ORDER BY (n_used - 1) // 8, {sql_digest('doc_id')}, doc_id) - 1) // 32 AS batch FROM used)
+    SELECT doc_id AS id, CAST(n_used AS INTEGER) AS n_used, batch,
+           CAST(max(n_used) OVER (PARTITION BY batch) AS INTEGER) AS width FROM numbered
+    """,
+)
+def dynamic_padding(spark, sf):
+    """Batches of about equal lengths, each padded to its longest text."""
+    return length_batches(word_lengths(texts(spark, sf)))
+
+
+@query(
+    "padding_saved",
+    f"""
+    WITH used AS (SELECT doc_id, least(len({_PIECES}) + 2, 128) AS n_used FROM documents),
+    numbered AS (SELECT n_used, (row_number() OVER (
+        ORDER BY (n_used - 1) // 8, {sql_digest('doc_id')}, doc_id) - 1) // 32 AS batch FROM used),
+    widths AS (SELECT batch, count(*) AS n, max(n_used) AS width, sum(n_used) AS n_used FROM numbered GROUP BY batch)
+    SELECT sum(n)::BIGINT AS n_rows, sum(n * width)::BIGINT AS n_ids, sum(n * width - n_used)::BIGINT AS n_padding,
+           sum(n * 128 - n_used) >= sum(n * width - n_used) AS is_less FROM widths
+    """,
+)
+def padding_saved(spark, sf):
+    """Encoded texts cut to their batches' widths: no word is lost, and padding shrinks."""
+    docs = texts(spark, sf)
+    encoded_rows = encode_sequences(docs, word_ids(docs, MAX_WORDS))
+    cut = padded_to(encoded_rows, length_batches(word_lengths(docs)))
+    used = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    sizes = cut.select(F.size("ids").cast("bigint").alias("width"), used.cast("bigint").alias("n"))
+    padding = F.sum(F.col("width") - F.col("n"))
+    return sizes.agg(
+        F.count("*").alias("n_rows"),
+        F.sum("width").alias("n_ids"),
+        padding.alias("n_padding"),
+        (F.sum(128 - F.col("n")) >= padding).alias("is_less"),
+    )
+
+
 @query(
     "pool_mean_max",
     """

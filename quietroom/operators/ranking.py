@@ -34,15 +34,22 @@ def hash_position(
     which is to be unique.
     """
     keyed = df.select(key, digest(F.col(key), seed=seed).alias("_h"))
-    parts = range_parts(keyed, ["_h", key], "digests")
+    placed = range_positions(keyed, ["_h", key], "digests", name).select(key, name)
+    return placed if df.columns == [key] else df.join(placed, key)
+
+
+def range_positions(
+    df: DataFrame, order: list[str], folder: str, name: str = "position"
+) -> DataFrame:
+    """Add the 1-based position of each row by ``order``, which is to be unique."""
+    parts = range_parts(df, order, folder)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = F.row_number().over(W.partitionBy("_part").orderBy("_h", key))
-    placed = parts.join(offsets, "_part").select(key, (F.col("_offset") + inside).alias(name))
-    return placed if df.columns == [key] else df.join(placed, key)
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.join(offsets, "_part").select(*df.columns, (F.col("_offset") + inside).alias(name))
 
 
 def batch_numbers(

@@ -76,11 +76,15 @@ def vector_entries(vector: str) -> Column:
     return F.arrays_zip(raw["indices"].alias("idx"), raw["values"].alias("value"))
 
 
+def _termed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, "terms") if "terms" in df.columns else with_terms(df.select(key, text), text)
+
+
 def tfidf_long(
     df: DataFrame, vocab: FittedVocabulary, key: str = "id", text: str = "comment_text"
 ) -> DataFrame:
-    """``key, term, tfidf`` for every vocabulary term of every comment."""
-    vectors = tfidf_stages(vocab).transform(with_terms(df.select(key, text), text))
+    """``key, term, tfidf`` for every vocabulary term of every comment; ``terms`` are used if there."""
+    vectors = tfidf_stages(vocab).transform(_termed(df, key, text))
     entries = vectors.select(key, F.inline(vector_entries("features")))
     names = vocab.table(df.sparkSession)
     return join_bounded(entries, names, "idx", "inner", len(vocab.terms)).select(
@@ -100,9 +104,9 @@ def linear_contributions(
 
     The products and their ranking are per row, so there is no shuffle; only the
     few kept entries meet the term names. Equal strengths go to the more frequent
-    term.
+    term. ``terms`` are used if there.
     """
-    featured = tfidf_stages(vocab).transform(with_terms(df.select(key, text), text))
+    featured = tfidf_stages(vocab).transform(_termed(df, key, text))
     fields = []
     for i, (label, values) in enumerate(coefficients.items()):
         weighed = ElementwiseProduct(

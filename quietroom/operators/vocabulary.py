@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quietroom.session import join_bounded, materialize
 from quietroom.settings import MAX_FEATURES
 
+# Counters of a partition's sketch. A term that makes up more than one in so many of all terms is
+# never lost; the 20,000th most frequent n-gram of a language is far above that.
+SKETCH_COUNTERS = 1_000_000
+
 
 def term_frequencies(df: DataFrame, terms: Column) -> DataFrame:
     """Corpus count ``tf`` and document count ``df`` of every term.
@@ -19,13 +27,17 @@ def term_frequencies(df: DataFrame, terms: Column) -> DataFrame:
     (counting for ``df``). Both are sums per term, so they combine before the one
     shuffle, which is keyed by term only; frequent terms arrive pre-summed.
     """
+    return _summed(_entries(df, terms))
+
+
+def _entries(df: DataFrame, terms: Column) -> DataFrame:
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 
     def entry(tf: Column, doc: Column):
         return lambda t: F.struct(t.alias("term"), tf.alias("tf"), doc.alias("df"))
 
     listed = df.select(terms.alias("_terms"))
-    emitted = listed.select(
+    return listed.select(
         F.inline(
             F.concat(
                 F.transform("_terms", entry(one, zero)),
@@ -33,7 +45,10 @@ def term_frequencies(df: DataFrame, terms: Column) -> DataFrame:
             )
         )
     )
-    return emitted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def _summed(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def corpus_counts(df: DataFrame, terms: Column) -> DataFrame:
@@ -72,3 +87,57 @@ def most_frequent(counts: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
 def vocabulary(df: DataFrame, terms: Column, limit: int = MAX_FEATURES) -> DataFrame:
     """``term, tf, df, idx`` of the ``limit`` most frequent terms."""
     return most_frequent(term_frequencies(df, terms), limit)
+
+
+def frequent_sketch(
+    df: DataFrame, terms: Column, counters: int = SKETCH_COUNTERS
+) -> tuple[DataFrame, int]:
+    """``term, low`` of the terms that can be frequent, and by how much ``low`` can be short.
+
+    Every partition counts its terms in at most ``2 * counters`` places; when they are full, the
+    count of the ``counters``-th largest is taken off all of them, and what is left with nothing
+    goes. A term's count is thus at least the sum of its places, ``low``, and at most that plus the
+    sum of what the partitions took off; a term without a place has no more than the latter.
+    """
+
+    def run(batches):
+        held: Counter = Counter()
+        taken = 0
+        for batch in batches:
+            found = pc.value_counts(batch.column(0).flatten())
+            names = found.field("values").to_pylist()
+            held.update(dict(zip(names, found.field("counts").to_pylist(), strict=True)))
+            if len(held) > 2 * counters:
+                least = sorted(held.values(), reverse=True)[counters]
+                held = Counter({t: n - least for t, n in held.items() if n > least})
+                taken += least
+        yield pa.RecordBatch.from_pydict(
+            {"term": [None, *held.keys()], "low": [taken, *held.values()]}
+        )
+
+    listed = df.select(F.filter(terms, lambda t: t.isNotNull()).alias("_terms"))
+    parts = listed.mapInArrow(run, "term string, low bigint")
+    merged = materialize(parts.groupBy("term").agg(F.sum("low").alias("low")), "term-sketch")
+    error = merged.where("term IS NULL").agg(F.coalesce(F.sum("low"), F.lit(0))).first()[0]
+    return merged.where("term IS NOT NULL"), error
+
+
+def prefiltered_vocabulary(
+    df: DataFrame, terms: Column, limit: int = MAX_FEATURES, counters: int = SKETCH_COUNTERS
+) -> DataFrame:
+    """``vocabulary`` with exact counts of those terms only that can be among the most frequent.
+
+    The ``limit``-th largest lower bound of the sketch is a count that at least ``limit`` terms
+    reach. If it is above the sketch's error, no term without a place can be among them, and of the
+    others only those whose upper bound reaches it are counted. Otherwise the sketch proves nothing,
+    and all terms are counted. ``df`` is read twice and should be a stored table.
+    """
+    sketch, error = frequent_sketch(df, terms, counters)
+    lows = sketch.orderBy(F.desc("low")).limit(limit)
+    reached, least = lows.agg(F.count("*"), F.min("low")).first()
+    if error and (reached < limit or least <= error):
+        return vocabulary(df, terms, limit)
+    possible = sketch.where(F.col("low") + error >= F.lit(least or 0)).select("term")
+    wanted = materialize(possible, "possible-terms")
+    kept = join_bounded(_entries(df, terms), wanted, "term", "left_semi", wanted.count())
+    return most_frequent(_summed(kept), limit)
