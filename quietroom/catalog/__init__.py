@@ -6,6 +6,7 @@ from quietroom.catalog import (  # noqa: F401
     decisions,
     evaluation,
     features,
+    fits,
     ingest,
     metrics,
     models,

@@ -42,7 +42,7 @@ from quietroom.operators.thresholds import (
     threshold_sweep,
 )
 from quietroom.plans.train import best_candidate
-from quietroom.settings import TIER_FACTS, threshold_grid
+from quietroom.settings import threshold_grid
 
 _AT_HALF = f"(SELECT *, (prob >= 0.5::DOUBLE)::INTEGER AS pred FROM ({sql_long()}))"
 
@@ -291,27 +291,32 @@ def bucket_scores(spark, sf):
     return _rounded(bucket_macro(per_label), "f1", "precision", "recall")
 
 
+# Hash functions that stand in for models, with numbers to reckon with.
+STAND_INS = [("first", 4, 10), ("second", 6, 30), ("third", 20, 20)]
+
+
 def _sql_models() -> str:
     rows = " UNION ALL ".join(
-        f"SELECT '{m}' AS model, * FROM ({sql_long(m)})" for m, _, _ in TIER_FACTS
+        f"SELECT '{m}' AS model, * FROM ({sql_long(m)})" for m, _, _ in STAND_INS
     )
     return f"(SELECT *, (prob >= 0.5::DOUBLE)::INTEGER AS pred FROM ({rows}))"
 
 
-_FACTS = ", ".join(f"('{m}', {lat}, {size})" for m, lat, size in TIER_FACTS)
+_FACTS = ", ".join(f"('{m}', {lat}, {size})" for m, lat, size in STAND_INS)
 
 
 @query(
-    "model_comparison",
+    "comparison_arithmetic",
     "SELECT model, round(f1, 9) AS f1_score, round(recall, 9) AS recall_safety, latency_ms, size_mb, "
     "round(latency_ms::DOUBLE / min(latency_ms) OVER (), 9) AS latency_ratio FROM "
     f"(SELECT model, avg(f1) AS f1, avg(recall) AS recall FROM ({sql_confusion(_sql_models(), 'model, label')}) "
     f"GROUP BY model) JOIN (VALUES {_FACTS}) f(model, latency_ms, size_mb) USING (model)",
 )
-def model_comparison(spark, sf):
-    rows = stack({m: scored(spark, sf, m) for m, _, _ in TIER_FACTS}, "model")
+def comparison_arithmetic(spark, sf):
+    """How scores, latency and size are put next to each other; ``model_comparison`` measures them."""
+    rows = stack({m: scored(spark, sf, m) for m, _, _ in STAND_INS}, "model")
     long = scored_long(predict_labels(rows, LABELS), LABELS, ["model"])
-    facts = spark.createDataFrame(TIER_FACTS, "model string, latency_ms int, size_mb int")
+    facts = spark.createDataFrame(STAND_INS, "model string, latency_ms int, size_mb int")
     result = compare_models(macro_metrics(long, ["model"]), facts)
     return _rounded(result, "f1_score", "recall_safety", "latency_ratio")
 
@@ -322,7 +327,7 @@ def model_comparison(spark, sf):
     f"{_sql_models()} GROUP BY model, label",
 )
 def stacked(spark, sf):
-    rows = stack({m: scored(spark, sf, m) for m, _, _ in TIER_FACTS}, "model")
+    rows = stack({m: scored(spark, sf, m) for m, _, _ in STAND_INS}, "model")
     return scored_long(rows, LABELS, ["model"]).groupBy("model", "label").agg(
         F.count("*").alias("n_rows"), r(F.avg("prob")).alias("mean_prob")
     )

@@ -16,7 +16,7 @@ from quietroom.catalog.base import (
 )
 from quietroom.functions.scores import label_array, sigmoid
 from quietroom.operators.curves import ranking_curves
-from quietroom.operators.explain import explain
+from quietroom.operators.explain import explain, fidelity
 from quietroom.operators.reshape import label_values, scored_long
 from quietroom.operators.robustness import variants, with_noise
 from quietroom.operators.split import in_split
@@ -220,6 +220,16 @@ def noisy_rescore(spark, sf):
     )
 
 
+def _requests(spark, sf):
+    rows = table(spark, sf, "conversations").where("role = 'user'")
+    return dealt(
+        rows.select(
+            F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("comment_text")
+        ),
+        "id",
+    )
+
+
 _WORDS = r"list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))"
 
 
@@ -233,12 +243,7 @@ _WORDS = r"list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+'))"
 )
 def explain_top10(spark, sf):
     """Explanations of all user requests: counts, own words only, strongest first."""
-    requests = dealt(
-        table(spark, sf, "conversations").where("role = 'user'").select(
-            F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("comment_text")
-        ),
-        "id",
-    )
+    requests = _requests(spark, sf)
     # Stored once: the counts below read the explanations a single time, but the
     # scorer and the solver run in Python and should not be repeated on a retry.
     rows = materialize(explain(requests, fitted(spark, sf)), "explanations")
@@ -260,3 +265,22 @@ def explain_top10(spark, sf):
         F.max("last").alias("last_rank"),
         F.count(F.when(ordered, 1)).alias("n_ordered"),
     )
+
+
+@query(
+    "explanation_fidelity",
+    "SELECT label, count(*) AS n_explained, count(*) AS n_fitted, true AS bounded, true AS explains "
+    f"FROM (SELECT len({_WORDS}) AS n FROM conversations WHERE role = 'user'), "
+    "(VALUES ('toxic'), ('quality')) l(label) WHERE n > 0 GROUP BY label",
+)
+def explanation_fidelity(spark, sf):
+    """Normal equations and weighted R2 of every explanation of a user request."""
+    requests, scorer = _requests(spark, sf), fitted(spark, sf)
+    found = materialize(explain(requests, scorer), "explanations")
+    rows = fidelity(found, requests, scorer)
+    return rows.groupBy("label").agg(
+        F.count("*").alias("n_explained"),
+        F.count(F.when(F.col("slope") < 1e-8, 1)).alias("n_fitted"),
+        (F.max("r2") <= 1).alias("bounded"),
+        (F.avg("r2") > 0).alias("explains"),
+    )

@@ -11,10 +11,12 @@ from quietroom.functions.text import pipe_join
 from quietroom.session import work_path
 from quietroom.sources.feedback import append_feedback, read_feedback
 from quietroom.streaming.jobs import (
+    read_batches,
     read_requests,
     request_stream,
     respond,
     start_feedback,
+    start_measured,
     start_scoring,
     start_validation,
 )
@@ -122,3 +124,27 @@ def stream_rejects(spark, sf):
         for name in ("accepted", "rejected")
     ]
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "stream_batches",
+    "SELECT 4::BIGINT AS n_batches, count(*) AS n_rows, count(*) FILTER (length(text) > 0) AS accepted, "
+    "count(*) FILTER (length(coalesce(text, '')) = 0) AS rejected, true AS as_table, true AS timed "
+    "FROM conversations WHERE role = 'user'",
+)
+def stream_batches(spark, sf):
+    """Counts by micro-batch: their sums are those of the requests scored as a table."""
+    scorer, limits = fitted(spark, sf), {"toxic": 0.4, "quality": 0.6}
+    requests = _requests(table(spark, sf, "conversations"))
+    folder, out = work_path(spark, "request-files"), work_path(spark, "measured")
+    requests.repartition(4, "id").sortWithinPartitions("id").write.parquet(folder)
+    # Four files, one in each micro-batch.
+    live = request_stream(spark, folder, requests.schema, files_per_trigger=1)
+    start_measured(live, scorer, out, work_path(spark, "measured-checkpoint"), limits).awaitTermination()
+    flagged = respond(requests, scorer, limits).where(F.size("flags") > 0).count()
+    return read_batches(spark, out).agg(
+        F.count("*").alias("n_batches"),
+        *[F.sum(c).alias(c) for c in ("n_rows", "accepted", "rejected")],
+        (F.sum("flagged") == flagged).alias("as_table"),
+        (F.min("rows_per_second") > 0).alias("timed"),
+    )

@@ -9,6 +9,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Words whose vectors are gathered at a time.
+WORDS_AT_ONCE = 20_000
+
 
 def pool_groups(df: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean and max over the vectors of each group, concatenated.
@@ -39,15 +42,44 @@ def pool_counts(matrix, indices: Column, counts: Column) -> Column:
     @F.pandas_udf("array<float>")
     def pooled(index: pd.Series, count: pd.Series) -> pd.Series:
         table = matrix.value
-        out = []
-        for i, c in zip(index, count):
-            if i is None or len(i) == 0:
-                out.append(np.zeros(2 * table.shape[1], dtype=np.float32))
-                continue
-            rows = table[np.asarray(i)]
-            weights = np.asarray(c, dtype=np.float32)
-            mean = weights @ rows / weights.sum()
-            out.append(np.concatenate([mean, rows.max(axis=0)]).astype(np.float32))
-        return pd.Series(out)
+        width = table.shape[1]
+        sizes = np.array([0 if i is None else len(i) for i in index])
+        out = np.zeros((len(index), 2 * width), dtype=np.float32)
+        held = np.flatnonzero(sizes)
+        # A few thousand words at a time, whatever the texts.
+        parts = np.split(held, np.unique(np.cumsum(sizes[held]) // WORDS_AT_ONCE, return_index=True)[1][1:])
+        for part in parts if len(held) else []:
+            rows = table[np.concatenate([index.iloc[i] for i in part])]
+            weights = np.concatenate([count.iloc[i] for i in part]).astype(np.float32)
+            starts = np.cumsum(sizes[part]) - sizes[part]
+            total = np.add.reduceat(rows * weights[:, None], starts, axis=0)
+            out[part, :width] = total / np.add.reduceat(weights, starts)[:, None]
+            out[part, width:] = np.maximum.reduceat(rows, starts, axis=0)
+        return pd.Series(list(out))
 
     return pooled(indices, counts)
+
+
+def pool_terms(tokens: DataFrame, vectors: DataFrame, key: str, width: int) -> DataFrame:
+    """``key, pooled``: mean and max of the word vectors of ``key, terms``, by a join on the words.
+
+    ``vectors`` has ``term, vector`` and may be of any size; a table bucketed by ``term`` is not
+    shuffled. A text sends each of its distinct words once, with its count. ``width`` is that of the
+    result; a text without known words gets zeros.
+    """
+    counted = (
+        tokens.select(key, F.explode("terms").alias("term"))
+        .groupBy(key, "term")
+        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    )
+    vector = array_to_vector(F.col("vector").cast("array<double>"))
+    found = counted.join(vectors.select("term", vector.alias("_v")), "term")
+    pooled = found.groupBy(key).agg(
+        Summarizer.mean(F.col("_v"), F.col("_n")).alias("_mean"),
+        Summarizer.max(F.col("_v"), F.col("_n")).alias("_max"),
+    )
+    both = F.concat(vector_to_array("_mean"), vector_to_array("_max"))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return tokens.select(key).join(
+        pooled.select(key, both.alias("pooled")), key, "left"
+    ).select(key, F.coalesce("pooled", zeros).alias("pooled"))

@@ -7,24 +7,27 @@ column, batch or streaming, without a shuffle.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast, StorageLevel, inheritable_thread_target
+from pyspark import SparkFiles, StorageLevel, cloudpickle, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quietroom.functions.hashing import digest, digest_number
+from quietroom.functions.scores import sigmoid
 from quietroom.functions.text import clean_text, word_tokens
-from quietroom.operators.pooling import pool_counts
+from quietroom.operators.optimality import certificate, objective_gradients
+from quietroom.operators.pooling import pool_counts, pool_terms
 from quietroom.operators.profile import balanced_weights
 from quietroom.operators.reshape import label_values
 from quietroom.operators.tfidf import (
@@ -34,7 +37,7 @@ from quietroom.operators.tfidf import (
     with_terms,
 )
 from quietroom.operators.vocabulary import corpus_counts, most_frequent
-from quietroom.session import materialize
+from quietroom.session import materialize, write_bytes
 from quietroom.settings import MAX_FEATURES, SEED
 
 
@@ -74,16 +77,17 @@ def _probabilities(
     return df.withColumn("prob", F.array(*probs)).drop(*extra)
 
 
-def fit_label_models(
+def fit_penalties(
     featured: DataFrame,
     labels: list[str],
+    penalties: list[float],
     max_iter: int = 100,
     parallelism: int = 4,
     partitions: int | None = None,
-) -> list[LogisticRegressionModel]:
-    """One balanced binary logistic regression per label over shared features.
+) -> list[list[LogisticRegressionModel]]:
+    """For each penalty one balanced binary logistic regression per label, over shared features.
 
-    The per-row weights sum to the row count, so the penalty equals C = 1 of the
+    The per-row weights sum to the row count, so a penalty of 1 equals C = 1 of the
     usual summed loss. ``partitions`` merges those of the input for the iterations.
     """
     featured = featured.select("features", *labels)
@@ -91,23 +95,17 @@ def fit_label_models(
         featured = featured.coalesce(partitions)
     featured = featured.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        weights: dict[str, dict[int, float]] = {name: {} for name in labels}
-        # Two rows per label column.
-        for row in balanced_weights(featured, labels).collect():
-            weights[row["label"]][row["y"]] = row["weight"]
+        weights = class_weights(featured, labels)
         n = featured.count()
 
-        def fit(i: int) -> LogisticRegressionModel:
-            name = labels[i]
-            per_class = weights[name]
-            weight = F.when(F.col(name) == 1, F.lit(per_class.get(1, 1.0))).otherwise(
-                F.lit(per_class.get(0, 1.0))
-            )
+        def fit(job: tuple[float, int]) -> LogisticRegressionModel:
+            penalty, i = job
+            per_class = weights[labels[i]]
             total = n if len(per_class) == 2 else n * sum(per_class.values())
             lr = LogisticRegression(
                 labelCol="_y",
                 weightCol="_w",
-                regParam=1.0 / max(total, 1),
+                regParam=penalty / max(total, 1),
                 standardization=False,
                 maxIter=max_iter,
                 probabilityCol=f"_p{i}",
@@ -115,33 +113,53 @@ def fit_label_models(
                 predictionCol=f"_d{i}",
             )
             rows = featured.select(
-                "features", F.col(name).cast("double").alias("_y"), weight.alias("_w")
+                "features",
+                F.col(labels[i]).cast("double").alias("_y"),
+                class_weight(labels[i], per_class).alias("_w"),
             )
             return lr.fit(rows)
 
-        with ThreadPoolExecutor(max_workers=min(parallelism, len(labels))) as pool:
+        jobs = [(penalty, i) for penalty in penalties for i in range(len(labels))]
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as pool:
             spark = featured.sparkSession
-            return list(pool.map(inheritable_thread_target(spark)(fit), range(len(labels))))
+            models = list(pool.map(inheritable_thread_target(spark)(fit), jobs))
+        return [models[at : at + len(labels)] for at in range(0, len(models), len(labels))]
     finally:
         featured.unpersist()
 
 
-def _frequent_words(tokens: DataFrame, limit: int) -> list[str]:
-    """The ``limit`` most frequent words by rank; of equally frequent ones the smaller."""
-    rows = most_frequent(corpus_counts(tokens, F.col("terms")), limit).orderBy("idx").collect()
-    if not rows:
-        raise ValueError("no words in the fitted texts")
-    return [r["term"] for r in rows]
+def fit_label_models(
+    featured: DataFrame, labels: list[str], max_iter: int = 100, partitions: int | None = None
+) -> list[LogisticRegressionModel]:
+    return fit_penalties(featured, labels, [1.0], max_iter, partitions=partitions)[0]
+
+
+def class_weights(rows: DataFrame, labels: list[str]) -> dict[str, dict[int, float]]:
+    """The balanced weight of each label's classes; two rows per label column are collected."""
+    weights: dict[str, dict[int, float]] = {name: {} for name in labels}
+    for row in balanced_weights(rows, labels).collect():
+        weights[row["label"]][row["y"]] = row["weight"]
+    return weights
 
 
-def _only(words: Broadcast, terms: Column) -> Column:
-    """The terms that are among ``words``, in order."""
+def class_weight(label: str, per_class: dict[int, float]) -> Column:
+    return F.when(F.col(label) == 1, F.lit(per_class.get(1, 1.0))).otherwise(
+        F.lit(per_class.get(0, 1.0))
+    )
 
-    @F.pandas_udf("array<string>")
-    def kept(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda row: [t for t in row if t in words.value])
 
-    return kept(terms)
+def _frequent_words(tokens: DataFrame, limit: int) -> tuple[list[str], int]:
+    """At most ``limit`` of the most frequent words, by rank, and the count of the last.
+
+    Words as frequent as the first one that is left out are left out too, so that the count tells
+    kept words from others; unless nothing would be left.
+    """
+    rows = most_frequent(corpus_counts(tokens, F.col("terms")), limit + 1).orderBy("idx").collect()
+    if not rows:
+        raise ValueError("no words in the fitted texts")
+    least = rows[-1]["tf"] + 1 if len(rows) > limit and rows[0]["tf"] > rows[-1]["tf"] else 1
+    kept = [r for r in rows[:limit] if r["tf"] >= least]
+    return [r["term"] for r in kept], kept[-1]["tf"]
 
 
 def _tokens(df: DataFrame, text: str, clean: bool) -> DataFrame:
@@ -200,6 +218,38 @@ class TfidfScorer(Scorer):
     def intercepts(self) -> list[float]:
         return [float(model.intercept) for model in self.models]
 
+    def optimality(self, train: DataFrame, text: str = "comment_text") -> DataFrame:
+        """How near each label's model is to the optimum on the rows it was fitted on.
+
+        ``label, n_features, max_gradient, intercept_gradient, gap`` of the mean weighted loss with
+        its penalty; see ``operators.optimality``.
+        """
+        rows = self.features.transform(with_terms(train.select(text, *self.labels), text, self.clean))
+        weights = class_weights(train, self.labels)
+        kept, total = [], []
+        for i, name in enumerate(self.labels):
+            weight = class_weight(name, weights[name])
+            kept.append((weight * (F.col("prob")[i] - F.col(name))).alias(f"_g{i}"))
+            total += [F.sum(weight).alias(f"_w{i}"), F.sum(f"_g{i}").alias(f"_b{i}")]
+        scored = _probabilities(self.models, rows).select("*", *kept)
+        totals = materialize(scored.agg(*total), "residual-totals")
+        residuals = [f"_g{i}" for i in range(len(self.labels))]
+        entries = scored.select(*residuals, F.inline(vector_entries("features")))
+        table = train.sparkSession.createDataFrame(
+            [(i, *map(float, row)) for i, row in enumerate(zip(*self.coefficients().values()))],
+            "idx int, " + ", ".join(f"`{c}` double" for c in self.labels),
+        )
+        penalties = [model.getOrDefault("regParam") for model in self.models]
+        gradients = objective_gradients(entries, totals, table, self.labels, penalties)
+        means = [
+            F.struct(F.lit(c).alias("label"), (F.col(f"_b{i}") / F.col(f"_w{i}")).alias("intercept_gradient"))
+            for i, c in enumerate(self.labels)
+        ]
+        found = certificate(gradients, dict(zip(self.labels, penalties, strict=True)))
+        return found.join(totals.select(F.inline(F.array(*means))), "label").select(
+            "label", "n_features", "max_gradient", "intercept_gradient", "gap"
+        )
+
     def tfidf(self, df: DataFrame, key: str = "id", text: str = "comment_text") -> DataFrame:
         """``key, term, tfidf`` of the terms that the models see."""
         featured = self.features.transform(with_terms(df.select(key, text), text, self.clean))
@@ -257,32 +307,31 @@ class PooledScorer(Scorer):
     ) -> PooledScorer:
         """Fit on ``text`` and ``labels``.
 
-        Texts are cut down to the ``max_words`` kept words before training, so exactly those get
-        vectors; the trained table has ``max_words`` rows of ``vector_size`` numbers.
+        Training leaves out words rarer than the last of the ``max_words`` kept ones; the table of
+        vectors has ``max_words`` rows of ``vector_size`` numbers.
         """
         spark = train.sparkSession
         tokens = materialize(_tokens(train.select(text, *labels), text, clean).drop(text), "tokens")
-        terms = _frequent_words(tokens, max_words)
+        terms, least = _frequent_words(tokens, max_words)
         counts = CountVectorizerModel.from_vocabulary(
             terms, inputCol="terms", outputCol="counts"
         )
-        words = spark.sparkContext.broadcast(frozenset(terms))
         w2v = Word2Vec(
             inputCol="terms",
             outputCol="_w2v",
             vectorSize=vector_size,
-            minCount=1,
+            minCount=least,
             numPartitions=w2v_partitions,
             maxIter=w2v_passes,
             seed=seed,
-        ).fit(tokens.select(_only(words, F.col("terms")).alias("terms")))
-        place = {term: i for i, term in enumerate(terms)}
+        ).fit(tokens.select("terms"))
+        kept = spark.createDataFrame(list(enumerate(terms)), "idx int, word string")
         matrix = np.zeros((len(terms), vector_size), dtype=np.float32)
-        trained = w2v.getVectors().collect()  # one row for each kept word
+        trained = w2v.getVectors().join(kept, "word").collect()  # one row for each kept word
         if len(trained) != len(terms):
             raise RuntimeError(f"{len(terms) - len(trained)} kept words have no vector")
         for row in trained:
-            matrix[place[row["word"]]] = row["vector"].toArray()
+            matrix[row["idx"]] = row["vector"].toArray()
         scorer = cls(labels, counts, matrix, [], clean)
         scorer.models = fit_label_models(
             scorer._featured(tokens), labels, max_iter, partitions=partitions
@@ -302,6 +351,34 @@ class PooledScorer(Scorer):
         tokens = _tokens(df, text, self.clean)
         return _probabilities(self.models, self._featured(tokens)).drop("features")
 
+    def vector_table(self, spark: SparkSession) -> DataFrame:
+        """``term, vector`` of the kept words."""
+        rows = zip(self.counts.vocabulary, self.matrix.tolist(), strict=True)
+        return spark.createDataFrame(list(rows), "term string, vector array<float>")
+
+    def score_by_join(
+        self,
+        df: DataFrame,
+        vectors: DataFrame,
+        key: str = "id",
+        text: str = "comment_text",
+    ) -> DataFrame:
+        """``key, prob`` with word vectors from a table of any size, by joins on the words.
+
+        ``vectors`` has ``term, vector``. Nothing is broadcast but the models' coefficients. Keys
+        are distinct.
+        """
+        tokens = _tokens(df.select(key, text), text, self.clean).select(key, "terms")
+        features = F.col("pooled")
+        pooled = pool_terms(tokens, vectors, key, 2 * self.matrix.shape[1])
+        probs = []
+        for model in self.models:
+            weights = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
+            products = F.zip_with(features, weights, lambda x, w: x * w)
+            margin = F.aggregate(products, F.lit(float(model.intercept)), lambda a, x: a + x)
+            probs.append(sigmoid(margin))
+        return pooled.select(key, F.array(*probs).alias("prob"))
+
     def save(self, spark: SparkSession, path: str) -> None:
         PipelineModel([self.counts, *self.models]).write().overwrite().save(f"{path}/model")
         rows = list(enumerate(self.matrix.tolist()))
@@ -333,24 +410,48 @@ class BatchScorer(Scorer):
     clean: bool = True
 
     def score(self, df: DataFrame, text: str = "comment_text") -> DataFrame:
-        make, width, size = self.make_predict, len(self.labels), self.batch_size
+        make, width = self.make_predict, len(self.labels)
 
-        @F.pandas_udf("array<double>")
-        def probs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def opened():
             predict = make()
-            for texts in batches:
-                out = [
-                    np.asarray(predict(texts.iloc[i : i + size].tolist()), dtype=np.float64)
-                    for i in range(0, len(texts), size)
-                ]
-                block = np.vstack(out) if out else np.zeros((0, width))
-                if block.shape[1] != width:
-                    raise ValueError(f"expected {width} scores per text, got {block.shape[1]}")
-                yield pd.Series(list(block))
 
+            def scores(texts: np.ndarray) -> np.ndarray:
+                block = np.asarray(predict(texts.tolist()), dtype=np.float64)
+                if block.shape != (len(texts), width):
+                    raise ValueError(f"expected {width} scores per text, got shape {block.shape}")
+                return block
+
+            return scores
+
+        probs = predict_batch_udf(
+            opened, return_type=T.ArrayType(T.DoubleType()), batch_size=self.batch_size
+        )
         body = clean_text(F.col(text)) if self.clean else F.coalesce(text, F.lit(""))
         return df.withColumn("prob", probs(body))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The predictor becomes one file, in the pickled form in which Spark ships functions."""
+        file = f"predictor-{uuid.uuid4().hex}.pkl"  # files of a job share one folder on executors
+        write_bytes(spark, f"{path}/predictor/{file}", cloudpickle.dumps(self.make_predict))
+        meta = {"tier": "tier3", "labels": self.labels, "clean": self.clean}
+        _write_meta(spark, f"{path}/meta", {**meta, "batch_size": self.batch_size, "file": file})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BatchScorer:
+        """The predictor's file goes to every executor with the job and is opened once per worker.
+
+        Opening it runs what is in it: load only what you trust.
+        """
+        meta = _read_meta(spark, f"{path}/meta")
+        file = meta["file"]
+        spark.sparkContext.addFile(f"{path}/predictor/{file}")
+
+        def make() -> Callable[[list[str]], np.ndarray]:
+            with open(SparkFiles.get(file), "rb") as opened:
+                return cloudpickle.load(opened)()
+
+        return cls(meta["labels"], make, meta["batch_size"], meta["clean"])
+
 
 def lexical_predictor(lexicons: dict[str, list[str]]) -> Callable[[], Callable]:
     """A deterministic stand-in for a pretrained model: share of label words, saturating."""
@@ -393,6 +494,15 @@ class DigestScorer(Scorer):
             "prob", F.array(*[self.probability(name, F.col(text)) for name in self.labels])
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        meta = {"tier": "digest", "labels": self.labels, "salt": self.salt, "steps": self.steps}
+        _write_meta(spark, f"{path}/meta", meta)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DigestScorer:
+        meta = _read_meta(spark, f"{path}/meta")
+        return cls(meta["labels"], meta["salt"], meta["steps"])
+
 
 def fit(train: DataFrame, labels: list[str], tier: str = "tier1", **options) -> Scorer:
     """Fit (or, for tier 3, wrap) the scorer of a tier."""
@@ -407,4 +517,5 @@ def fit(train: DataFrame, labels: list[str], tier: str = "tier1", **options) ->
 
 def load(spark: SparkSession, path: str) -> Scorer:
     tier = _read_meta(spark, f"{path}/meta")["tier"]
-    return {"tier1": TfidfScorer, "tier2": PooledScorer}[tier].load(spark, path)
+    kinds = {"tier1": TfidfScorer, "tier2": PooledScorer, "tier3": BatchScorer}
+    return {**kinds, "digest": DigestScorer}[tier].load(spark, path)

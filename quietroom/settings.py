@@ -16,10 +16,6 @@ POS_WEIGHT_EPSILON = 1e-6
 EXPLAIN_SAMPLES = 100
 EXPLAIN_FEATURES = 10
 
-# Published facts of three model tiers (ms per comment, MB on disk), shown next to computed scores
-# as context; they say nothing about the tiers fitted here.
-TIER_FACTS = [("tier1", 5, 50), ("tier2", 15, 200), ("tier3", 80, 500)]
-
 # A side may be broadcast only when its row count is provably at or below this.
 BROADCAST_ROWS = 200_000
 
