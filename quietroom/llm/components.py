@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietroom.llm.base import shared_path
-from quietroom.session import drop_folder
+from quietroom.session import drop_folder, shuffles_released
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = pairs.distinct()
     while True:
         following = shared_path(spark, "edges")
-        current.write.parquet(following)
+        with shuffles_released(spark):
+            current.write.parquet(following)
         if path:
             drop_folder(spark, path)
         path = following

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietroom.llm.base import query, shared_path, table
-from quietroom.session import drop_folder
+from quietroom.session import drop_folder, shuffles_released
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -55,7 +55,8 @@ class LineRuns:
     def _write(self, run: DataFrame, level: int) -> str:
         path = f"{self.root}/level{level}-{self.made}"
         self.made += 1
-        run.repartition(*HASH).sortWithinPartitions(*HASH).write.parquet(path)
+        with shuffles_released(self.spark):
+            run.repartition(*HASH).sortWithinPartitions(*HASH).write.parquet(path)
         return path
 
     def read(self) -> DataFrame | None:

@@ -10,9 +10,11 @@ one then is not empty. Each band takes the plan of the least cost: signatures wr
 partners by chance, from the number of sets in the band; a band where some set fills too few segments
 keeps to the first plan.
 
-Equal sets are one node. Nodes that signatures connect form clusters, small next to the corpus;
-clusters are cut into blocks, and each pair of blocks is verified in one task by exact
-intersections of whole sets, which returns a spanning forest of the links and never the pairs.
+Equal sets are one node. Nodes that signatures connect form clusters, which chance signatures, of
+passages that many texts share, can make long. Counts of shingles in bins bound what two sets can
+share, so they split the clusters into such as hold links, without losing one. What is left is small
+next to the corpus; its clusters are cut into blocks, and each pair of blocks is verified in one task
+by exact intersections of whole sets, which returns a spanning forest of the links and never the pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from quietroom.llm.base import query, slices, stored, table, with_arrow_columns
 from quietroom.llm.components import components
 from quietroom.llm.words import mix, shingles, word_hashes
+from quietroom.session import settle
 
 _U = np.uint64
 BAND_RATIO = 1.5
@@ -39,7 +42,11 @@ PARTNER_COST = 50
 # Deviations by which the filled segments of the smallest sets of a band should exceed H.
 SLACK = 6.0
 ROWS_OUT = 200_000
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 64 << 20
+# The same for blocks of bins, and how many cells of them are compared at a time.
+BIN_BLOCK, BIN_BYTES, BIN_CELLS = 1024, 8 << 20, 4 << 20
+# Bits that say which texts are needed again.
+MARKS = 1 << 25
 SEEN = 10_000
 
 
@@ -121,6 +128,22 @@ def set_hash(found: np.ndarray) -> int:
     return int(mix(total + np.array([len(found)], _U))[0] >> _U(1))
 
 
+def bin_number(size: int) -> int:
+    """How many bins a set of this size has: the largest power of two up to it."""
+    return 1 << (max(size, 1).bit_length() - 1)
+
+
+def bin_counts(found: np.ndarray) -> np.ndarray:
+    """How many shingles each bin holds, in one byte each if that is enough.
+
+    Two sets share at most the sum of the smaller counts; of unrelated ones that is far below what
+    links ask for. Bins fold to half their number by adding the second half to the first.
+    """
+    bins = bin_number(len(found))
+    counts = np.bincount((mix(found + _U(0x7F4A7C15)) % _U(bins)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4")
+
+
 def segment_of(found: np.ndarray, segments: int) -> np.ndarray:
     return (mix(found ^ _U(0x2545F4914F6CDD1D)) % _U(segments)).astype(np.int64)
 
@@ -158,18 +181,20 @@ def reached(size: int, lows: list[int], highs: list[int], percent: int) -> list[
 
 
 def set_sizes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node, irregular`` of every row; node is the hash of the whole set.
+    """``doc_id, text_hash, n_shingles, node, bins, irregular`` of every row; node is the hash of the set.
 
+    ``bins`` are those of ``bin_counts``.
     ``irregular`` lists the bands in whose plan without empty segments the set fills too few.
     """
 
     def compute(batch):
         words, ends = word_hashes(batch.column(batch.schema.get_field_index("text")))
-        sizes, nodes, irregular, known = [], [], [], {}
+        sizes, nodes, bins, irregular, known = [], [], [], [], {}
         for i in range(len(ends) - 1):
             found = shingle_set(words[ends[i] : ends[i + 1]], k)
             sizes.append(len(found))
             nodes.append(set_hash(found))
+            bins.append(bin_counts(found).tobytes())
             edges = band_edges(len(found), percent)
             wrong = []
             for at in reached(len(found), [e[0] for e in edges], [e[1] for e in edges], percent):
@@ -184,23 +209,40 @@ def set_sizes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return (
             pa.array(sizes, pa.int64()),
             pa.array(nodes, pa.int64()),
+            pa.array(bins, pa.binary()),
             pa.array(irregular, pa.list_(pa.int32())),
         )
 
-    fields = ["n_shingles bigint", "node bigint", "irregular array<int>"]
-    found = with_arrow_columns(docs.select("doc_id", "text"), compute, fields)
-    return found.drop("text")
+    fields = ["n_shingles bigint", "node bigint", "bins binary", "irregular array<int>"]
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return with_arrow_columns(named, compute, fields).drop("text")
 
 
 def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) -> DataFrame:
-    """``sig, node``: the signatures of every set in its own band and in those of its partners."""
+    """``sig, node``: the signatures of every set in its own band and in those of its partners.
+
+    Sets that share a signature within a task's rows are chained there: they share one each with the
+    next, and only the first of them goes on with that signature. What is connected stays so.
+    """
     lows, highs = [b.low for b in bands], [b.high for b in bands]
 
     def block(sigs, nodes):
+        sig = np.concatenate(sigs).view(np.int64)
+        node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
+        order = np.argsort(sig)
+        same = sig[order][1:] == sig[order][:-1]
+        one, two = node[order][:-1], node[order][1:]
+        again = np.flatnonzero(same & (one != two))
+        # Of a signature one node goes on; each other one shares with the one before it a signature
+        # of their own, so that a frequent signature is one row in so many rows of the table.
+        u, v = one[again].view(_U), two[again].view(_U)
+        pair = np.unique(np.stack([u, v]), axis=1) if len(again) else np.zeros((2, 0), _U)
+        chain = mix(mix(pair[0]) + pair[1] * _U(0xC2B2AE3D27D4EB4F)).view(np.int64)
+        first = np.sort(order[np.append(True, ~same)])  # in the order of the nodes, to pack well
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(sigs).view(np.int64)),
-                pa.array(np.repeat(nodes, [len(s) for s in sigs])),
+                pa.array(np.concatenate([sig[first], chain, chain])),
+                pa.array(np.concatenate([node[first], *pair.view(np.int64)])),
             ],
             ["sig", "node"],
         )
@@ -231,24 +273,128 @@ def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) ->
     return texts.mapInArrow(run, "sig bigint, node bigint")
 
 
-def set_table(texts: DataFrame, k: int) -> DataFrame:
-    """``cluster, blocks, node, items`` of ``text, cluster, blocks`` rows: whole sets, packed."""
+def marked(wanted: DataFrame) -> np.ndarray:
+    """A table of MARKS bits with those of the wanted ``doc_id`` set, whatever their number."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    found = np.zeros(MARKS, bool)
+    for r in rows.collect():  # MARKS / 32768 rows of 4 KB at most
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        low = (r["bucket"] - 1) * len(bits)
+        found[low : low + len(bits)] = bits[: MARKS - low]
+    return np.packbits(found, bitorder="little")
+
+
+def set_table(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``cluster, blocks, node, items``: whole sets of the wanted ``doc_id, node``, packed.
+
+    Texts whose id's bit is not set are left out before anything is shuffled; the bits have a fixed
+    size, so with very many wanted rows more texts pass them, and the join alone decides.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(marked(wanted))
 
     def run(batches):
+        seen = set()  # repeated rows need not come again; some may
         for batch in (part for whole in batches for part in slices(whole)):
-            words, ends = word_hashes(batch.column(0))
-            nodes, packed = [], []
-            for i in range(len(ends) - 1):
+            at = batch.column(2).to_numpy()
+            asked = np.flatnonzero(bits.value[at >> 3] >> (at & 7) & 1)
+            if not len(asked):
+                continue
+            batch = batch.take(pa.array(asked))
+            words, ends = word_hashes(batch.column(1))
+            rows, nodes, packed = [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
+            for i, name in enumerate(batch.column(0).to_pylist()):
                 found = shingle_set(words[ends[i] : ends[i + 1]], k)
-                nodes.append(set_hash(found))
+                node = set_hash(found)
+                if (name, node) in seen:
+                    continue
+                seen.add((name, node))
+                rows.append(name)
+                nodes.append(node)
                 packed.append(found.astype("<u8").tobytes())
-            sets = [pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())]
+            arrays = [pa.array(rows, pa.int64()), pa.array(nodes, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), *sets], ["cluster", "blocks", "node", "items"]
+                [*arrays, pa.array(packed, pa.binary())], ["doc_id", "node", "items"]
             )
 
-    schema = "cluster bigint, blocks int, node bigint, items binary"
-    return texts.select("text", "cluster", "blocks").mapInArrow(run, schema)
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("at")
+    found = texts.select("doc_id", "text", at).mapInArrow(
+        run, "doc_id bigint, node bigint, items binary"
+    )
+    return found.join(wanted, ["doc_id", "node"]).select("cluster", "blocks", "node", "items")
+
+
+def folded(rows: list[np.ndarray], bins: int) -> np.ndarray:
+    """Counts of several sets as a matrix of so many bins."""
+    out = np.zeros((len(rows), bins), np.int64)
+    for i, counts in enumerate(rows):
+        out[i] = counts.reshape(-1, bins).sum(axis=0)
+    return out
+
+
+def possible_pairs(
+    a: list[np.ndarray], b: list[np.ndarray], sizes: tuple[np.ndarray, np.ndarray], percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of two lists of bin counts that may link: none that links is missing."""
+    us, vs = [], []
+    kinds = [np.array([len(x) for x in rows]) for rows in (a, b)]
+    for m in np.unique(kinds[0]):
+        one = np.flatnonzero(kinds[0] == m)
+        for n in np.unique(kinds[1]):
+            two = np.flatnonzero(kinds[1] == n)
+            # Sizes go with the number of bins, to a factor of two.
+            if 200 * min(m, n) <= percent * max(m, n):
+                continue
+            bins = int(min(m, n))
+            right = folded([b[i] for i in two], bins)
+            step = max(1, BIN_CELLS // bins)
+            for at in range(0, len(one), step):
+                rows = one[at : at + step]
+                left = folded([a[i] for i in rows], bins)
+                shared = np.zeros((len(rows), len(two)), np.float64)
+                kind = np.float32 if bins < 1 << 24 else np.float64  # holds sums up to so many
+                for least in range(1, int(min(left.max(), right.max())) + 1):
+                    x, y = (left >= least).astype(kind), (right >= least).astype(kind)
+                    used = np.flatnonzero(x.any(axis=0) & y.any(axis=0))
+                    if 2 * len(used) < bins:
+                        x, y = x[:, used], y[:, used]
+                    shared += x @ y.T
+                total = sizes[0][rows][:, None] + sizes[1][two][None, :]
+                u, v = np.nonzero(100 * shared >= percent * (total - shared))
+                us.append(rows[u])
+                vs.append(two[v])
+    nothing = np.zeros(0, np.int64)
+    return np.concatenate([nothing, *us]), np.concatenate([nothing, *vs])
+
+
+def compatible(blocks: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: a spanning forest, in each pair of blocks, of the nodes whose bins allow a link.
+
+    ``blocks`` has ``cluster, i, j, left, node, n_shingles, bins``; with i = j all rows are ``left``.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, left = group["node"].to_numpy(), group["left"].to_numpy()
+        sizes = group["n_shingles"].to_numpy()
+        counts = [
+            np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == bin_number(int(n)) else "<u4")
+            for x, n in zip(group["bins"], sizes, strict=True)
+        ]
+        one = np.flatnonzero(left)
+        same = group["i"][0].as_py() == group["j"][0].as_py()
+        two = one if same else np.flatnonzero(~left)
+        u, v = possible_pairs(
+            [counts[x] for x in one], [counts[x] for x in two], (sizes[one], sizes[two]), percent
+        )
+        root = least_reachable(one[u], two[v], len(nodes))
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"u": nodes[linked], "v": nodes[root[linked]]})
+
+    return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -308,8 +454,8 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
-def paired_blocks(sets: DataFrame) -> DataFrame:
-    """Rows of ``cluster, blocks, node, items`` once for each pair of blocks that needs them.
+def paired_blocks(sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``cluster, blocks, node`` and more once for each pair of blocks that needs them.
 
     A cluster is cut into its blocks by a hash, so that every pair of its nodes meets in one task;
     most clusters are a single block.
@@ -323,7 +469,16 @@ def paired_blocks(sets: DataFrame) -> DataFrame:
         F.greatest("own", "other").alias("j"),
         (F.col("own") <= F.col("other")).alias("left"),
         "node",
-        "items",
+        *columns,
+    )
+
+
+def blocks_of(clusters: DataFrame, size: str, rows: int, limit: int) -> DataFrame:
+    """``root, blocks``: so many that a block has about ``rows`` nodes and ``limit`` bytes at most."""
+    return clusters.groupBy("root").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum(size) / limit), F.lit(1)
+        ).cast("int").alias("blocks")
     )
 
 
@@ -353,45 +508,91 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     chained = rows.select(F.col("node").alias("u"), before.alias("v")).where("u <> v")
     clusters = stored(components(chained), "clusters")
 
-    first = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sizes = clusters.groupBy("root").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    # Chance signatures make long chains; bins of a byte or two a shingle cut them down.
+    nodes = members.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.max("n_shingles").alias("n_shingles"),
+        F.max("bins").alias("bins"),  # equal for equal sets
     )
-    wanted = (
-        clusters.join(first, "node")
-        .join(sizes, "root")
-        .select("doc_id", F.col("root").alias("cluster"), "blocks")
+    binned = stored(clusters.join(nodes, "node"), "binned-clusters")
+    sizes = blocks_of(binned.withColumn("size", F.octet_length("bins")), "size", BIN_BLOCK, BIN_BYTES)
+    rows = binned.join(sizes, "root").withColumnRenamed("root", "cluster")
+    near = compatible(paired_blocks(rows, ["n_shingles", "bins"]), percent)
+    clusters = stored(components(stored(near, "compatible")), "near-clusters")
+
+    found = clusters.join(binned.drop("root", "bins"), "node")
+    found = found.withColumn("size", 8 * F.col("n_shingles"))
+    wanted = stored(
+        found.join(blocks_of(found, "size", BLOCK, BLOCK_BYTES), "root").select(
+            "doc_id", "node", F.col("root").alias("cluster"), "blocks"
+        ),
+        "wanted-sets",
     )
-    sets = set_table(named.join(wanted, "doc_id"), k)
-    return stored(block_links(paired_blocks(sets), percent), "links")
+    sets = set_table(named, wanted, k)
+    return stored(block_links(paired_blocks(sets, ["items"]), percent), "links")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Group the rows of ``doc_id, text`` whose shingle sets link at ``percent`` or more.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct runs of ``k``
-    words, or the whole sequence of fewer words. Returns ``doc_id, n_shingles, node,
-    component_id``, one row for each input row: ``component_id`` is the smallest id reachable by
-    links, the own id where there is none. Null and empty texts have empty sets and link with
-    nothing. A null id has a null component and links with nothing. Rows sharing an id stay
+    words, or the whole sequence of fewer words. Returns ``doc_id, n_shingles, node, text_hash, root,
+    component_id``, one row for each input row: ``node`` stands for the set and ``root`` for all that
+    is reachable by links, ``text_hash`` is the text's ``xxhash64``; ``component_id`` is the smallest id
+    reachable by links, the own id where there is none. Null and empty texts have empty sets and link
+    with nothing. A null id has a null component and links with nothing. Rows sharing an id stay
     separate rows; each belongs to the component of its own text. Further columns are not used. An
     empty table gives an empty table.
     """
-    members = stored(set_sizes(docs, k, percent), "sets-of-documents")
-    able = members.where("doc_id IS NOT NULL AND n_shingles > 0")
-    roots = components(links(docs, able, k, percent))
-    classes = (
-        able.groupBy("node")
-        .agg(F.min("doc_id").alias("least"))
-        .join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
+
+    def made() -> DataFrame:
+        members = stored(set_sizes(docs, k, percent), "sets-of-documents")
+        able = members.where("doc_id IS NOT NULL AND n_shingles > 0")
+        roots = components(links(docs, able, k, percent))
+        classes = (
+            able.groupBy("node")
+            .agg(F.min("doc_id").alias("least"))
+            .join(roots, "node", "left")
+            .withColumn("root", F.coalesce("root", "node"))
+        )
+        least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        found = classes.join(least, "root").select("node", "root", "component_id")
+        alone = members.where("doc_id IS NULL OR n_shingles = 0").select(
+            "doc_id",
+            "n_shingles",
+            "node",
+            "text_hash",
+            F.lit(None).cast("bigint").alias("root"),
+            F.col("doc_id").alias("component_id"),
+        )
+        return able.join(found, "node").select(*alone.columns).unionByName(alone)
+
+    return settle(docs.sparkSession, made, "llm-ngram-join")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component of ``ngram_join``'s ``found``.
+
+    It is a row with the component's smallest id; of several such rows, of repeated ones too, one.
+    Rows with a null id or an empty set all stay. Only rows that go, or repeat, are looked up, so the
+    texts of the others are not shuffled where those are few.
+    """
+    linked = found.where("root IS NOT NULL")
+    least = F.when(F.col("doc_id") == F.col("component_id"), F.struct("node", "text_hash"))
+    kept = linked.groupBy("root").agg(F.min(least).alias("kept"))
+    rows = linked.groupBy("root", "doc_id", "component_id", "node", "text_hash").agg(
+        F.count(F.lit(1)).alias("copies")
     )
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = classes.join(least, "root").select("node", "component_id")
-    alone = members.where("doc_id IS NULL OR n_shingles = 0").select(
-        "doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.struct("node", "text_hash") == F.col("kept"))
+    marked = rows.join(kept, "root").withColumn("stays", stays)
+    lost = stored(
+        marked.where("NOT stays OR copies > 1").select("doc_id", "text_hash", "stays"), "lost-rows"
     )
-    return able.join(found, "node").select(*alone.columns).unionByName(alone)
+    key = ["doc_id", "text_hash"]
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    others = hashed.join(lost.select(*key), key, "left_anti")
+    repeated = hashed.join(lost.where("stays").select(*key), key, "left_semi")
+    return others.unionByName(repeated.dropDuplicates(key)).drop("text_hash")
 
 
 @query("op8_ngram_join")

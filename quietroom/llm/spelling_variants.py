@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quietroom.llm.base import query, shared_path, slices, stored, table, with_arrow_columns
 from quietroom.llm.words import mix
-from quietroom.session import drop_folder
+from quietroom.session import drop_folder, shuffles_released
 
 _U = np.uint64
 SYMBOLS = 8
@@ -208,7 +208,8 @@ def followed(forms: DataFrame) -> DataFrame:
             return now
         following = shared_path(spark, "forms")
         step = now.join(ahead, "root", "left")
-        step.select("word", F.coalesce("next", "root").alias("root")).write.parquet(following)
+        with shuffles_released(spark):
+            step.select("word", F.coalesce("next", "root").alias("root")).write.parquet(following)
         drop_folder(spark, path)
         path = following
 
