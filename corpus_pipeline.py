@@ -8,13 +8,15 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietroom.llm import decontamination, language_id, packing
-from quietroom.llm.base import stored
 from quietroom.llm.line_dedup import line_dedup
-from quietroom.llm.ngram_join import ngram_join
+from quietroom.llm.ngram_join import ngram_join, one_of_each
+from quietroom.session import drop_folder, settled_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,10 +39,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of five-word shingle sets at least 0.8 alike."""
-    found = ngram_join(docs, k=5, percent=80)
-    extra = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(extra, "doc_id", "left_anti")
+    """One row, of the smallest id, of each group of five-word shingle sets at least 0.8 alike."""
+    return one_of_each(docs.select(*COLUMNS), ngram_join(docs, k=5, percent=80)).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    When a stage's result is written, its work folders and the table of the stage before are removed.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = settled_path(spark, partial(stage, spark, docs, sf_dir), f"llm-{name}")
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
