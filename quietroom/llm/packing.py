@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -32,8 +33,8 @@ END_ID = 1
 SHARD_DOCS = 512
 # Strongest terms of a document that place it in the order; scores use all terms.
 KEY_TERMS = 4
-# Terms whose weights are dense at a time.
-SCORE_TERMS = 4096
+# Bytes of token ids that a task packs.
+PART_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 # Words whose ids a Python worker remembers; then it starts anew.
 MEMORY_WORDS = 500_000
@@ -44,13 +45,27 @@ def _class(kind: str) -> str:
 
 
 # The Latin part of Unicode, without control characters: here lower case, composition and the
-# pattern of the tokenizer file are plain; any other text goes through the tokenizer as a whole.
-_OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ]|<\\||İ")
+# pattern of the tokenizer file are plain; any other text goes through the tokenizer as a whole, and
+# so do letters whose lower case lies outside.
+_LEAVING = "".join(chr(c) for c in range(0x250) if not "\0" <= chr(c).lower() <= "ɏ" or len(chr(c).lower()) > 1)
+_OTHER = re.compile(f"[^\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ]|<\\||[{_LEAVING}]")
 _WORDS = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^\\s{0}{1}]+".format(_class("L"), _class("N"))
+    "[{0}]+|'s|'t|'re|'ve|'m|'ll|'d|[{1}]|[^\\s{0}{1}]+".format(_class("L"), _class("N"))
 )
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+# Words as the pattern cuts them.
+_PROBE = ["the", "a", "zzxqv", "naïve", "éàüß", "ɏ", "ā", "½", "'", "?!", "7", "ñueque", "«»"]
+
+
 class TokenIds:
     """Token ids of texts as packed little-endian 32-bit numbers, with a memory for words."""
 
@@ -59,26 +74,30 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stretches: dict[str, bytes] = {}  # between white space, with what clings to words
+        self.words: dict[str, bytes] = {}
+        # Another kind of vocabulary is asked for whole texts.
+        self.by_word = [self._word(w) for w in _PROBE] == self.whole(_PROBE)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that hold no white space; many are encoded as one text and cut apart."""
-        groups = [words[at : at + 512] for at in range(0, len(words), 512)]
-        out: list[bytes] = []
-        for group, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
-            ends = 4 * (np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1)
-            if len(ends) == len(group):
-                out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-            else:  # another kind of vocabulary
-                out += self.whole(group)
-        return out
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as the pattern cuts it, in lower case."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [token.id for token in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stretch(self, stretch: str) -> bytes:
+        words, parts = self.words, []
+        for word in _WORDS.findall(stretch):
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self._word(word)
+            parts.append(ids)
+        return b"".join(parts)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -87,12 +106,17 @@ class TokenIds:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        new = [*set().union(*(s for s in split if s is not None)).difference(self.known)]
-        self.known.update(zip(new, self.words(new), strict=True))
-        ids = self.known.__getitem__
+        # No word reaches over white space, and here both kinds of white space are the same.
+        split = [
+            t.lower().split() if self.by_word and not _OTHER.search(t) else None for t in texts
+        ]
+        for known in (self.stretches, self.words):
+            if len(known) > MEMORY_WORDS:
+                known.clear()
+        known = self.stretches
+        for new in set().union(*(s for s in split if s is not None)).difference(known):
+            known[new] = self._stretch(new)
+        ids = known.__getitem__
         return [
             self.whole([t])[0] if s is None else b"".join(map(ids, s))
             for t, s in zip(texts, split, strict=True)
@@ -131,6 +155,17 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, n bigint")
 
 
+def term_counts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``owner, term, count`` of each document's terms, all documents side by side."""
+    owner = np.repeat(np.arange(len(documents)), [len(ids) for ids in documents])
+    keys = np.concatenate(documents).astype(np.int64) | owner << 32
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    count = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    return keys >> 32, keys & 0xFFFFFFFF, count
+
+
 @dataclass(frozen=True)
 class Statistics:
     """Of all documents: how many, their mean length and in how many each term occurs."""
@@ -141,7 +176,7 @@ class Statistics:
 
     @classmethod
     def of(cls, documents: list[np.ndarray]) -> Statistics:
-        terms = np.concatenate([np.unique(ids) for ids in documents]).astype(np.int64)
+        _, terms, _ = term_counts(documents)
         length = sum(map(len, documents)) / len(documents)
         return cls(len(documents), length, np.bincount(terms))
 
@@ -154,32 +189,35 @@ class Statistics:
 
 
 class InvertedIndex:
-    """BM25 over the documents of one shard, with the statistics of all documents if given."""
+    """BM25 over the documents of one shard, with the statistics of all documents if given.
+
+    Postings are the documents of each term with their weights, one list after the other.
+    """
 
     def __init__(self, documents: list[np.ndarray], statistics: Statistics | None = None):
         self.n = len(documents)
-        found = [np.unique(ids, return_counts=True) for ids in documents]
-        owner = np.repeat(np.arange(self.n), [len(term) for term, _ in found])
-        term = np.concatenate([term for term, _ in found]).astype(np.int64)
-        count = np.concatenate([count for _, count in found])
+        owner, term, count = term_counts(documents)
         lengths = np.array([len(ids) for ids in documents], float)
         statistics = statistics or Statistics.of(documents)
         weight = statistics.weights(term, count, lengths[owner])
-        vocabulary, place = np.unique(term, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        owner, weight, place = owner[order], weight[order], place[order]
-        # Row: the seed whose terms ask; column: the document whose weights answer.
-        self.scores = np.zeros((self.n, self.n), np.float32)
-        for low in range(0, len(vocabulary), SCORE_TERMS):
-            part = slice(*np.searchsorted(place, [low, low + SCORE_TERMS]))
-            width = min(SCORE_TERMS, len(vocabulary) - low)
-            weights = np.zeros((self.n, width), np.float32)
-            weights[owner[part], place[part] - low] = weight[part]
-            self.scores += (weights > 0).astype(np.float32) @ weights.T
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        found, place = np.unique(term, return_inverse=True)
+        self.starts = np.searchsorted(term[order], found)
+        self.ends = np.append(self.starts[1:], len(term))
+        # Of each document: which lists its terms have.
+        self.lists, self.bounds = place, np.searchsorted(owner, np.arange(self.n + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The score of each document against the terms of ``seed``."""
+        asked = self.lists[self.bounds[seed] : self.bounds[seed + 1]]
+        starts, sizes = self.starts[asked], self.ends[asked] - self.starts[asked]
+        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
 
     def neighbours(self, seed: int) -> np.ndarray:
         """All documents by falling score against the seed, equal scores in order."""
-        return np.argsort(-self.scores[seed], kind="stable")
+        return np.argsort(-self.scores(seed), kind="stable")
 
 
 def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -197,8 +235,7 @@ def statistics_of(ids: DataFrame) -> Statistics:
         for batch in batches:
             for part in slices(batch):
                 documents = unpacked(part)
-                terms = np.concatenate([np.unique(d) for d in documents]).astype(np.int64)
-                found = np.bincount(terms, minlength=len(seen))
+                found = np.bincount(term_counts(documents)[1], minlength=len(seen))
                 found[: len(seen)] += seen
                 seen, rows = found, rows + len(documents)
                 length += sum(map(len, documents))
@@ -219,14 +256,18 @@ def with_keys(ids: DataFrame, shared) -> DataFrame:
     """``ids`` with ``terms``: the strongest terms that occur in another document too."""
 
     def compute(batch):
-        keys = []
-        for own in unpacked(batch):
-            term, count = np.unique(own, return_counts=True)
-            often = shared.value.frequencies[term] > 1
-            term, count = term[often].astype(np.int64), count[often]
-            weight = shared.value.weights(term, count, len(own))
-            keys.append(term[np.argsort(-weight, kind="stable")[:KEY_TERMS]].tolist())
-        return [pa.array(keys, pa.list_(pa.int32()))]
+        documents = unpacked(batch)
+        lengths = np.array([len(ids) for ids in documents], float)
+        owner, term, count = term_counts(documents)
+        often = shared.value.frequencies[term] > 1
+        owner, term, count = owner[often], term[often], count[often]
+        weight = shared.value.weights(term, count, lengths[owner])
+        order = np.lexsort((term, -weight, owner))
+        owner, term = owner[order], term[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(documents)))[owner]
+        owner, term = owner[place < KEY_TERMS], term[place < KEY_TERMS]
+        ends = np.searchsorted(owner, np.arange(len(documents) + 1))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int32()))]
 
     return with_arrow_columns(ids, compute, ["terms array<int>"])
 
@@ -305,7 +346,8 @@ def pack(
     statistics = statistics_of(ids)
     shared = spark.sparkContext.broadcast(statistics)  # a number for each id of the vocabulary
     shards = max(1, math.ceil(statistics.documents / shard_docs))
-    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids_bytes = 2 * statistics.documents * statistics.mean_length
+    parts = max(1, min(shards, math.ceil(ids_bytes / PART_BYTES)))
     order = ["terms", "place"]
     dealt = (
         with_keys(ids, shared)
