@@ -11,6 +11,7 @@ sequences whose lengths are powers of two, so nothing needs padding.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -36,8 +37,10 @@ KEY_TERMS = 4
 # Bytes of token ids that a task packs.
 PART_BYTES = 16 << 20
 K1, B = 1.2, 0.75
-# Words whose ids a Python worker remembers; then it starts anew.
-MEMORY_WORDS = 500_000
+# Words, and stretches between white space, whose ids a Python worker remembers; then it starts anew.
+MEMORY_WORDS, MEMORY_STRETCHES = 1_000_000, 500_000
+# Rows whose keys are looked at, for each task, to deal documents to tasks by key.
+SAMPLED_ROWS, MOST_SAMPLED = 20, 1_000_000
 
 
 def _class(kind: str) -> str:
@@ -110,8 +113,8 @@ class TokenIds:
         split = [
             t.lower().split() if self.by_word and not _OTHER.search(t) else None for t in texts
         ]
-        for known in (self.stretches, self.words):
-            if len(known) > MEMORY_WORDS:
+        for known, most in ((self.stretches, MEMORY_STRETCHES), (self.words, MEMORY_WORDS)):
+            if len(known) > most:
                 known.clear()
         known = self.stretches
         for new in set().union(*(s for s in split if s is not None)).difference(known):
@@ -252,8 +255,12 @@ def statistics_of(ids: DataFrame) -> Statistics:
     return Statistics(rows, length / max(rows, 1), frequencies)
 
 
-def with_keys(ids: DataFrame, shared) -> DataFrame:
-    """``ids`` with ``terms``: the strongest terms that occur in another document too."""
+def with_keys(ids: DataFrame, shared, bounds=None) -> DataFrame:
+    """``ids`` with ``terms``, the strongest terms that occur in another document too, and ``part``.
+
+    ``bounds`` are the first keys, ``(terms, place)``, of the parts from 1 on; without them all is
+    part 0.
+    """
 
     def compute(batch):
         documents = unpacked(batch)
@@ -267,9 +274,28 @@ def with_keys(ids: DataFrame, shared) -> DataFrame:
         place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(documents)))[owner]
         owner, term = owner[place < KEY_TERMS], term[place < KEY_TERMS]
         ends = np.searchsorted(owner, np.arange(len(documents) + 1))
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int32()))]
+        terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term, pa.int32()))
+        keys = zip(terms.to_pylist(), batch.column("place").to_pylist(), strict=True)
+        cuts = bounds.value if bounds else []
+        part = [bisect.bisect_right(cuts, key) for key in keys]
+        return [terms, pa.array(part, pa.int32())]
+
+    return with_arrow_columns(ids, compute, ["terms array<int>", "part int"])
 
-    return with_arrow_columns(ids, compute, ["terms array<int>"])
+
+def part_bounds(placed: DataFrame, shared, parts: int, documents: int) -> list[tuple[list[int], int]]:
+    """Keys that cut the documents into ``parts`` of about equal numbers, from a few rows for each.
+
+    The rows are drawn by their hash, so a repeated run has the same bounds; the driver sees at most
+    about MOST_SAMPLED of them. Bounds only deal documents to tasks, whatever they are.
+    """
+    if parts < 2:
+        return []
+    share = min(1.0, min(SAMPLED_ROWS * parts, MOST_SAMPLED) / max(1, documents))
+    drawn = F.pmod(F.xxhash64("place", F.lit(31)), F.lit(1_000_000)) < F.lit(share * 1_000_000)
+    rows = with_keys(placed.where(drawn), shared).select("terms", "place").collect()
+    keys = sorted((list(r["terms"]), r["place"]) for r in rows)
+    return [keys[len(keys) * i // parts] for i in range(1, parts) if keys]
 
 
 def fill(
@@ -348,12 +374,13 @@ def pack(
     shards = max(1, math.ceil(statistics.documents / shard_docs))
     ids_bytes = 2 * statistics.documents * statistics.mean_length
     parts = max(1, min(shards, math.ceil(ids_bytes / PART_BYTES)))
-    order = ["terms", "place"]
+    placed = ids.withColumn("place", F.xxhash64("doc_id", "n", "ids"))
+    bounds = part_bounds(placed, shared, parts, statistics.documents)
+    cuts = spark.sparkContext.broadcast(bounds)  # a key for each task
     dealt = (
-        with_keys(ids, shared)
-        .withColumn("place", F.xxhash64("doc_id", "n", "ids"))
-        .repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        with_keys(placed, shared, cuts)
+        .repartitionById(parts, "part")
+        .sortWithinPartitions("terms", "place")
         .select("doc_id", "ids", "n")
     )
     columns = [c.split()[0] for c in PIECE.split(", ")]
