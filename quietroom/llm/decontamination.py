@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quietroom.llm.base import query, table, with_arrow_columns
 from quietroom.llm.words import NOT_ALPHANUMERIC, shingles, word_hashes
+from quietroom.session import drop_folder, settled_path
 
 _U = np.uint64
 SHINGLE = 5
@@ -198,8 +199,9 @@ def find_leaks(
     of letters and digits in lower case. Null and empty texts, on either side, match nothing, nor
     do items with a null id; repeated items give one entry for each id. Other columns pass through,
     one named ``leaks`` is replaced; an empty table on either side finds nothing. A benchmark of
-    more than ``pass_chars`` characters is worked through in slices of that size, so what is sent
-    along has a bound.
+    more than ``pass_chars`` characters is worked through in slices of that size, one pass after the
+    other: what a pass finds is stored and its slice given up before the next one is read, so one is
+    held at a time.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -211,7 +213,7 @@ def find_leaks(
             + [("n_words", pa.int64())]
         )
     )
-    found, columns = docs.drop("leaks"), []
+    found, columns, before = docs.drop("leaks"), [], None
     for number in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number).collect()
         index = spark.sparkContext.broadcast(
@@ -230,6 +232,13 @@ def find_leaks(
 
         columns.append(f"__leaks{number}")
         found = with_arrow_columns(found, compute, [f"{columns[-1]} {entry}"])
+        if number + 1 < slices:
+            path = settled_path(spark, lambda df=found: df, "llm-leaks")
+            found = spark.read.schema(found.schema).parquet(path)
+            index.destroy()
+            if before:
+                drop_folder(spark, before)
+            before = path
     return found.withColumn("leaks", F.concat(*columns)).drop(*columns)
 
 
