@@ -2,7 +2,7 @@
 
 Inner products become distances: of the vectors of a block, all get the length of the longest one by
 one more component, which queries do not have; queries are scaled to the same length. Every vector is
-projected on PROJECTIONS random directions, and each projection is one sorted array. A query looks
+projected on PROJECTIONS random directions, orthogonal ones as far as there are, and each projection is one sorted array. A query looks
 into windows around its own projections, of half width WINDOW times a radius. Virtual rehashing
 widens them: the same arrays serve every radius, and only what a wider window adds is counted. A vector
 within the radius falls into each window with the same chance, which fixes the number of collisions
@@ -28,11 +28,12 @@ from quietroom.llm.base import query, stored, table
 K = 20
 QUERY_STEP = 20
 PROJECTIONS = 32
-WINDOW = 1.0
-RECALL = 0.97
+WINDOW = 0.8
+# For independent directions; orthogonal ones spread less, so more vectors than that are found.
+RECALL = 0.9
 # First radius, as a share of the vectors' length, and by what the radius grows.
-FIRST_RADIUS = 0.35
-GROWTH = 1.4
+FIRST_RADIUS = 0.8
+GROWTH = 1.5
 BLOCK = 8192
 SEED = 40_009
 
@@ -53,9 +54,14 @@ _known: dict[int, np.ndarray] = {}
 
 
 def directions(dimensions: int) -> np.ndarray:
+    """Random directions, orthogonal among so many of them as there are dimensions."""
     if dimensions not in _known:
-        draw = np.random.default_rng(SEED)
-        _known[dimensions] = draw.standard_normal((dimensions, PROJECTIONS))
+        draw, found = np.random.default_rng(SEED), []
+        for at in range(0, PROJECTIONS, dimensions):
+            width = min(dimensions, PROJECTIONS - at)
+            turned, _ = np.linalg.qr(draw.standard_normal((dimensions, width)))
+            found.append(turned * math.sqrt(dimensions))
+        _known[dimensions] = np.concatenate(found, axis=1)
     return _known[dimensions]
 
 
