@@ -45,6 +45,7 @@ ROWS_OUT = 200_000
 BLOCK, BLOCK_BYTES = 512, 64 << 20
 # The same for blocks of bins, and how many cells of them are compared at a time.
 BIN_BLOCK, BIN_BYTES, BIN_CELLS = 1024, 8 << 20, 4 << 20
+GROUPS_PER_TASK = 4
 # Bits that say which texts are needed again.
 MARKS = 1 << 25
 SEEN = 10_000
@@ -288,7 +289,7 @@ def marked(wanted: DataFrame) -> np.ndarray:
 
 
 def set_table(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``cluster, blocks, node, items``: whole sets of the wanted ``doc_id, node``, packed.
+    """``cluster, node, n_shingles, items``: whole sets of the wanted ``doc_id, node``, packed.
 
     Texts whose id's bit is not set are left out before anything is shuffled; the bits have a fixed
     size, so with very many wanted rows more texts pass them, and the join alone decides.
@@ -325,7 +326,7 @@ def set_table(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     found = texts.select("doc_id", "text", at).mapInArrow(
         run, "doc_id bigint, node bigint, items binary"
     )
-    return found.join(wanted, ["doc_id", "node"]).select("cluster", "blocks", "node", "items")
+    return found.join(wanted, ["doc_id", "node"]).select("cluster", "node", "n_shingles", "items")
 
 
 def folded(rows: list[np.ndarray], bins: int) -> np.ndarray:
@@ -371,10 +372,15 @@ def possible_pairs(
     return np.concatenate([nothing, *us]), np.concatenate([nothing, *vs])
 
 
+def _with_itself(group: pa.Table) -> bool:
+    c, i, d, j = (group[name][0].as_py() for name in ("c", "i", "d", "j"))
+    return (c, i) == (d, j)
+
+
 def compatible(blocks: DataFrame, percent: int) -> DataFrame:
     """``u, v``: a spanning forest, in each pair of blocks, of the nodes whose bins allow a link.
 
-    ``blocks`` has ``cluster, i, j, left, node, n_shingles, bins``; with i = j all rows are ``left``.
+    ``blocks`` are those of ``paired_blocks`` with ``n_shingles, bins``.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -385,7 +391,7 @@ def compatible(blocks: DataFrame, percent: int) -> DataFrame:
             for x, n in zip(group["bins"], sizes, strict=True)
         ]
         one = np.flatnonzero(left)
-        same = group["i"][0].as_py() == group["j"][0].as_py()
+        same = _with_itself(group)
         two = one if same else np.flatnonzero(~left)
         u, v = possible_pairs(
             [counts[x] for x in one], [counts[x] for x in two], (sizes[one], sizes[two]), percent
@@ -394,7 +400,7 @@ def compatible(blocks: DataFrame, percent: int) -> DataFrame:
         linked = np.flatnonzero(root != np.arange(len(nodes)))
         return pa.table({"u": nodes[linked], "v": nodes[root[linked]]})
 
-    return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
+    return blocks.groupBy(*PAIR).applyInArrow(run, "u bigint, v bigint")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -430,14 +436,14 @@ def least_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     """``u, v``: a spanning forest of the links in each pair of blocks of a cluster.
 
-    ``blocks`` has ``cluster, i, j, left, node, items``; with i = j all rows are ``left``.
+    ``blocks`` are those of ``paired_blocks`` with ``items``.
     """
 
     def run(group: pa.Table) -> pa.Table:
         nodes = group["node"].to_numpy()
         left = group["left"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group["items"]]
-        same = group["i"][0].as_py() == group["j"][0].as_py()
+        same = _with_itself(group)
         one = np.flatnonzero(left)
         two = one if same else np.flatnonzero(~left)
         edges = pa.array([], pa.int64())
@@ -451,37 +457,91 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
         linked = np.flatnonzero(root != np.arange(len(nodes)))
         return pa.table({"u": nodes[linked], "v": nodes[root[linked]]})
 
-    return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
+    return blocks.groupBy(*PAIR).applyInArrow(run, "u bigint, v bigint")
+
+
+PAIR = ["cluster", "c", "i", "d", "j"]
 
 
-def paired_blocks(sets: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``cluster, blocks, node`` and more once for each pair of blocks that needs them.
+def paired_blocks(
+    rows: DataFrame,
+    counted: DataFrame,
+    columns: list[str],
+    percent: int,
+    size: str,
+    most: int,
+    limit: int,
+) -> DataFrame:
+    """``rows`` of ``cluster, node, n_shingles`` once for each pair of blocks that needs them.
 
-    A cluster is cut into its blocks by a hash, so that every pair of its nodes meets in one task;
-    most clusters are a single block.
+    ``counted`` has the same rows, or those that they come from, without what is dear to make.
+
+    Sets that link have sizes of the same class or of neighbouring ones. A class of a cluster is cut
+    into blocks by a hash, of about ``most`` rows and ``limit`` bytes of ``size``, and every pair of
+    blocks of a class or of two neighbouring ones is a group: block ``i`` of class ``c`` with block
+    ``j`` of class ``d``, whose rows are ``left`` or not; a block with itself has left ones only.
+    Groups are dealt to a number of tasks that goes by their own, as their work does not go by bytes.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    seen = sets.withColumn("own", own)
-    seen = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spark = rows.sparkSession
+    # A little more than the ratio, so that rounding parts no sizes.
+    base = math.log(100 / percent * 1.001)
+    own_class = F.floor(F.log(F.col("n_shingles").cast("double")) / base)
+    sizes = stored(
+        counted.select("cluster", own_class.alias("c"), F.expr(size).alias("size"))
+        .groupBy("cluster", "c")
+        .agg(
+            F.greatest(
+                F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("size") / limit), F.lit(1)
+            ).cast("int").alias("n")
+        ),
+        "block-numbers",
+    )
+    above = sizes.select("cluster", (F.col("c") - 1).alias("c"), F.col("n").alias("above"))
+    below = sizes.select("cluster", (F.col("c") + 1).alias("c"), F.col("n").alias("below"))
+    around = stored(
+        sizes.join(above, ["cluster", "c"], "left").join(below, ["cluster", "c"], "left")
+        .na.fill(0, ["above", "below"]),
+        "block-pairs",
+    )
+    groups = around.agg(F.sum(F.col("n") * (F.col("n") + 1) / 2 + F.col("n") * F.col("above")))
+    groups = groups.first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups / GROUPS_PER_TASK))
+
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("own")
+    placed = rows.withColumn("c", own_class).join(around, ["cluster", "c"]).select("*", own)
+    other = F.explode(
+        F.concat(
+            F.transform(_until("n"), lambda x: _side(0, x)),
+            F.transform(_until("above"), lambda x: _side(1, x)),
+            F.transform(_until("below"), lambda x: _side(-1, x)),
+        )
+    ).alias("o")
+    seen = placed.select("cluster", "c", "own", "node", *columns, other)
+    at, here, step = F.col("o.at"), F.col("own"), F.col("o.step")
+    left = F.when(step == 0, here <= at).otherwise(step > 0)
     return seen.select(
         "cluster",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        (F.col("own") <= F.col("other")).alias("left"),
+        F.when(step < 0, F.col("c") - 1).otherwise(F.col("c")).alias("c"),
+        F.when(left, here).otherwise(at).alias("i"),
+        F.when(step > 0, F.col("c") + 1).otherwise(F.col("c")).alias("d"),
+        F.when(left, at).otherwise(here).alias("j"),
+        left.alias("left"),
         "node",
         *columns,
-    )
+    ).repartition(tasks, *PAIR)
 
 
-def blocks_of(clusters: DataFrame, size: str, rows: int, limit: int) -> DataFrame:
-    """``root, blocks``: so many that a block has about ``rows`` nodes and ``limit`` bytes at most."""
-    return clusters.groupBy("root").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum(size) / limit), F.lit(1)
-        ).cast("int").alias("blocks")
+def _until(count: str):
+    """0 .. count - 1, nothing for 0."""
+    return F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(
+        F.array().cast("array<int>")
     )
 
 
+def _side(step: int, at):
+    return F.struct(F.lit(step).alias("step"), at.alias("at"))
+
+
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges ``u, v`` between nodes that connect all nodes which links connect; all are links."""
     spark = docs.sparkSession
@@ -515,21 +575,19 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
         F.max("bins").alias("bins"),  # equal for equal sets
     )
     binned = stored(clusters.join(nodes, "node"), "binned-clusters")
-    sizes = blocks_of(binned.withColumn("size", F.octet_length("bins")), "size", BIN_BLOCK, BIN_BYTES)
-    rows = binned.join(sizes, "root").withColumnRenamed("root", "cluster")
-    near = compatible(paired_blocks(rows, ["n_shingles", "bins"]), percent)
-    clusters = stored(components(stored(near, "compatible")), "near-clusters")
-
-    found = clusters.join(binned.drop("root", "bins"), "node")
-    found = found.withColumn("size", 8 * F.col("n_shingles"))
+    rows = binned.withColumnRenamed("root", "cluster")
+    paired = paired_blocks(
+        rows, rows, ["n_shingles", "bins"], percent, "octet_length(bins)", BIN_BLOCK, BIN_BYTES
+    )
+    near = stored(compatible(paired, percent), "compatible")
+    clusters = stored(components(near), "near-clusters")
     wanted = stored(
-        found.join(blocks_of(found, "size", BLOCK, BLOCK_BYTES), "root").select(
-            "doc_id", "node", F.col("root").alias("cluster"), "blocks"
-        ),
+        clusters.withColumnRenamed("root", "cluster").join(binned.drop("root", "bins"), "node"),
         "wanted-sets",
     )
     sets = set_table(named, wanted, k)
-    return stored(block_links(paired_blocks(sets, ["items"]), percent), "links")
+    paired = paired_blocks(sets, wanted, ["items"], percent, "8 * n_shingles", BLOCK, BLOCK_BYTES)
+    return stored(block_links(paired, percent), "links")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
