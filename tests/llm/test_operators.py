@@ -343,6 +343,37 @@ def test_find_leaks(spark, nothing):
     assert decontamination.find_leaks(nothing, bench).count() == 0
 
 
+def test_passes_hold_one_slice_at_a_time(spark, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    rng = np.random.default_rng(15)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20))) for i in range(30)]
+    texts = [(i, f"before {items[i][1]} after") for i in range(0, 30, 2)] + [(99, "nothing of it")]
+    alive, most = set(), []
+    send, give_up = SparkContext.broadcast, Broadcast.destroy
+
+    def counted(self, value):
+        sent = send(self, value)
+        if isinstance(value, decontamination.LeakIndex):
+            alive.add(id(sent))
+            most.append(len(alive))
+        return sent
+
+    def dropped(self, *args):
+        alive.discard(id(self))
+        return give_up(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    monkeypatch.setattr(Broadcast, "destroy", dropped)
+    docs = spark.createDataFrame(texts, SCHEMA)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.find_leaks(docs, bench, pass_chars=1000)
+    assert {(r[0], r[1]) for r in found.select("doc_id", F.inline("leaks")).collect()} == {
+        (i, i) for i in range(0, 30, 2)
+    }
+    assert len(most) >= 3 and max(most) == 1
+
+
 def plain_short_leaks(texts, items, similarity=0.8):
     """Leaks of texts that have fewer words than the item, compared as a whole."""
     norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -640,6 +671,20 @@ def test_token_ids_equal_the_tokenizer():
     assert [[*np.frombuffer(f, "<u4"), 1] for f in found] == [encoded(t) for t in texts]
 
 
+def test_token_ids_of_every_word_the_pattern_knows(sf):
+    """Words of all letters that go word by word, and of real texts, one by one and side by side."""
+    encode = packing.token_ids(packing.default_tokenizer())
+    assert encode.by_word
+    letters = [chr(c) for c in range(0x21, 0x250) if not packing._OTHER.search(chr(c))]
+    rng = np.random.default_rng(21)
+    texts = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(3000)] + letters
+    import pyarrow.parquet as pq
+
+    texts += [t or "" for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
+    texts.append(" ".join(texts[:1000]))
+    assert encode.packed(texts) == encode.whole(texts)
+
+
 def test_neighbours_share_words():
     documents = [np.array(d) for d in ([1, 2, 3, 4], [9, 9, 8, 8], [1, 2, 3, 7], [8, 5, 6, 6])]
     index = packing.InvertedIndex(documents)
@@ -676,6 +721,79 @@ def test_related_documents_meet_wherever_they_are(spark):
     assert (found.frequencies == plain.frequencies).all()
 
 
+def plain_scores(documents, seed):
+    """BM25 of each document against the distinct terms of the seed, term by term."""
+    n, mean = len(documents), sum(map(len, documents)) / len(documents)
+    holders = Counter(t for d in documents for t in set(d.tolist()))
+    out = []
+    for d in documents:
+        counts, score = Counter(d.tolist()), 0.0
+        for term in sorted(set(documents[seed].tolist())):
+            if counts[term]:
+                idf = np.log(1 + (n - holders[term] + 0.5) / (holders[term] + 0.5))
+                norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+                score += idf * counts[term] * (packing.K1 + 1) / (counts[term] + norm)
+        out.append(score)
+    return out
+
+
+def plain_fill(documents, window):
+    """Whole windows first; then the longest open text takes its nearest open ones, best first."""
+    pieces, sequence, taken = [], 0, [0] * len(documents)
+
+    def put(i, length, offset):
+        pieces.append((i, taken[i], length, sequence, offset))
+        taken[i] += length
+
+    for i, d in enumerate(documents):
+        while len(d) - taken[i] >= window:
+            put(i, window, 0)
+            sequence += 1
+    rest = [len(d) - t for d, t in zip(documents, taken, strict=True)]
+    for seed in sorted(range(len(documents)), key=lambda i: (-rest[i], i)):
+        left = [len(d) - t for d, t in zip(documents, taken, strict=True)]
+        if sum(left) < window:
+            break
+        if not left[seed]:
+            continue
+        scores, offset = plain_scores(documents, seed), 0
+        for i in [seed, *sorted(range(len(documents)), key=lambda i: (-scores[i], i))]:
+            length = min(window - offset, len(documents[i]) - taken[i])
+            if length:
+                put(i, length, offset)
+                offset += length
+        sequence += 1
+    size = room = 0
+    for i, d in enumerate(documents):
+        while taken[i] < len(d):
+            if not room:
+                left = sum(map(len, documents)) - sum(taken)
+                size = room = 2 ** int(np.log2(left))
+            length = min(room, len(d) - taken[i])
+            put(i, length, size - room)
+            room -= length
+            sequence += not room
+    return pieces
+
+
+@pytest.mark.parametrize("seed,window", [(1, 32), (2, 64), (3, 16), (4, 512)])
+def test_scores_and_fill_against_plain_versions(seed, window):
+    rng = np.random.default_rng(seed)
+    documents = [rng.zipf(1.4, rng.integers(1, 90)) % 60 for _ in range(40)]
+    documents += [documents[3], documents[5][::-1], documents[3], np.array([1])]  # equal scores
+    index = packing.InvertedIndex(documents)
+    for i in range(len(documents)):
+        assert np.allclose(index.scores(i), plain_scores(documents, i), rtol=1e-12)
+    assert index.scores(0)[3] == index.scores(0)[42] and index.scores(0)[3] == index.scores(0)[40]
+    assert packing.fill(documents, window) == plain_fill(documents, window)
+
+
+def test_term_counts():
+    documents = [np.array(d) for d in ([5, 3, 5, 1], [2], [3, 3, 70_000])]
+    owner, term, count = (x.tolist() for x in packing.term_counts(documents))
+    assert owner == [0, 0, 0, 1, 2, 2] and term == [1, 3, 5, 2, 3, 70_000] and count == [1, 1, 2, 1, 2, 1]
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack(nothing).count() == 0
 
@@ -696,6 +814,74 @@ def test_word_hashes(monkeypatch):
     assert len(set(known.values())) == len(known)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_bins_never_part_a_link(percent):
+    rng = np.random.default_rng(percent)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    sets = [draw(rng.choice([1, 2, 7, 60, 130, 700])) for _ in range(60)]
+    for s in sets[:40]:  # partners at all distances
+        gone = int(len(s) * rng.uniform(0, 0.5))
+        sets.append(np.unique(np.concatenate([s[gone:], draw(rng.integers(0, gone + 1))])))
+    one, two = sets[:60], sets[40:]
+    counts = [[ngram_join.bin_counts(s) for s in part] for part in (one, two)]
+    sizes = tuple(np.array([len(s) for s in part]) for part in (one, two))
+    found = set(zip(*(x.tolist() for x in ngram_join.possible_pairs(*counts, sizes, percent))))
+    linked = {
+        (i, j) for i, a in enumerate(one) for j, b in enumerate(two)
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+    }
+    assert linked <= found and linked
+    # The bound itself: what the smaller counts allow.
+    for i, j in list(found)[:50]:
+        m = min(len(counts[0][i]), len(counts[1][j]))
+        both = np.minimum(*(ngram_join.folded([c], m)[0] for c in (counts[0][i], counts[1][j]))).sum()
+        assert both >= len(np.intersect1d(one[i], two[j]))
+        assert 100 * both >= percent * (len(one[i]) + len(two[j]) - both)
+    assert len(found) < 0.2 * len(one) * len(two)
+
+
+def test_bins_of_large_sets_take_four_bytes():
+    same = np.arange(1, 2000, dtype=np.uint64)
+    assert ngram_join.bin_counts(same).dtype == np.uint8 and len(ngram_join.bin_counts(same)) == 1024
+    assert ngram_join.bin_counts(same).sum() == len(same)
+
+
+@pytest.mark.parametrize("percent", [60, 90])
+def test_every_pair_that_may_link_meets_in_one_group(spark, percent):
+    rng = np.random.default_rng(30)
+    rows = [(c, 100 * c + i, int(n)) for c in (1, 2) for i, n in enumerate(rng.integers(1, 300, 60))]
+    rows += [(3, 900 + i, n) for i, n in enumerate([9, 10, 90, 100, 81, 729, 810, 900, 1000, 54, 6])]
+    df = spark.createDataFrame(rows, "cluster bigint, node bigint, n_shingles bigint").repartition(3)
+    paired = ngram_join.paired_blocks(df, df, ["n_shingles"], percent, "n_shingles", 7, 400)
+    groups = defaultdict(lambda: ([], []))
+    for r in paired.collect():
+        groups[tuple(r[c] for c in ngram_join.PAIR)][not r["left"]].append(r["node"])
+    met = Counter()
+    for (_, c, i, d, j), (left, right) in groups.items():
+        if (c, i) == (d, j):
+            assert not right
+            met.update((a, b) for a in left for b in left if a < b)
+        else:
+            met.update((min(a, b), max(a, b)) for a in left for b in right)
+    assert set(met.values()) == {1}
+    for ca, a, n in rows:
+        for cb, b, m in rows:
+            if ca == cb and a < b and 100 * min(n, m) >= percent * max(n, m):
+                assert met[a, b] == 1
+    assert len(met) < sum(60 * 59 / 2 for _ in (1, 2))
+
+
+def test_marked_texts(spark):
+    ids = [0, 1, 7, 10**12, -5]
+    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    bits = ngram_join.marked(wanted)
+    at = spark.range(3).crossJoin(wanted).select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(ngram_join.MARKS)).alias("at"))
+    places = {r["at"] for r in at.collect()}
+    assert all(bits[p >> 3] >> (p & 7) & 1 for p in places)
+    assert np.unpackbits(bits).sum() == len(places)
+
+
 def test_filled_segments_never_miss_a_link():
     rng = np.random.default_rng(12)
     percent, low, high = 80, 108, 161
