@@ -73,8 +73,8 @@ def top_vocab(spark, sf):
     return vocabulary(with_terms(texts(spark, sf)), F.col("terms"))
 
 
-# Few enough that the sketches of a few megabytes of text overflow.
-COUNTERS = 50_000
+# Few enough that the sketches of three megabytes of text overflow.
+COUNTERS = 150_000
 
 
 @query("top_vocab_sketched", _VOCAB)
