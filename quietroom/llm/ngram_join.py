@@ -45,7 +45,7 @@ ROWS_OUT = 200_000
 BLOCK, BLOCK_BYTES = 512, 64 << 20
 # The same for blocks of bins, and how many cells of them are compared at a time.
 BIN_BLOCK, BIN_BYTES, BIN_CELLS = 1024, 8 << 20, 4 << 20
-GROUPS_PER_TASK = 4
+LARGE_PER_TASK = 2
 # Bits that say which texts are needed again.
 MARKS = 1 << 25
 SEEN = 10_000
@@ -480,7 +480,8 @@ def paired_blocks(
     into blocks by a hash, of about ``most`` rows and ``limit`` bytes of ``size``, and every pair of
     blocks of a class or of two neighbouring ones is a group: block ``i`` of class ``c`` with block
     ``j`` of class ``d``, whose rows are ``left`` or not; a block with itself has left ones only.
-    Groups are dealt to a number of tasks that goes by their own, as their work does not go by bytes.
+    Groups are dealt to a number of tasks that goes by that of the large ones, as their work does not go by
+    bytes.
     """
     spark = rows.sparkSession
     # A little more than the ratio, so that rounding parts no sizes.
@@ -503,9 +504,9 @@ def paired_blocks(
         .na.fill(0, ["above", "below"]),
         "block-pairs",
     )
-    groups = around.agg(F.sum(F.col("n") * (F.col("n") + 1) / 2 + F.col("n") * F.col("above")))
-    groups = groups.first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups / GROUPS_PER_TASK))
+    groups = F.col("n") * (F.col("n") + 1) / 2 + F.col("n") * F.col("above")
+    large = around.where("n > 1 OR above > 1").agg(F.sum(groups)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(large / LARGE_PER_TASK))
 
     own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("own")
     placed = rows.withColumn("c", own_class).join(around, ["cluster", "c"]).select("*", own)
