@@ -55,9 +55,9 @@ def load_comments_csv(spark, sf):
 
 @query("split_comments_csv", ORACLES["load_comments_csv"])
 def split_comments_csv(spark, sf):
-    """The same CSV, of few files, read in splits of files; line breaks and quotes are in the texts."""
+    """The same CSV, one file for each task of the join, read in splits of files; line breaks and quotes are in the texts."""
     path = work_path(spark, "large-comments-csv")
-    rows = comments(spark, sf).coalesce(2)
+    rows = comments(spark, sf)
     rows.write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
     return read_comments_csv(spark, path, LABELS, split_files=True)
 
