@@ -172,6 +172,36 @@ def test_gradients_are_those_of_the_objective(spark, rows):
 # --- pooling -----------------------------------------------------------------------
 
 
+def test_pooling_by_join_sends_a_vector_once_a_block(spark):
+    from quietroom.operators.pooling import block_vectors
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    vectors = rng.normal(size=(60, 3)).astype(np.float32)
+    texts = [(i, [words[j] for j in rng.integers(0, 60, rng.integers(0, 50))]) for i in range(400)]
+    texts += [(7, ["w1", "w1", "none"]), (None, ["w2"]), (1000, None)]
+    tokens = spark.createDataFrame(texts, "id bigint, terms array<string>")
+    table = spark.createDataFrame(
+        list(zip(words, vectors.tolist(), strict=True)) + [("w3", [9.0, 9.0, 9.0])],
+        "term string, vector array<float>",
+    )
+    placed = tokens.withColumn("_block", F.col("id") % 2).where("id IS NOT NULL")
+    assert block_vectors(placed, table).count() <= 2 * 61
+    assert block_vectors(placed, table).count() < placed.select(F.explode("terms")).count() / 50
+
+    table_of = {w: [v] for w, v in zip(words, vectors, strict=True)}
+    table_of["w3"].append(np.array([9.0, 9.0, 9.0]))
+    merged: dict = {}
+    for key, terms in texts:
+        merged.setdefault(key, []).extend(v for w in terms or [] for v in table_of.get(w, []))
+    got = pool_terms(tokens, table, "id", 6, block_texts=100).collect()
+    assert sorted(str(r["id"]) for r in got) == sorted(str(key) for key, _ in texts)
+    for row in got:
+        held = np.array(merged[row["id"]]) if row["id"] is not None else []
+        want = np.concatenate([held.mean(0), held.max(0)]) if len(held) else np.zeros(6)
+        assert np.allclose(row["pooled"], want)
+
+
 def test_pooling_by_join_and_by_broadcast(spark):
     vectors = {"a": [1.0, -2.0], "b": [3.0, 0.5], "c": [-1.0, -1.0]}
     texts = [(1, ["a", "b", "a"]), (2, []), (3, ["zzz"]), (4, ["c"]), (5, None), (6, ["c", "zzz", "c", "b"])]
