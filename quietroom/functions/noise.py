@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quietroom.functions.hashing import digest, digest_number
 from quietroom.settings import NOISE_LEVEL, SEED
 
+# Characters whose code points a Python worker holds at once.
+CHARACTERS_AT_ONCE = 4_000_000
+
 
 def _scrambled(draw: np.ndarray) -> np.ndarray:
     """A keyed hash of 64-bit counters, by multiply and xor-shift steps."""
@@ -18,19 +21,42 @@ def _scrambled(draw: np.ndarray) -> np.ndarray:
     return draw ^ (draw >> np.uint64(33))
 
 
-def _swap_batch(texts: pd.Series, keys: pd.Series, level: float) -> pd.Series:
-    """All texts of a batch as one buffer of code points; swap ``k`` runs over all rows at once.
+def _swap_batch(
+    texts: pd.Series, keys: pd.Series, level: float, characters: int = CHARACTERS_AT_ONCE
+) -> pd.Series:
+    """Noise for a batch, some texts at a time, long ones together.
+
+    No more than ``characters`` are worked on at once, or one text; what texts take beside their
+    strings is bounded by that, not by the rows of the batch.
+    """
+    out = np.full(len(texts), None, object)
+    held = np.flatnonzero(texts.notna().to_numpy())
+    sizes = np.array([len(t) for t in texts.iloc[held]], np.int64)
+    falling = np.argsort(-sizes, kind="stable")
+    held, ends = held[falling], np.cumsum(sizes[falling])
+    low = 0
+    while low < len(held):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + characters, "right")))
+        rows = held[low:high]
+        out[rows] = _swap_texts(texts.iloc[rows], keys.iloc[rows], level)
+        low = high
+    return pd.Series(out)
+
+
+def _swap_texts(texts: pd.Series, keys: pd.Series, level: float) -> np.ndarray:
+    """All texts as one buffer of code points; swap ``k`` runs over all rows at once.
 
     Rows are visited from the most swaps down, so those that still have a swap ``k`` are a prefix.
     """
-    present = texts.notna().to_numpy()
-    encoded = [t.encode("utf-32-le", "surrogatepass") for t in texts[present]]
+    encoded = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     sizes = np.array([len(e) // 4 for e in encoded], np.int64)
     points = np.frombuffer(bytearray(b"".join(encoded)), np.uint32)
+    del encoded
     starts = np.cumsum(sizes) - sizes
     swaps = (sizes * level).astype(np.int64)
     order = np.argsort(-swaps, kind="stable")
-    key = keys[present].to_numpy().astype(np.int64).view(np.uint64)[order]
+    key = keys.to_numpy().astype(np.int64).view(np.uint64)[order]
     at, width, left = starts[order], sizes[order].astype(np.uint64), -swaps[order]
     for k in range(int(swaps.max(initial=0))):
         rows = slice(int(np.searchsorted(left, -k, "left")))
@@ -39,11 +65,11 @@ def _swap_batch(texts: pd.Series, keys: pd.Series, level: float) -> pd.Series:
         two = at[rows] + ((drawn & np.uint64(0xFFFFFFFF)) % width[rows]).astype(np.int64)
         points[one], points[two] = points[two], points[one]
     out = np.empty(len(texts), object)
-    out[present] = [
+    out[:] = [
         points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass")
         for s, n in zip(starts, sizes, strict=True)
     ]
-    return pd.Series(out)
+    return out
 
 
 def random_swaps(

@@ -113,3 +113,21 @@ def test_validation(spark):
     strict = [r["reason"] is None for r in validate_requests(df, strict=True).collect()]
     assert plain == [True, False, True, False]
     assert strict == [True, False, False, False]
+
+
+def test_noise_holds_few_code_points_at_once(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from quietroom.functions import noise
+
+    draw = np.random.default_rng(3)
+    texts = pd.Series([None if i % 17 == 0 else "aä😀 " * int(draw.integers(0, 60)) for i in range(500)], dtype=object)
+    keys = pd.Series(draw.integers(-(2**62), 2**62, 500))
+    whole = noise._swap_batch(texts, keys, 0.1, 10**9)
+    held, one = [], noise._swap_texts
+    monkeypatch.setattr(noise, "_swap_texts", lambda t, k, level: held.append(t.str.len().sum()) or one(t, k, level))
+    found = noise._swap_batch(texts, keys, 0.1, 1000)
+    assert found.equals(whole) and max(held) <= 1000 and len(held) > 20
+    assert noise._swap_batch(texts[:0], keys[:0], 0.1).empty
+    assert noise._swap_batch(pd.Series([None, None]), keys[:2], 0.1).isna().all()
