@@ -130,3 +130,19 @@ def test_work_folders_are_released(spark):
     from quietroom.catalog.models import forget_fitted
 
     forget_fitted()
+
+
+def test_comments_csv_is_written_by_all_tasks(spark, sf):
+    from quietroom import session
+    from quietroom.catalog.ingest import split_comments_csv
+
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    begun = len(session._folders)
+    try:
+        split_comments_csv(spark, sf)
+    finally:
+        spark.conf.set(name, before)
+    written = next(p for p in session._folders[begun:] if "large-comments-csv" in p)
+    assert spark.read.text(f"{written}/part-*").select("_metadata.file_path").distinct().count() > 2
