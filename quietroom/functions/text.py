@@ -23,6 +23,11 @@ def clean_text(text: Column) -> Column:
     return F.coalesce(F.trim(collapsed), F.lit("nan"))
 
 
+def token_text(text: Column) -> Column:
+    """What ``word_tokens`` needs of a cleaned text: white space parts words, collapsed or not."""
+    return F.coalesce(F.lower(text.cast("string")), F.lit("nan"))
+
+
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words, counted without building an array."""
     return F.coalesce(F.regexp_count(text, F.lit(NON_WHITESPACE)), F.lit(1))

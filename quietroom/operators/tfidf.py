@@ -15,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietroom.functions.text import clean_text, ngrams, word_tokens
+from quietroom.functions.text import ngrams, token_text, word_tokens
 from quietroom.operators.vocabulary import vocabulary
 from quietroom.session import join_bounded
 from quietroom.settings import MAX_FEATURES
@@ -26,7 +26,7 @@ def with_terms(df: DataFrame, text: str = "comment_text", clean: bool = True) ->
 
     Tokens are lower-cased either way; ``clean`` adds the missing-text rule.
     """
-    body = clean_text(F.col(text)) if clean else F.lower(F.coalesce(text, F.lit("")))
+    body = token_text(F.col(text)) if clean else F.lower(F.coalesce(text, F.lit("")))
     return (
         df.withColumn("_tokens", word_tokens(body))
         .withColumn("terms", ngrams(F.col("_tokens")))

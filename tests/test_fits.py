@@ -329,3 +329,12 @@ def test_measured_stream(spark):
     answers = spark.read.parquet(f"{out}/answers")
     assert answers.where("reason IS NULL AND scores IS NULL").isEmpty()
     assert answers.where("reason IS NOT NULL AND scores IS NOT NULL").isEmpty()
+
+
+def test_token_text_has_the_words_of_the_cleaned_text(spark):
+    from quietroom.functions.text import clean_text, token_text, word_tokens
+
+    texts = ["a bc  De f\x1cgh\x85ij_k ", " \tÀÉ ß́x İSTANBUL 　漢字 12 x", "", " ", None, "nan", "\U0001d400\U0001d401 ok"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select(word_tokens(clean_text(F.col("t"))).alias("a"), word_tokens(token_text(F.col("t"))).alias("b")).collect():
+        assert row["a"] == row["b"]
