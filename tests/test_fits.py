@@ -331,6 +331,14 @@ def test_measured_stream(spark):
     assert answers.where("reason IS NOT NULL AND scores IS NOT NULL").isEmpty()
 
 
+def test_word2vec_tasks_stay_as_long_whatever_the_input(spark):
+    from quietroom.plans.scorers import _w2v_partitions
+
+    df = spark.createDataFrame([(["a"] * 10,)] * 100 + [([],)], "terms array<string>")
+    assert [_w2v_partitions(df, 8, words) for words in (10_000, 125, 100, 7)] == [8, 8, 10, 143]
+    assert _w2v_partitions(df.where("false"), 8) == 8
+
+
 def test_token_text_has_the_words_of_the_cleaned_text(spark):
     from quietroom.functions.text import clean_text, token_text, word_tokens
 
