@@ -27,8 +27,9 @@ from quietroom.operators.pooling import pool_groups
 from quietroom.operators.tfidf import (
     FittedVocabulary,
     linear_contributions,
+    terms_of_tokens,
     tfidf_long,
-    with_terms,
+    with_tokens,
 )
 from quietroom.operators.vocabulary import (
     prefiltered_vocabulary,
@@ -60,17 +61,17 @@ _TFIDF = (
 
 @query("term_doc_freq", _COUNTS)
 def term_doc_freq(spark, sf):
-    return term_frequencies(with_terms(texts(spark, sf)), F.col("terms"))
+    return term_frequencies(with_tokens(texts(spark, sf)), F.col("tokens"), pairs=True)
 
 
-def _terms(spark, sf):
-    """``id, terms`` of the documents: cut into n-grams once, for the vocabulary and the vectors."""
-    return materialize(with_terms(texts(spark, sf)).select("id", "terms"), "document-terms")
+def _tokens(spark, sf):
+    """``id, tokens`` of the documents: cut into words once, for the vocabulary and the vectors."""
+    return materialize(with_tokens(texts(spark, sf)).select("id", "tokens"), "document-tokens")
 
 
 @query("top_vocab", _VOCAB)
 def top_vocab(spark, sf):
-    return vocabulary(with_terms(texts(spark, sf)), F.col("terms"))
+    return vocabulary(with_tokens(texts(spark, sf)), F.col("tokens"), pairs=True)
 
 
 # Few enough that the sketches of three megabytes of text overflow.
@@ -80,16 +81,16 @@ COUNTERS = 150_000
 @query("top_vocab_sketched", _VOCAB)
 def top_vocab_sketched(spark, sf):
     """The same vocabulary, counting only the terms that sketches of the partitions leave possible."""
-    return prefiltered_vocabulary(_terms(spark, sf), F.col("terms"), counters=COUNTERS)
+    return prefiltered_vocabulary(_tokens(spark, sf), F.col("tokens"), counters=COUNTERS, pairs=True)
 
 
 @query(
     "tfidf_l2", f"SELECT doc_id AS id, term, round(tfidf, 9) AS tfidf FROM ({_TFIDF})"
 )
 def tfidf_l2(spark, sf):
-    docs = _terms(spark, sf)
-    vocab = FittedVocabulary.fit(docs)
-    return tfidf_long(docs, vocab).withColumn("tfidf", r("tfidf"))
+    docs = _tokens(spark, sf)
+    vocab = FittedVocabulary.fit_tokens(docs)
+    return tfidf_long(terms_of_tokens(docs), vocab).withColumn("tfidf", r("tfidf"))
 
 
 def _sql_coefficient(label: str) -> str:
@@ -111,15 +112,15 @@ _CONTRIBUTIONS = " UNION ALL ".join(
 )
 def contributions(spark, sf):
     """Top terms under coefficients drawn from each vocabulary term's digest."""
-    docs = _terms(spark, sf)
-    vocab = FittedVocabulary.fit(docs)
+    docs = _tokens(spark, sf)
+    vocab = FittedVocabulary.fit_tokens(docs)
     drawn = [
         ((digest_number(digest("coef", c, F.col("term"))) % 201 - 100) / F.lit(100.0)).alias(c)
         for c in LABELS
     ]
     rows = vocab.table(spark).select("idx", *drawn).orderBy("idx").collect()
     coefficients = {c: [row[c] for row in rows] for c in LABELS}
-    return linear_contributions(docs, vocab, coefficients).withColumn("weight", r("weight", 6))
+    return linear_contributions(terms_of_tokens(docs), vocab, coefficients).withColumn("weight", r("weight", 6))
 
 
 # Words of the vocabulary that the query encodes with.

@@ -1,8 +1,10 @@
 """Fitted models: candidates, optimality, vectors by join, saving, comparison; split CSV; sketches."""
 
 import csv
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,14 @@ from quietroom.catalog.base import parts
 from quietroom.operators.encode import encode_sequences, length_batches, padded_to, word_ids, word_lengths
 from quietroom.operators.explain import explain, fidelity
 from quietroom.operators.pooling import pool_counts, pool_terms
-from quietroom.operators.vocabulary import frequent_sketch, prefiltered_vocabulary, vocabulary
+from quietroom.operators.tfidf import with_terms, with_tokens
+from quietroom.operators.vocabulary import (
+    _counted,
+    _pieces,
+    frequent_sketch,
+    prefiltered_vocabulary,
+    vocabulary,
+)
 from quietroom.plans.compare import measured
 from quietroom.plans.scorers import BatchScorer, DigestScorer, TfidfScorer, lexical_predictor, load
 from quietroom.plans.train import fit_candidates
@@ -275,6 +284,44 @@ def test_sketch_bounds_and_vocabulary(spark, counters):
         assert got == vocabulary(df, F.col("terms"), limit).orderBy("idx").collect()
 
 
+def test_pieces_of_batches():
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"] * 2, ["d"] * 3, ["e"]])
+    pieces = list(_pieces(lists, 5))
+    assert pa.concat_arrays(pieces).equals(lists)
+    assert [[len(x or []) for x in p.to_pylist()] for p in pieces] == [[3, 0, 0], [9], [2, 3], [1]]
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_counted(pairs):
+    draw = np.random.default_rng(5)
+    rows = [[f"w{x}" for x in draw.zipf(1.5, n) if x < 99] for n in draw.integers(0, 40, 60)]
+    rows[3:5] = None, [None, "w1", None, "w1", "w1", None]
+    tf, df = Counter(), Counter()
+    for words in rows:
+        both = zip(words or [], (words or [])[1:]) if pairs else []
+        terms = [*(words or []), *(None if None in p else " ".join(p) for p in both)]
+        tf.update(terms)
+        df.update(set(terms))
+    (found,) = _counted(pa.array(rows), pairs)
+    sums = {t: [0, 0] for t in found.column("term").to_pylist()}
+    for t, n, d in zip(*found.to_pydict().values(), strict=True):
+        sums[t][0] += n
+        sums[t][1] += d
+    assert sums == {t: [tf[t], df[t]] for t in tf}
+    assert not list(_counted(pa.array([None, []], pa.list_(pa.string())), pairs))
+
+
+@pytest.mark.parametrize("counters", [20, 2000])
+def test_vocabulary_of_tokens(spark, comments, counters):
+    """N-grams counted from the words are those counted from the texts' arrays of n-grams."""
+    rows = comments.select("id", "comment_text")
+    want = vocabulary(with_terms(rows), F.col("terms"), 300).orderBy("idx").collect()
+    tokens = with_tokens(rows)
+    assert vocabulary(tokens, F.col("tokens"), 300, pairs=True).orderBy("idx").collect() == want
+    got = prefiltered_vocabulary(tokens, F.col("tokens"), 300, counters, pairs=True)
+    assert got.orderBy("idx").collect() == want
+
+
 def test_sketch_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "id int, terms array<string>")
     assert prefiltered_vocabulary(df, F.col("terms"), 5).count() == 0
