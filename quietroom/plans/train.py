@@ -14,7 +14,13 @@ from quietroom.operators.losses import row_loss
 from quietroom.operators.metrics import classification_report
 from quietroom.operators.profile import pos_weights
 from quietroom.operators.split import hash_split
-from quietroom.operators.tfidf import FittedVocabulary, tfidf_stages, with_terms
+from quietroom.operators.tfidf import (
+    FittedVocabulary,
+    terms_of_tokens,
+    tfidf_stages,
+    with_terms,
+    with_tokens,
+)
 from quietroom.plans.scorers import Scorer, TfidfScorer, fit, fit_penalties
 from quietroom.session import materialize
 from quietroom.settings import MAX_FEATURES
@@ -100,11 +106,11 @@ def fit_candidates(
     give NULL losses, which are never best.
     """
     spark = train_rows.sparkSession
-    terms = with_terms(train_rows.select(text, *labels), text, clean).drop(text)
-    terms = materialize(terms, "terms")
-    stages = tfidf_stages(FittedVocabulary.fit(terms, limit=max_features))
+    tokens = with_tokens(train_rows.select(text, *labels), text, clean).drop(text)
+    tokens = materialize(tokens, "tokens")
+    stages = tfidf_stages(FittedVocabulary.fit_tokens(tokens, limit=max_features))
     fitted = fit_penalties(
-        stages.transform(terms), labels, list(penalties.values()), max_iter, partitions=partitions
+        stages.transform(terms_of_tokens(tokens)), labels, list(penalties.values()), max_iter, partitions=partitions
     )
     scorers = {
         name: TfidfScorer(labels, stages, models, clean)
