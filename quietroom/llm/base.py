@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,17 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+def slices_by_bytes(batch: pa.RecordBatch, column: str, most: int):
+    """A batch in parts whose texts in ``column`` take at most ``most`` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def with_arrow_columns(df: DataFrame, compute, fields: list[str]) -> DataFrame:
     """``df`` with columns that ``compute(batch)`` gives as Arrow arrays, one for each field.
 

@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import query, slices, stored, table, with_arrow_columns
+from quietroom.llm.base import query, slices, slices_by_bytes, stored, table, with_arrow_columns
 
 WINDOW = 2048
 END_ID = 1
@@ -38,7 +39,9 @@ KEY_TERMS = 4
 PART_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 # Words, and stretches between white space, whose ids a Python worker remembers; then it starts anew.
-MEMORY_WORDS, MEMORY_STRETCHES = 1_000_000, 500_000
+MEMORY_WORDS, MEMORY_STRETCHES = 500_000, 500_000
+# Bytes of text that are encoded at once: the more, the fewer words are looked up again.
+TEXT_BYTES = 4 << 20
 # Rows whose keys are looked at, for each task, to deal documents to tasks by key.
 SAMPLED_ROWS, MOST_SAMPLED = 20, 1_000_000
 
@@ -95,7 +98,7 @@ class TokenIds:
 
     def _stretch(self, stretch: str) -> bytes:
         words, parts = self.words, []
-        for word in _WORDS.findall(stretch):
+        for word in [stretch] if stretch.isalpha() else _WORDS.findall(stretch):
             ids = words.get(word)
             if ids is None:
                 ids = words[word] = self._word(word)
@@ -103,27 +106,47 @@ class TokenIds:
         return b"".join(parts)
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            out += self._some(texts[at : at + 64])
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        # No word reaches over white space, and here both kinds of white space are the same.
-        split = [
-            t.lower().split() if self.by_word and not _OTHER.search(t) else None for t in texts
+        ids, sizes = self.encoded(pa.array(texts, pa.string()))
+        return [f.astype("<u4").tobytes() for f in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    def encoded(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        plain = np.zeros(len(texts), bool)
+        if self.by_word:
+            plain = ~pc.match_substring_regex(texts, _OTHER.pattern).to_numpy(zero_copy_only=False)
+        ids, sizes = self._plain(texts.filter(pa.array(plain)))
+        if plain.all():
+            return ids, sizes
+        rows = iter(np.split(ids, np.cumsum(sizes)))
+        found = [
+            next(rows) if easy else np.frombuffer(self.whole([text])[0], "<u4")
+            for easy, text in zip(plain, texts.to_pylist(), strict=True)
         ]
+        return np.concatenate(found), np.array([len(f) for f in found], np.int64)
+
+    def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """``encoded`` by stretches, each different one of which is looked up once.
+
+        No word reaches over white space, and in plain texts all kinds of it are the same.
+        """
         for known, most in ((self.stretches, MEMORY_STRETCHES), (self.words, MEMORY_WORDS)):
             if len(known) > most:
                 known.clear()
-        known = self.stretches
-        for new in set().union(*(s for s in split if s is not None)).difference(known):
-            known[new] = self._stretch(new)
-        ids = known.__getitem__
-        return [
-            self.whole([t])[0] if s is None else b"".join(map(ids, s))
-            for t, s in zip(texts, split, strict=True)
-        ]
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        known, parts = self.stretches, []
+        for stretch in coded.dictionary.to_pylist():
+            ids = known.get(stretch)
+            if ids is None:
+                ids = known[stretch] = self._stretch(stretch)
+            parts.append(ids)
+        held = np.frombuffer(b"".join(parts), "<u4")
+        size = np.array([len(p) for p in parts], np.int64) // 4
+        first, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.append(0, np.cumsum(size[at]))
+        place = np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], size[at])
+        bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        return held[place], np.diff(ends[bounds])
 
 
 @functools.cache
@@ -135,24 +158,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The columns ``ids`` and ``n`` of ``tokenised`` for rows of these sizes."""
+    if not len(ids) or ids.max() < 1 << 16:
+        ends = np.append(0, 2 * np.cumsum(sizes)).astype(np.int32)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))]
+        return pa.Array.from_buffers(pa.binary(), len(sizes), buffers), pa.array(sizes)
+    rows = np.split(ids, np.cumsum(sizes)[:-1])
+    small = [int(row.max()) < 1 << 16 for row in rows]
+    packed = [row.astype("<u2" if s else "<u4").tobytes() for row, s in zip(rows, small, strict=True)]
+    return pa.array(packed, pa.binary()), pa.array(np.where(small, sizes, -sizes))
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, ids, n``: each text's ids as packed 16-bit numbers (32-bit if n is negative)."""
 
     def run(batches):
         encode = token_ids(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                packed, counts = [], []
-                for ids in encode.packed(texts):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID))
-                    small = int(ids.max()) < 1 << 16
-                    packed.append(ids.astype("<u2" if small else "<u4").tobytes())
-                    counts.append(len(ids) if small else -len(ids))
+            for part in slices_by_bytes(batch, "text", TEXT_BYTES):
+                ids, sizes = encode.encoded(pc.fill_null(part.column("text"), ""))
+                ids = np.insert(ids, np.cumsum(sizes), END_ID)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(packed, pa.binary()), pa.array(counts, pa.int64())],
-                    ["doc_id", "ids", "n"],
+                    [part.column(0), *_packed(ids, sizes + 1)], ["doc_id", "ids", "n"]
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, n bigint")
@@ -234,6 +262,7 @@ def statistics_of(ids: DataFrame) -> Statistics:
     """Over all rows of ``tokenised``; the driver gets one row for each id of the vocabulary."""
 
     def run(batches):
+        token_ids.cache_clear()  # the worker may have encoded texts before
         seen, rows, length = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for part in slices(batch):
@@ -263,6 +292,7 @@ def with_keys(ids: DataFrame, shared, bounds=None) -> DataFrame:
     """
 
     def compute(batch):
+        token_ids.cache_clear()
         documents = unpacked(batch)
         lengths = np.array([len(ids) for ids in documents], float)
         owner, term, count = term_counts(documents)
@@ -400,6 +430,7 @@ def pack(
         return out, max(r[5] for r in rows) + 1
 
     def run(batches):
+        token_ids.cache_clear()
         first = TaskContext.get().partitionId() << 40
         names, documents = [], []
         for batch in batches:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quietroom.llm import decontamination, embedding_dedup, language_id, line_dedup, ngram_join
 from quietroom.llm import packing, quality, sharding, token_counts, warc, words
-from quietroom.llm.base import shared_path
+from quietroom.llm.base import shared_path, slices_by_bytes
 from quietroom.llm.components import components
 
 LINE = "This line is long enough to count as shared text"
@@ -671,6 +672,32 @@ def test_token_ids_equal_the_tokenizer():
     assert [[*np.frombuffer(f, "<u4"), 1] for f in found] == [encoded(t) for t in texts]
 
 
+def test_token_ids_side_by_side():
+    """Many texts are encoded as one column; whatever stands in them, ids are those of the whole texts."""
+    draw = random.Random(3)
+    letters = [chr(c) for c in range(1, 0x250)] + [*" \t\n\xa0\u3000 'stre<|"] * 20 + ["Σ", "中", "😀"]
+    texts = ["".join(draw.choices(letters, k=draw.randrange(40))) for _ in range(3000)] + ["", " ", "a<|b"]
+    encode = packing.token_ids(packing.default_tokenizer())
+    ids, sizes = encode.encoded(pa.array(texts))
+    assert [len(w) // 4 for w in encode.whole(texts)] == sizes.tolist()
+    assert ids.astype("<u4").tobytes() == b"".join(encode.whole(texts))
+    ids, sizes = np.insert(ids, np.cumsum(sizes), packing.END_ID), sizes + 1
+    many = np.append(ids, 1 << 16)  # beyond 16 bits
+    packed, n = packing._packed(many, np.append(sizes, 1))
+    assert n.to_pylist()[-1] == -1 and packed.to_pylist()[-1] == b"\0\0\1\0"
+    narrow, count = packing._packed(ids, sizes)
+    assert [len(b) for b in narrow.to_pylist()] == (2 * sizes).tolist() and count.to_pylist() == sizes.tolist()
+    assert packed.slice(0, len(sizes)).to_pylist() == narrow.to_pylist()
+
+
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["aaa", None, "", "é" * 9, "b", "ccc", "d"]})
+    parts = list(slices_by_bytes(batch, "text", 4))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1]
+    assert not list(slices_by_bytes(batch.slice(0, 0), "text", 4))
+
+
 def test_token_ids_of_every_word_the_pattern_knows(sf):
     """Words of all letters that go word by word, and of real texts, one by one and side by side."""
     encode = packing.token_ids(packing.default_tokenizer())
