@@ -28,7 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietroom.llm.base import query, slices, slices_by_bytes, stored, table, with_arrow_columns
+from quietroom.llm.base import (
+    query,
+    rows_per_batch,
+    slices,
+    slices_by_bytes,
+    stored,
+    table,
+    with_arrow_columns,
+)
 
 WINDOW = 2048
 END_ID = 1
@@ -39,9 +47,11 @@ KEY_TERMS = 4
 PART_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 # Words, and stretches between white space, whose ids a Python worker remembers; then it starts anew.
-MEMORY_WORDS, MEMORY_STRETCHES = 500_000, 500_000
+MEMORY_WORDS, MEMORY_STRETCHES = 250_000, 250_000
 # Bytes of text that are encoded at once: the more, the fewer words are looked up again.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
+# Rows that Spark sends to a Python worker at once, which holds their texts whole.
+TEXT_ROWS = 2000
 # Rows whose keys are looked at, for each task, to deal documents to tasks by key.
 SAMPLED_ROWS, MOST_SAMPLED = 20, 1_000_000
 
@@ -174,6 +184,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, ids, n``: each text's ids as packed 16-bit numbers (32-bit if n is negative)."""
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what the worker's tasks before had
         encode = token_ids(tokenizer)
         for batch in batches:
             for part in slices_by_bytes(batch, "text", TEXT_BYTES):
@@ -398,7 +409,8 @@ def pack(
     table gives an empty table. Sequences are full or, at the end of a shard, a power of two long.
     """
     spark = docs.sparkSession
-    ids = stored(tokenised(docs, tokenizer or default_tokenizer()), "token-ids")
+    with rows_per_batch(spark, TEXT_ROWS):
+        ids = stored(tokenised(docs, tokenizer or default_tokenizer()), "token-ids")
     statistics = statistics_of(ids)
     shared = spark.sparkContext.broadcast(statistics)  # a number for each id of the vocabulary
     shards = max(1, math.ceil(statistics.documents / shard_docs))
