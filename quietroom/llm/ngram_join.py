@@ -10,11 +10,13 @@ one then is not empty. Each band takes the plan of the least cost: signatures wr
 partners by chance, from the number of sets in the band; a band where some set fills too few segments
 keeps to the first plan.
 
-Equal sets are one node. Nodes that signatures connect form clusters, which chance signatures, of
-passages that many texts share, can make long. Counts of shingles in bins bound what two sets can
-share, so they split the clusters into such as hold links, without losing one. What is left is small
-next to the corpus; its clusters are cut into blocks, and each pair of blocks is verified in one task
-by exact intersections of whole sets, which returns a spanning forest of the links and never the pairs.
+Equal sets are one node. The nodes that share a signature are a star around the least of them. Stars
+are compared each on its own and not as the clusters that they connect to: signatures of passages that
+many texts share chain most of a large corpus. Small stars are packed together. Counts of shingles in
+bins bound what two sets can share, so they say which nodes of a star can link, without losing one.
+What these connect is small next to the corpus; its clusters are cut into blocks, and each pair of blocks
+is verified in one task by exact intersections of whole sets, which returns a spanning forest of the
+links and never the pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietroom.llm.base import query, slices, stored, table, with_arrow_columns
@@ -45,7 +47,9 @@ ROWS_OUT = 200_000
 BLOCK, BLOCK_BYTES = 512, 64 << 20
 # The same for blocks of bins, and how many cells of them are compared at a time.
 BIN_BLOCK, BIN_BYTES, BIN_CELLS = 1024, 8 << 20, 4 << 20
-LARGE_PER_TASK = 2
+# Rows of bins in a pack of small stars; larger stars stay alone.
+PACK = 512
+LARGE_PER_TASK, PACKS_PER_TASK = 2, 64
 # Bits that say which texts are needed again.
 MARKS = 1 << 25
 SEEN = 10_000
@@ -220,33 +224,13 @@ def set_sizes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def signature_rows(texts: DataFrame, k: int, percent: int, bands: list[Band]) -> DataFrame:
-    """``sig, node``: the signatures of every set in its own band and in those of its partners.
-
-    Sets that share a signature within a task's rows are chained there: they share one each with the
-    next, and only the first of them goes on with that signature. What is connected stays so.
-    """
+    """``sig, node``: the signatures of every set in its own band and in those of its partners."""
     lows, highs = [b.low for b in bands], [b.high for b in bands]
 
     def block(sigs, nodes):
         sig = np.concatenate(sigs).view(np.int64)
         node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
-        order = np.argsort(sig)
-        same = sig[order][1:] == sig[order][:-1]
-        one, two = node[order][:-1], node[order][1:]
-        again = np.flatnonzero(same & (one != two))
-        # Of a signature one node goes on; each other one shares with the one before it a signature
-        # of their own, so that a frequent signature is one row in so many rows of the table.
-        u, v = one[again].view(_U), two[again].view(_U)
-        pair = np.unique(np.stack([u, v]), axis=1) if len(again) else np.zeros((2, 0), _U)
-        chain = mix(mix(pair[0]) + pair[1] * _U(0xC2B2AE3D27D4EB4F)).view(np.int64)
-        first = np.sort(order[np.append(True, ~same)])  # in the order of the nodes, to pack well
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([sig[first], chain, chain])),
-                pa.array(np.concatenate([node[first], *pair.view(np.int64)])),
-            ],
-            ["sig", "node"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
 
     def run(batches):
         seen = set()  # nodes of the last rows; repeated signatures would do no harm
@@ -331,7 +315,7 @@ def set_table(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def folded(rows: list[np.ndarray], bins: int) -> np.ndarray:
     """Counts of several sets as a matrix of so many bins."""
-    out = np.zeros((len(rows), bins), np.int64)
+    out = np.zeros((len(rows), bins), np.int32)
     for i, counts in enumerate(rows):
         out[i] = counts.reshape(-1, bins).sum(axis=0)
     return out
@@ -351,23 +335,25 @@ def possible_pairs(
             if 200 * min(m, n) <= percent * max(m, n):
                 continue
             bins = int(min(m, n))
-            right = folded([b[i] for i in two], bins)
-            step = max(1, BIN_CELLS // bins)
-            for at in range(0, len(one), step):
-                rows = one[at : at + step]
-                left = folded([a[i] for i in rows], bins)
-                shared = np.zeros((len(rows), len(two)), np.float64)
-                kind = np.float32 if bins < 1 << 24 else np.float64  # holds sums up to so many
-                for least in range(1, int(min(left.max(), right.max())) + 1):
-                    x, y = (left >= least).astype(kind), (right >= least).astype(kind)
-                    used = np.flatnonzero(x.any(axis=0) & y.any(axis=0))
-                    if 2 * len(used) < bins:
-                        x, y = x[:, used], y[:, used]
-                    shared += x @ y.T
-                total = sizes[0][rows][:, None] + sizes[1][two][None, :]
-                u, v = np.nonzero(100 * shared >= percent * (total - shared))
-                us.append(rows[u])
-                vs.append(two[v])
+            kind = np.float32 if bins < 1 << 24 else np.float64  # holds sums up to so many
+            step = max(1, min(BIN_BLOCK, BIN_CELLS // bins))
+            for start in range(0, len(two), step):
+                others = two[start : start + step]
+                right = folded([b[i] for i in others], bins)
+                for at in range(0, len(one), step):
+                    rows = one[at : at + step]
+                    left = folded([a[i] for i in rows], bins)
+                    shared = np.zeros((len(rows), len(others)), np.float64)
+                    for least in range(1, int(min(left.max(), right.max())) + 1):
+                        x, y = (left >= least).astype(kind), (right >= least).astype(kind)
+                        used = np.flatnonzero(x.any(axis=0) & y.any(axis=0))
+                        if 2 * len(used) < bins:
+                            x, y = x[:, used], y[:, used]
+                        shared += x @ y.T
+                    total = sizes[0][rows][:, None] + sizes[1][others][None, :]
+                    u, v = np.nonzero(100 * shared >= percent * (total - shared))
+                    us.append(rows[u])
+                    vs.append(others[v])
     nothing = np.zeros(0, np.int64)
     return np.concatenate([nothing, *us]), np.concatenate([nothing, *vs])
 
@@ -471,13 +457,17 @@ def paired_blocks(
     size: str,
     most: int,
     limit: int,
+    larger: int = 1,
+    packed: Column | None = None,
 ) -> DataFrame:
     """``rows`` of ``cluster, node, n_shingles`` once for each pair of blocks that needs them.
 
     ``counted`` has the same rows, or those that they come from, without what is dear to make.
 
     Sets that link have sizes of the same class or of neighbouring ones. A class of a cluster is cut
-    into blocks by a hash, of about ``most`` rows and ``limit`` bytes of ``size``, and every pair of
+    into blocks by a hash, of about ``most`` rows and ``limit`` bytes of ``size``; of large classes, a
+    quarter up to ``larger`` times as many rows, so that copies grow later. Clusters that are ``packed``
+    have a single class. Every pair of
     blocks of a class or of two neighbouring ones is a group: block ``i`` of class ``c`` with block
     ``j`` of class ``d``, whose rows are ``left`` or not; a block with itself has left ones only.
     Groups are dealt to a number of tasks that goes by that of the large ones, as their work does not go by
@@ -487,12 +477,15 @@ def paired_blocks(
     # A little more than the ratio, so that rounding parts no sizes.
     base = math.log(100 / percent * 1.001)
     own_class = F.floor(F.log(F.col("n_shingles").cast("double")) / base)
+    if packed is not None:
+        own_class = F.when(packed, F.lit(-2).cast("bigint")).otherwise(own_class)
+    rows_of_block = F.greatest(F.lit(most), F.least(F.lit(most * larger), F.count(F.lit(1)) / 4))
     sizes = stored(
         counted.select("cluster", own_class.alias("c"), F.expr(size).alias("size"))
         .groupBy("cluster", "c")
         .agg(
             F.greatest(
-                F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("size") / limit), F.lit(1)
+                F.ceil(F.count(F.lit(1)) / rows_of_block), F.ceil(F.sum("size") / limit), F.lit(1)
             ).cast("int").alias("n")
         ),
         "block-numbers",
@@ -506,7 +499,9 @@ def paired_blocks(
     )
     groups = F.col("n") * (F.col("n") + 1) / 2 + F.col("n") * F.col("above")
     large = around.where("n > 1 OR above > 1").agg(F.sum(groups)).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(large / LARGE_PER_TASK))
+    packs = around.where("c < 0").count()
+    tasks = math.ceil(large / LARGE_PER_TASK + packs / PACKS_PER_TASK)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
 
     own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("own")
     placed = rows.withColumn("c", own_class).join(around, ["cluster", "c"]).select("*", own)
@@ -543,6 +538,32 @@ def _side(step: int, at):
     return F.struct(F.lit(step).alias("step"), at.alias("at"))
 
 
+def placed_stars(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``cluster, node, n_shingles, packed``: the stars of ``sig, node``, small ones packed together.
+
+    The nodes that share a signature go with the least of them, in a single scan whatever their number;
+    those of several signatures with the same least node are one star. Every two nodes that share a
+    signature have a cluster in common.
+    """
+    least = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
+    points = stored(
+        rows.select("node", least.alias("low")).where("node <> low").distinct(), "star-points"
+    )
+    stars = points.unionByName(points.select(F.col("low").alias("node"), "low").distinct())
+    sizes = points.groupBy("low").agg((F.count(F.lit(1)) + 1).alias("n"))
+    small = sizes.where(F.col("n") <= PACK).agg(F.sum("n")).first()[0] or 0
+    packs = max(1, math.ceil(small / PACK))
+    packed = F.col("n") <= PACK
+    pack = F.pmod(F.xxhash64("low"), F.lit(packs))
+    whole = members.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    return (
+        stars.join(sizes, "low")
+        .select(F.when(packed, pack).otherwise(F.col("low")).alias("cluster"), "node", packed.alias("packed"))
+        .distinct()
+        .join(whole, "node")
+    )
+
+
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges ``u, v`` between nodes that connect all nodes which links connect; all are links."""
     spark = docs.sparkSession
@@ -564,27 +585,27 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     ]
 
     rows = signature_rows(texts, k, percent, bands)
-    # Neighbours in a bucket are enough to connect it, so a bucket of any size is a single scan.
-    before = F.lag("node").over(Window.partitionBy("sig").orderBy("node"))
-    chained = rows.select(F.col("node").alias("u"), before.alias("v")).where("u <> v")
-    clusters = stored(components(chained), "clusters")
-
-    # Chance signatures make long chains; bins of a byte or two a shingle cut them down.
+    stars = stored(placed_stars(rows, members), "placed-stars")
     nodes = members.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"),
         F.max("n_shingles").alias("n_shingles"),
         F.max("bins").alias("bins"),  # equal for equal sets
     )
-    binned = stored(clusters.join(nodes, "node"), "binned-clusters")
-    rows = binned.withColumnRenamed("root", "cluster")
     paired = paired_blocks(
-        rows, rows, ["n_shingles", "bins"], percent, "octet_length(bins)", BIN_BLOCK, BIN_BYTES
+        stars.join(nodes.select("node", "bins"), "node"),
+        stars,
+        ["n_shingles", "bins"],
+        percent,
+        "n_shingles",
+        BIN_BLOCK,
+        BIN_BYTES,
+        larger=4,
+        packed=F.col("packed"),
     )
     near = stored(compatible(paired, percent), "compatible")
     clusters = stored(components(near), "near-clusters")
     wanted = stored(
-        clusters.withColumnRenamed("root", "cluster").join(binned.drop("root", "bins"), "node"),
-        "wanted-sets",
+        clusters.withColumnRenamed("root", "cluster").join(nodes.drop("bins"), "node"), "wanted-sets"
     )
     sets = set_table(named, wanted, k)
     paired = paired_blocks(sets, wanted, ["items"], percent, "8 * n_shingles", BLOCK, BLOCK_BYTES)

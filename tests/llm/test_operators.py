@@ -929,3 +929,40 @@ def test_filled_segments_never_miss_a_link():
             assert len(np.intersect1d(x, y))
     odd = ngram_join.plan(5, low, high, 10**9, percent, irregular=True)
     assert not odd.filled and odd.exact + 2 * odd.deletion == ngram_join.differing(high, percent) + 1
+
+
+def test_chained_texts_are_compared_with_neighbours_only(spark, monkeypatch):
+    """Each text shares a passage with the next: one chain, of which no two texts link."""
+    word = lambda *at: " ".join(f"w{'x'.join(map(str, at))}x{i}" for i in range(40))
+    n = 200
+    rows = [(i, " ".join([word(i), word(i, i + 1), word(i - 1, i)])) for i in range(n)]
+    rows += [(n + i, rows[i][1] + " more") for i in (3, 77)]
+    monkeypatch.setattr(ngram_join, "BIN_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "PACK", 16, raising=False)
+    compared = []
+
+    def spy(blocks, percent, real=ngram_join.compatible):
+        compared.append(blocks.count())
+        return real(blocks, percent)
+
+    monkeypatch.setattr(ngram_join, "compatible", spy)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df, k=1).collect()}
+    assert found == {**{i: i for i in range(n)}, n + 3: 3, n + 77: 77}
+    assert 200 < compared[0] < 4 * n
+
+
+def test_stars_put_nodes_of_a_signature_together(spark):
+    rng = np.random.default_rng(8)
+    members = [(int(x), 50) for x in rng.integers(1, 2**60, 3000)]
+    nodes = [m[0] for m in members]
+    buckets = [rng.choice(nodes, size, replace=False) for size in [2] * 300 + [40] * 20 + [1200, 1]]
+    rows = [(sig, int(x)) for sig, own in enumerate(buckets) for x in [*own, own[0]]]
+    df = spark.createDataFrame(rows, "sig bigint, node bigint").repartition(3)
+    known = spark.createDataFrame(members, "node bigint, n_shingles bigint")
+    clusters = defaultdict(set)
+    for r in ngram_join.placed_stars(df, known).collect():
+        assert r["node"] not in clusters[r["cluster"]] and r["n_shingles"] == 50
+        clusters[r["cluster"]].add(r["node"])
+    assert all(any(set(own) <= found for found in clusters.values()) for own in buckets[:-1])
+    assert sorted(map(len, clusters.values()))[-2:][0] <= 3 * ngram_join.PACK
