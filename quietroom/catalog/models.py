@@ -16,7 +16,7 @@ from quietroom.catalog.base import (
 )
 from quietroom.functions.scores import label_array, sigmoid
 from quietroom.operators.curves import ranking_curves
-from quietroom.operators.explain import explain, fidelity
+from quietroom.operators.explain import explain, fidelity, scored_variants
 from quietroom.operators.reshape import label_values, scored_long
 from quietroom.operators.robustness import variants, with_noise
 from quietroom.operators.split import in_split
@@ -276,8 +276,10 @@ def explain_top10(spark, sf):
 def explanation_fidelity(spark, sf):
     """Normal equations and weighted R2 of every explanation of a user request."""
     requests, scorer = _requests(spark, sf), fitted(spark, sf)
-    found = materialize(explain(requests, scorer), "explanations")
-    rows = fidelity(found, requests, scorer)
+    # Stored once: both read the same scores of the same variants.
+    variants = materialize(scored_variants(requests, scorer), "variants")
+    found = materialize(explain(requests, scorer, variants=variants), "explanations")
+    rows = fidelity(found, requests, scorer, variants=variants)
     return rows.groupBy("label").agg(
         F.count("*").alias("n_explained"),
         F.count(F.when(F.col("slope") < 1e-8, 1)).alias("n_fitted"),

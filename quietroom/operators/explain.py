@@ -19,29 +19,27 @@ KERNEL_WIDTH = 25.0
 DISTANCE_SCALE = 100.0
 SELECT_ALPHA = 0.01
 FIT_ALPHA = 1.0
+# Comments of a task that makes their variants: these are what takes time, not the texts.
+COMMENTS_PER_TASK = 200
 
 
 def _draw(word: Column, key: Column, sample: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key, sample, word)
 
 
-def _limit(words: Column, key: Column, sample: Column, seed: int) -> Column:
+def _limit(draws: Column, key: Column, sample: Column, seed: int) -> Column:
     """The largest draw that is still dropped in this sample.
 
     The number of dropped words is uniform on 1..D and the words with the smallest
     draws go, which is a uniform subset of that size. Sample 0 keeps every word.
     """
-    drops = F.pmod(F.xxhash64(F.lit(seed), key, sample), F.size(words)).cast("int") + 1
-    draws = F.transform(words, lambda w: _draw(w, key, sample, seed))
+    drops = F.pmod(F.xxhash64(F.lit(seed), key, sample), F.size(draws)).cast("int") + 1
+    # In compiled code; array_sort calls a comparator for each pair.
     return F.when(
-        (sample > 0) & (F.size(words) > 0), F.element_at(F.array_sort(draws), drops)
+        (sample > 0) & (F.size(draws) > 0), F.element_at(F.sort_array(draws), drops)
     )
 
 
-def _kept(word: Column, key: Column, sample: Column, limit: Column, seed: int) -> Column:
-    return limit.isNull() | (_draw(word, key, sample, seed) > limit)
-
-
 def perturb(
     df: DataFrame,
     key: str = "id",
@@ -61,18 +59,20 @@ def perturb(
         F.split(body, WORD).alias("_gaps"),
     ).withColumn("words", F.array_distinct("_words"))
     k, s = F.col(key), F.col("sample")
-    sampled = split.withColumn(
-        "sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
-    ).withColumn("limit", _limit(F.col("words"), k, s, seed))
+    sampled = (
+        split.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        .withColumn("_draws", F.transform("words", lambda w: _draw(w, k, s, seed)))
+        .withColumn("limit", _limit(F.col("_draws"), k, s, seed))
+    )
+    limit = F.col("limit")
+    flags = F.transform("_draws", lambda d: F.when(limit.isNull() | (d > limit), "1").otherwise("0"))
     left = F.transform(
-        "_words", lambda w: F.when(_kept(w, k, s, F.col("limit"), seed), w).otherwise("")
+        "_words",
+        lambda w: F.when(limit.isNull() | (_draw(w, k, s, seed) > limit), w).otherwise(""),
     )
     pieces = F.zip_with(
         "_gaps", left, lambda g, w: F.concat(F.coalesce(g, F.lit("")), F.coalesce(w, F.lit("")))
     )
-    flags = F.transform(
-        "words", lambda w: F.when(_kept(w, k, s, F.col("limit"), seed), "1").otherwise("0")
-    )
     return sampled.select(
         key,
         "sample",
@@ -82,6 +82,26 @@ def perturb(
     )
 
 
+def scored_variants(
+    df: DataFrame,
+    scorer,
+    key: str = "id",
+    text: str = "comment_text",
+    samples: int = EXPLAIN_SAMPLES,
+    seed: int = SEED,
+) -> DataFrame:
+    """``key, sample, prob, words, mask`` of the variants of every comment that has a word.
+
+    Comments are dealt by their key to as many tasks as their number asks for, however few files they
+    come in. Grouping variants by key then needs no shuffle, unless the scorer runs in Python.
+    """
+    # Before the variants are made: above them the filter would draw every mask a second time.
+    worded = df.select(key, text).where(F.col(text).rlike(WORD))
+    tasks = max(1, -(-worded.count() // COMMENTS_PER_TASK))
+    variants = perturb(worded.repartition(tasks, key), key, text, samples, seed)
+    return scorer.score(variants, text=text).select(key, "sample", "prob", "words", "mask")
+
+
 def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
     """Weighted ridge coefficients with a free intercept, solved over the samples."""
     share = w / w.sum()
@@ -116,17 +136,16 @@ def explain(
     features: int = EXPLAIN_FEATURES,
     samples: int = EXPLAIN_SAMPLES,
     seed: int = SEED,
+    variants: DataFrame | None = None,
 ) -> DataFrame:
     """``key, label, token, weight, rank``: the strongest words per comment and label.
 
-    Making and scoring the variants is narrow. Scores and masks travel once, and each
-    comment's ``samples`` rows are solved together. A comment without words has no rows.
+    Comments travel once, before their variants are made and scored; each comment's ``samples``
+    rows are solved together. A comment without words has no rows. ``variants`` are those that
+    ``scored_variants`` gives for the same arguments, where they are stored already.
     """
     labels = list(scorer.labels)
-    # Before the variants are made: above them the filter would draw every mask a second time.
-    worded = df.where(F.col(text).rlike(WORD))
-    variants = perturb(worded, key, text, samples, seed)
-    scored = scorer.score(variants, text=text).select(key, "sample", "prob", "words", "mask")
+    scored = scored_variants(df, scorer, key, text, samples, seed) if variants is None else variants
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
@@ -154,6 +173,7 @@ def fidelity(
     text: str = "comment_text",
     samples: int = EXPLAIN_SAMPLES,
     seed: int = SEED,
+    variants: DataFrame | None = None,
 ) -> DataFrame:
     """``key, label, slope, r2`` of each explanation by ``explain`` of the same rows and options.
 
@@ -161,11 +181,10 @@ def fidelity(
     kernel-weighted residuals are orthogonal to every word's column but for the ridge term: ``slope``
     is the largest absolute difference from that, next to nothing for a true fit. ``r2`` is the
     weighted share of the variants' variance that the words explain; NULL where scores do not vary.
+    ``variants`` as in ``explain``.
     """
     labels = list(scorer.labels)
-    worded = df.where(F.col(text).rlike(WORD))
-    scored = scorer.score(perturb(worded, key, text, samples, seed), text=text)
-    variants = scored.select(key, "sample", "prob", "words", "mask")
+    scored = scored_variants(df, scorer, key, text, samples, seed) if variants is None else variants
 
     def check(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -189,6 +208,6 @@ def fidelity(
         return pd.DataFrame(out, columns=[key, "label", "slope", "r2"])
 
     kind = df.schema[key].dataType.simpleString()
-    return variants.groupBy(key).cogroup(explanations.groupBy(key)).applyInPandas(
+    return scored.groupBy(key).cogroup(explanations.groupBy(key)).applyInPandas(
         check, f"{key} {kind}, label string, slope double, r2 double"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quietroom.catalog.base import parts
 from quietroom.operators.encode import encode_sequences, length_batches, padded_to, word_ids, word_lengths
-from quietroom.operators.explain import explain, fidelity
+from quietroom.operators.explain import explain, fidelity, scored_variants
 from quietroom.operators.pooling import pool_counts, pool_terms
 from quietroom.operators.tfidf import with_terms, with_tokens
 from quietroom.operators.vocabulary import (
@@ -393,3 +393,35 @@ def test_token_text_has_the_words_of_the_cleaned_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in df.select(word_tokens(clean_text(F.col("t"))).alias("a"), word_tokens(token_text(F.col("t"))).alias("b")).collect():
         assert row["a"] == row["b"]
+
+
+def test_variants_are_made_in_tasks_by_number_of_comments(spark):
+    """Comments of one file are dealt before their variants are made; these are not shuffled."""
+    texts = [(i % 440, "the the of worthless idea" if i % 9 else "") for i in range(450)]  # keys repeat
+    df = spark.createDataFrame(texts, "id bigint, comment_text string").coalesce(1)
+    scorer = DigestScorer(LABELS)
+    found = explain(df, scorer, samples=20)
+    plan = found._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan ==") :]
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode(") < plan.index("Exchange")
+    variants = scored_variants(df, scorer, samples=20)
+    assert variants.rdd.getNumPartitions() == 2
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(explain(df, scorer, samples=20, variants=variants.cache())) == rows(found)
+
+
+def test_fidelity_reads_the_variants_that_were_explained(spark, sf, monkeypatch):
+    from quietroom.catalog import models
+
+    calls = []
+
+    class Counted(BatchScorer):
+        def score(self, df, text="comment_text"):
+            calls.append(text)
+            return super().score(df, text)
+
+    scorer = Counted(LABELS, lexical_predictor(models.LEXICONS))
+    monkeypatch.setattr(models, "fitted", lambda *_: scorer)
+    rows = models.explanation_fidelity(spark, sf).collect()
+    assert len(calls) == 1
+    assert {r["label"]: r["n_explained"] == r["n_fitted"] > 0 for r in rows} == {c: True for c in LABELS}
